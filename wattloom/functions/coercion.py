@@ -4,8 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed value: plain decimal notation. Hexadecimal, "Infinity" and type suffixes are not numbers.
-NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+# Fixed value: the characters of plain decimal notation. A cast alone would also take "5d",
+# "Infinity", "NaN" and hexadecimal.
+_NUMBER_CHARACTERS = r"^[0-9+\-.eE\s]+$"
 
 
 def is_blank(raw: Column) -> Column:
@@ -14,7 +15,7 @@ def is_blank(raw: Column) -> Column:
 
 def to_number(raw: Column) -> Column:
     """The number a text field holds, or null."""
-    return F.when(raw.rlike(NUMBER_PATTERN), F.trim(raw).try_cast("double"))
+    return F.when(raw.rlike(_NUMBER_CHARACTERS), F.trim(raw).try_cast("double"))
 
 
 class Fields:

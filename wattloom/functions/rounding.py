@@ -9,9 +9,8 @@ _WHOLE_FROM = float(2**52)
 
 def half_up(x: Column) -> Column:
     """Nearest whole number, halves toward plus infinity, as a double. NaN and null pass through."""
-    low = F.floor(x)
-    up = F.when(x - low >= 0.5, 1.0).otherwise(0.0)
-    return F.when(F.abs(x) < _WHOLE_FROM, low.cast("double") + up).otherwise(x)
+    whole = F.ceil(F.floor(x * 2.0) / 2.0).cast("double")
+    return F.when(F.abs(x) < _WHOLE_FROM, whole).otherwise(x)
 
 
 def js_round(x: Column, digits: int = 2) -> Column:

@@ -1,6 +1,7 @@
 """Training, storing and applying the regression models with MLlib."""
 
 import math
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -93,6 +94,16 @@ def _regressor(model: str, settings: Settings, target: str):
     raise KeyError(f"unknown model key: {model}")
 
 
+@contextmanager
+def kept(df: DataFrame):
+    """Keep the rows for several passes; blocks lost with an executor are computed again."""
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 def fit(
     train: DataFrame,
     model: str,
@@ -103,7 +114,9 @@ def fit(
     """Assembler, scaler and regressor fitted on ``train``."""
     ensure_checkpoint_dir(train.sparkSession)
     order = FEATURE_SPECS[spec] if isinstance(spec, str) else spec
-    return _stages(order, _regressor(model, settings or Settings(), target)).fit(train)
+    stages = _stages(order, _regressor(model, settings or Settings(), target))
+    with kept(train.select(*order, target)) as rows:
+        return stages.fit(rows)
 
 
 def predict(df: DataFrame, model: PipelineModel, name: str = "prediction") -> DataFrame:
@@ -239,12 +252,8 @@ def train_models(
     settings = settings or Settings()
     rows = prepare_training(table, spec, key, seed=settings.seed)
     train, test = train_test_split(rows, key, seed=settings.seed)
-    # Tree fitting reads the rows many times; a lost block is recomputed from the source.
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with kept(train):
         fitted = {m: fit(train, m, spec, settings) for m in models or MODEL_REGISTRY}
-    finally:
-        train.unpersist()
     scored = score_all_models(test, fitted)
     if root:
         save_models(fitted, root)

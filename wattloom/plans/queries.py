@@ -242,10 +242,9 @@ def pred_vs_actual(spark, folder):
 
 @query
 def parse_record_date(spark, folder):
-    parsed = views.households(spark, folder).select(
-        "record_id", dates.parse_record_date(F.col("date")).alias("p"))
-    return parsed.select("record_id", F.col("p.iso").alias("iso"),
-                         F.col("p.at").cast("string").alias("at_utc"))
+    records = views.households(spark, folder).select("record_id", "date")
+    return dates.parse_record_date(records, "date", iso="iso", at="at").select(
+        "record_id", "iso", F.col("at").cast("string").alias("at_utc"))
 
 
 @query
@@ -659,8 +658,8 @@ def stream_delta(spark, folder):
 def stream_recent_30(spark, folder):
     base = scratch_path(spark, "stream-recent")
     rows = views.reading_columns(tables.event_stream(spark, folder))
-    jobs.run_available(jobs.recent_writer(rows, base, "kwh", "ts", "event_id"))
-    return jobs.read_recent(spark, base, "ts", "event_id").select(
+    done = jobs.run_available(jobs.recent_writer(rows, base, "ts", "event_id"))
+    return jobs.read_recent(spark, base, jobs.last_batch(done)).select(
         "event_id", "house_id", "kwh")
 
 

@@ -7,7 +7,6 @@ inside foreachBatch write one folder per batch id, so a repeated batch replaces
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from wattloom.constants import RECENT_PER_HOUSE
@@ -18,6 +17,14 @@ from wattloom.operators.validation import split_valid, validate_household
 
 BATCH = "batch_id"
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """State off the heap: it grows with the keys inside the watermark."""
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+
 
 def run_available(writer: DataStreamWriter) -> StreamingQuery:
     """Process everything there is and stop."""
@@ -30,6 +37,12 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
 
 
+def _alternating(path: str, batch_id: int) -> str:
+    """One of two tables in turn: batch b reads the one of b - 1 and replaces the other, so a
+    repeated batch finds its input unchanged."""
+    return f"{path}/{batch_id % 2}"
+
+
 def ingest_writer(
     records: DataFrame, folder: str, record_id: str | None = None, time: str | None = None,
     delay: str = "1 day",
@@ -41,6 +54,7 @@ def ingest_writer(
     record is kept.
     """
     if record_id and time:
+        _keep_state_in_rocksdb(records.sparkSession)
         records = records.withWatermark(time, delay).dropDuplicatesWithinWatermark([record_id])
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -73,12 +87,8 @@ def delta_writer(
 
     Within a batch the previous row comes from the batch operator, which spreads a hot house
     over tasks; a per-key state function would get all its rows in one. The last row per house
-    is kept in two alternating tables: batch n reads the one of n - 1 and replaces the other,
-    so repeating a batch gives the same result.
+    is kept in a table that each batch reads and replaces.
     """
-    def last_table(batch_id: int) -> str:
-        return f"{folder}/last/{batch_id % 2}"
-
     def write(batch: DataFrame, batch_id: int) -> None:
         order = F.struct(time, row_id)
         newest = batch.groupBy("house_id").agg(
@@ -91,7 +101,7 @@ def delta_writer(
         linked = linked.withColumn("last_kwh", F.col("_previous.kwh"))
         if batch_id > 0:
             before = batch.sparkSession.read.schema(newest.schema).parquet(
-                last_table(batch_id - 1))
+                _alternating(f"{folder}/last", batch_id - 1))
             carried = before.select("house_id", F.col(value).alias("_carried"))
             # One row per house of the batch.
             firsts = linked.filter(F.col("_previous").isNull()).join(
@@ -102,85 +112,47 @@ def delta_writer(
         delta, direction = change(F.col(value), F.col("last_kwh"))
         linked = linked.withColumn("delta_kwh", delta).withColumn("direction", direction)
         _write_batch(linked.drop("_held", "_previous"), f"{folder}/deltas", batch_id)
-        newest.write.mode("overwrite").parquet(last_table(batch_id))
+        newest.write.mode("overwrite").parquet(_alternating(f"{folder}/last", batch_id))
 
     return rows.writeStream.foreachBatch(write).option(
         "checkpointLocation", f"{folder}/checkpoint")
 
 
-def _recent_processor(n: int, value: str, time: str, row_id: str):
-    """State function keeping the newest n rows of a key. Defined inside a function so that
-    executors receive it by value."""
-    import pandas as pd
-    from pyspark.sql.streaming import StatefulProcessor
-
-    class Recent(StatefulProcessor):
-        def init(self, handle):
-            self.rows = handle.getListState(
-                "recent", T.StructType([
-                    T.StructField("at", T.TimestampType()),
-                    T.StructField("id", T.LongType()),
-                    T.StructField("kwh", T.DoubleType()),
-                ]))
-
-        def handleInputRows(self, key, rows, timerValues):
-            held = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
-            frames = [pd.DataFrame(held, columns=[time, row_id, value])] if held else []
-            kept = frames[0] if frames else None
-            # Only n rows are kept at any time, however many arrive.
-            for frame in rows:
-                both = frame[[time, row_id, value]]
-                both = both if kept is None else pd.concat([kept, both], ignore_index=True)
-                kept = both.sort_values([time, row_id], ascending=False).head(n)
-            self.rows.put([
-                (at.to_pydatetime(), int(i), float(v))
-                for at, i, v in kept.itertuples(index=False)])
-            out = kept.assign(house_id=key[0], part=key[1])
-            yield out[["house_id", "part", time, row_id, value]]
-
-        def close(self):
-            pass
-
-    return Recent()
-
-
 def recent_writer(
-    rows: DataFrame, folder: str, value: str, time: str, row_id: str,
-    n: int = RECENT_PER_HOUSE, parts: int = 8,
+    rows: DataFrame, folder: str, time: str, row_id: str, n: int = RECENT_PER_HOUSE
 ) -> DataStreamWriter:
-    """The newest n rows per house, kept as state and written per batch to ``folder``/recent.
+    """The newest n rows per house, kept up to date in ``folder``/recent.
 
-    A house is split by row id into ``parts`` keys so that a hot one is not held by one task.
-    Each part keeps its own newest n; ``read_recent`` merges them.
+    Batch b merges its rows with the table of batch b - 1. The rank filter runs before the
+    shuffle, so a hot house sends at most n rows per input task.
     """
-    split = rows.select(
-        "house_id", F.pmod(F.xxhash64(row_id), F.lit(parts)).cast("int").alias("part"),
-        time, F.col(row_id).cast("long").alias(row_id), F.col(value).cast("double").alias(value))
-    schema = T.StructType([split.schema["house_id"], split.schema["part"], split.schema[time],
-                           split.schema[row_id], split.schema[value]])
-    kept = split.groupBy("house_id", "part").transformWithStateInPandas(
-        statefulProcessor=_recent_processor(n, value, time, row_id),
-        outputStructType=schema, outputMode="Update", timeMode="None")
-    return (
-        kept.writeStream.outputMode("update")
-        .foreachBatch(lambda batch, batch_id: _write_batch(batch, f"{folder}/recent", batch_id))
-        .option("checkpointLocation", f"{folder}/checkpoint")
-    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        merged = batch
+        if batch_id > 0:
+            merged = batch.unionByName(
+                batch.sparkSession.read.schema(batch.schema).parquet(
+                    _alternating(f"{folder}/recent", batch_id - 1)))
+        recent_per_house(merged, n, time, row_id).write.mode("overwrite").parquet(
+            _alternating(f"{folder}/recent", batch_id))
+
+    return rows.writeStream.foreachBatch(write).option(
+        "checkpointLocation", f"{folder}/checkpoint")
+
+
+def last_batch(query: StreamingQuery) -> int:
+    """Id of the last batch that had rows."""
+    return max(p.batchId for p in query.recentProgress if p.numInputRows > 0)
 
 
-def read_recent(
-    spark: SparkSession, folder: str, time: str, row_id: str, n: int = RECENT_PER_HOUSE
-) -> DataFrame:
-    """The newest n rows per house out of what ``recent_writer`` wrote."""
-    written = spark.read.parquet(f"{folder}/recent")
-    newest = F.max(BATCH).alias(BATCH)
-    current = written.groupBy("house_id", "part").agg(newest)
-    latest = written.join(current, ["house_id", "part", BATCH], "left_semi").drop("part", BATCH)
-    return recent_per_house(latest, n, time, row_id)
+def read_recent(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
+    """The table ``recent_writer`` left after batch ``batch_id``."""
+    return spark.read.parquet(_alternating(f"{folder}/recent", batch_id))
 
 
 def daily_usage(rows: DataFrame, name: str, value: str, time: str, delay: str = "1 day") -> DataFrame:
     """kWh per day and appliance; a day is final once the watermark has passed its end."""
+    _keep_state_in_rocksdb(rows.sparkSession)
     return (
         rows.withWatermark(time, delay)
         .groupBy(F.window(time, "1 day"), name)
