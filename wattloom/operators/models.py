@@ -1,11 +1,9 @@
 """Training, storing and applying the regression models with MLlib."""
 
 import math
-from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -28,9 +26,9 @@ from wattloom.constants import (
 from wattloom.functions.hashing import hash52, uniform
 from wattloom.operators.features import add_noise, clean_training, clip_target, select_features
 from wattloom.operators.metrics import eval_metrics
-from wattloom.operators.quantiles import order_statistics
+from wattloom.operators.quantiles import order_statistics, summaries
 from wattloom.operators.registry import stored_artifacts
-from wattloom.runtime import ensure_checkpoint_dir
+from wattloom.runtime import ensure_checkpoint_dir, kept
 
 
 @dataclass
@@ -60,12 +58,13 @@ def train_test_split(
     if not exact:
         is_test = uniform(F.col(key), salt) >= 1.0 - test_fraction
         return df.filter(~is_test), df.filter(is_test)
-    hashed = df.select(hash52(F.col(key), salt).alias("h"))
-    rows = hashed.count()
-    first_test_rank = rows - math.ceil(rows * test_fraction)
-    if not 0 < first_test_rank < rows:
-        raise ValueError("both parts of a split need rows")
-    border = order_statistics(hashed, {"h": [first_test_rank]})["h", first_test_rank]
+    with kept(df.select(hash52(F.col(key), salt).alias("h"))) as hashed:
+        known = summaries(hashed, ["h"])
+        rows = known["h"]["count"]
+        first_test_rank = rows - math.ceil(rows * test_fraction)
+        if not 0 < first_test_rank < rows:
+            raise ValueError("both parts of a split need rows")
+        border = order_statistics(hashed, {"h": [first_test_rank]}, known)["h", first_test_rank]
     is_test = hash52(F.col(key), salt) >= border
     return df.filter(~is_test), df.filter(is_test)
 
@@ -94,16 +93,6 @@ def _regressor(model: str, settings: Settings, target: str):
     raise KeyError(f"unknown model key: {model}")
 
 
-@contextmanager
-def kept(df: DataFrame):
-    """Keep the rows for several passes; blocks lost with an executor are computed again."""
-    df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield df
-    finally:
-        df.unpersist()
-
-
 def fit(
     train: DataFrame,
     model: str,

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from wattloom.constants import TARGET
 from wattloom.operators.quantiles import exact_quantiles, summaries
+from wattloom.runtime import kept
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column: count, mean, sample deviation, min, quartiles, max."""
-    stats = summaries(df, columns)
-    quartiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns}, known=stats)
+    with kept(df.select(*columns)) as values:
+        stats = summaries(values, columns)
+        quartiles = exact_quantiles(values, {c: [0.25, 0.5, 0.75] for c in columns}, stats)
     rows = [
         (c, s["count"], s["mean"], s["std"], s["min"], *quartiles[c], s["max"])
         for c, s in stats.items()
@@ -49,8 +51,9 @@ class Thresholds:
 def thresholds(df: DataFrame) -> Thresholds:
     """Upper percentiles of grid consumption and power, range of the monthly hours."""
     grid, power, hours = "GridConsumption_kWh", "total_appliance_power", "MonthlyHours"
-    stats = summaries(df, [grid, power, hours])
-    found = exact_quantiles(df, {grid: [0.95, 0.99], power: [0.99]}, known=stats)
+    with kept(df.select(grid, power, hours)) as values:
+        stats = summaries(values, [grid, power, hours])
+        found = exact_quantiles(values, {grid: [0.95, 0.99], power: [0.99]}, stats)
     return Thresholds(
         *found[grid], stats[hours]["min"], stats[hours]["max"], found[power][0])
 

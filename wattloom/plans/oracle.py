@@ -223,8 +223,8 @@ _METRICS = {
 }
 
 
-def _metrics(names) -> str:
-    return ", ".join(f'{r(_METRICS[n])} AS "{n}"' for n in names)
+def _metrics(names, digits: int = 6) -> str:
+    return ", ".join(f'{r(_METRICS[n], digits)} AS "{n}"' for n in names)
 
 
 def _quoted(names) -> str:
@@ -384,6 +384,13 @@ _RECENT = """
     SELECT event_id, user_id AS house_id, value AS kwh FROM (
         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
         FROM events) WHERE rn <= 30"""
+_PARTED = f"""SELECT house_id, total_appliance_power AS x, {_CLIPPED} AS y,
+    {uniform('house_id', 'split42')} < 1.0 - 0.3 AS is_train FROM noisy"""
+_FIT = f"""SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept
+    FROM ({_PARTED}) WHERE is_train"""
+_LINE = _on("noisy", f"""
+    SELECT house_id, {r('slope * x + intercept', 5)} AS prediction
+    FROM ({_PARTED}), ({_FIT}) WHERE NOT is_train""")
 _NEEDED = "(daily_kwh * 1000.0)"
 # The quotient of a whole number of panels, found from the exact remainder.
 _PANELS = f"""round((({_NEEDED} + panel - 1) - (({_NEEDED} + panel - 1) % panel)) / panel)"""
@@ -615,12 +622,15 @@ def statements() -> dict[str, str]:
                    {r(f'regr_intercept("{TARGET}", total_appliance_power)')} AS intercept,
                    {r(f'regr_r2("{TARGET}", total_appliance_power)')} AS r2, count(*) AS n
             FROM training"""),
-        "linear_simple": _on("training", f"""
-            SELECT house_id, {r('slope * total_appliance_power + intercept', 5)} AS prediction
-            FROM training, (SELECT regr_slope("{TARGET}", total_appliance_power) AS slope,
-                regr_intercept("{TARGET}", total_appliance_power) AS intercept FROM training)"""),
+        "fit_linear": _on("noisy", f"""
+            SELECT 'linear' AS model, count(*) AS n, {_metrics(_METRICS, 5)}
+            FROM (SELECT y, slope * x + intercept AS prediction FROM ({_PARTED}), ({_FIT})
+                  WHERE NOT is_train)"""),
+        "predict_batch": _LINE,
+        "save_load_models": _LINE,
         # streams
         "stream_ingest": _on("stream_records", "SELECT * FROM stream_records"),
+        "stream_score": _LINE,
         "stream_delta": _READINGS_DELTA,
         "stream_recent_30": _RECENT,
         "stream_usage_daily": f"""
