@@ -5,10 +5,10 @@ from wattloom.constants import FEATURE_SPECS, TARGET
 from wattloom.operators import features, profile
 
 
-def test_feature_order_formats(tmp_path):
+def test_feature_order_formats(spark, tmp_path):
     assert features.parse_feature_order('{"feature_order": ["a", "b"]}') == ["a", "b"]
-    (tmp_path / "order.json").write_text('["a"]')
-    assert features.load_feature_order(str(tmp_path / "order.json")) == ["a"]
+    (tmp_path / "order.json").write_text('[\n "a"\n]')
+    assert features.load_feature_order(spark, str(tmp_path / "order.json")) == ["a"]
     for bad in ('{"x": 1}', '"a"'):
         with pytest.raises(ValueError):
             features.parse_feature_order(bad)

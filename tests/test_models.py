@@ -124,6 +124,7 @@ def test_available_models_are_the_stored_ones(spark, trained):
     everything = registry.registry_frame(spark)
     stored = registry.available_models(everything, registry.stored_artifacts(spark, root))
     assert {r["model"] for r in stored.collect()} == {"linear", "rf", "gbt"}
+    assert registry.model_info(spark, root)["available_models"]["gbt"] == "Gradient-Boosted Trees"
     partial = scratch_path(spark, "models")
     ml.save_models({"rf": result.models["rf"]}, partial)
     stored = registry.available_models(everything, registry.stored_artifacts(spark, partial))

@@ -39,9 +39,10 @@ def test_ingest_stream_agrees_with_batch(spark, pieces):
     events = tables.table(spark, pieces, "events")
     good, bad = validation.split_valid(
         validation.validate_household(views.event_records(events)))
-    assert as_set(spark.read.parquet(f"{base}/accepted"), "record_id", "date") == as_set(
+    stored = spark.read.parquet(f"{base}/records")
+    assert as_set(stored.filter("outcome = 'accepted'"), "record_id", "date") == as_set(
         good, "record_id", "date")
-    assert as_set(spark.read.parquet(f"{base}/rejected"), "record_id", "reason") == as_set(
+    assert as_set(stored.filter("outcome = 'rejected'"), "record_id", "reason") == as_set(
         bad, "record_id", "reason")
 
 
@@ -50,8 +51,7 @@ def test_ingest_stream_drops_repeated_records_if_asked(spark, pieces):
     twice = stream(spark, pieces).withColumn("event_id", F.expr("event_id - event_id % 2"))
     records = views.event_records(twice)
     jobs.run_available(jobs.ingest_writer(records, base, "record_id", "ts"))
-    stored = spark.read.parquet(f"{base}/accepted").select("record_id").unionByName(
-        spark.read.parquet(f"{base}/rejected").select("record_id"))
+    stored = spark.read.parquet(f"{base}/records").select("record_id")
     assert stored.count() == stored.distinct().count() == 500
 
 

@@ -34,8 +34,7 @@ def comparable(frame: pd.DataFrame) -> list[tuple]:
     return sorted(tuple(cell(v) for v in row) for row in frame.itertuples(index=False))
 
 
-def compare(spark, connection, folder, name, sql) -> str:
-    found = queries.registered()[name](spark, folder).toPandas()
+def compare(found: pd.DataFrame, connection, sql: str | None) -> str:
     if sql is None:
         return f"rows only ({len(found)})"
     wanted = connection.execute(sql).df()
@@ -61,7 +60,8 @@ def main(folder="/root/testdata/sf0.01", *names):
     for name in names or queries.registered():
         started = time.time()
         try:
-            result = compare(spark, connection, folder, name, statements.get(name))
+            found = queries.registered()[name](spark, folder).toPandas()
+            result = compare(found, connection, statements.get(name))
         except Exception as error:
             traceback.print_exc(limit=3)
             result = f"ERROR {type(error).__name__}: {str(error)[:600]}"

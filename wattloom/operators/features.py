@@ -2,9 +2,8 @@
 
 import json
 from dataclasses import dataclass
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.constants import (
@@ -37,8 +36,9 @@ def parse_feature_order(text: str) -> list[str]:
     return order
 
 
-def load_feature_order(path: str) -> list[str]:
-    return parse_feature_order(Path(path).read_text())
+def load_feature_order(spark: SparkSession, path: str) -> list[str]:
+    """The feature list in a JSON file on any file system Spark reads."""
+    return parse_feature_order(spark.read.text(path, wholetext=True).first()["value"])
 
 
 def select_features(df: DataFrame, order: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -200,7 +200,7 @@ class ScalerStats:
     mean: dict[str, float]
     std: dict[str, float]
 
-    def frame(self, spark) -> DataFrame:
+    def frame(self, spark: SparkSession) -> DataFrame:
         rows = [(f, self.mean[f], self.std[f]) for f in self.mean]
         return spark.createDataFrame(rows, "feature string, mean double, std double")
 

@@ -157,8 +157,11 @@ def score_by_model(
     return reduce(DataFrame.unionByName, parts)
 
 
-def to_log(scored: DataFrame, row_id: Column, at: Column) -> DataFrame:
-    """Scored requests as prediction-log rows; missing ``meta`` becomes an empty map."""
+def to_log(scored: DataFrame, row_id: Column, at: Column | None = None) -> DataFrame:
+    """Scored requests as prediction-log rows, by default with the present time.
+
+    Missing ``meta`` becomes an empty map.
+    """
     empty = F.create_map().cast("map<string,string>")
     return scored.select(
         row_id.cast("string").alias("_id"),
@@ -167,7 +170,7 @@ def to_log(scored: DataFrame, row_id: Column, at: Column) -> DataFrame:
         F.col("prediction").alias("predicted_value_kwh"),
         "features",
         F.coalesce(F.col("meta"), empty).alias("meta"),
-        at.alias("timestamp"),
+        (F.localtimestamp() if at is None else at).alias("timestamp"),
     )
 
 

@@ -5,6 +5,8 @@ table is cut into consecutive ranges of the full sort key instead: a hot key spa
 each range is a task, and only one row per range crosses between them.
 """
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +31,12 @@ def in_ranges(df: DataFrame, order_by: list[Column]) -> DataFrame:
 def number_in_order(df: DataFrame, order_by: list[Column], name: str) -> DataFrame:
     """Number all rows 1, 2, ... along ``order_by``, which should identify a row."""
     cut = in_ranges(df, order_by)
-    sizes = cut.groupBy(_RANGE).agg(F.count(F.lit(1)).alias("_size"))
-    # One row per range.
-    through = F.sum("_size").over(Window.orderBy(_RANGE))
-    starts = sizes.select(_RANGE, (through - F.col("_size")).alias("_start"))
+    # One count per range, so as many as there are partitions.
+    sizes = sorted(cut.groupBy(_RANGE).agg(F.count(F.lit(1)).cast("long")).collect())
+    ends = accumulate(size for _, size in sizes)
+    starts = df.sparkSession.createDataFrame(
+        [(which, end - size) for (which, size), end in zip(sizes, ends)],
+        f"{_RANGE} int, _start long")
     within = F.row_number().over(Window.partitionBy(_RANGE).orderBy(*order_by))
     return (
         cut.withColumn("_within", within)

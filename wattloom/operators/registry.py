@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from wattloom.constants import MODEL_REGISTRY
+from wattloom.constants import FEATURE_SPECS, MODEL_REGISTRY
 from wattloom.runtime import broadcast_if_small
 
 
@@ -38,3 +38,13 @@ def known_model_rows(rows: DataFrame, registry: DataFrame) -> DataFrame:
 
 def unknown_model_rows(rows: DataFrame, registry: DataFrame) -> DataFrame:
     return rows.join(broadcast_if_small(registry.select("model")), "model", "left_anti")
+
+
+def model_info(spark: SparkSession, root: str, spec: str = "v12") -> dict:
+    """Stored models with labels, the feature order and the folder, for a quick look."""
+    stored = available_models(registry_frame(spark), stored_artifacts(spark, root))
+    return {
+        "available_models": {row["model"]: row["label"] for row in stored.collect()},
+        "feature_order": FEATURE_SPECS[spec],
+        "model_dir": root,
+    }

@@ -629,7 +629,9 @@ def statements() -> dict[str, str]:
         "predict_batch": _LINE,
         "save_load_models": _LINE,
         # streams
-        "stream_ingest": _on("stream_records", "SELECT * FROM stream_records"),
+        "stream_ingest": _on("stream_records", """
+            SELECT *, CASE WHEN reason = '' THEN 'accepted' ELSE 'rejected' END AS outcome
+            FROM stream_records"""),
         "stream_score": _LINE,
         "stream_delta": _READINGS_DELTA,
         "stream_recent_30": _RECENT,

@@ -638,11 +638,9 @@ def stream_ingest(spark, folder):
     base = scratch_path(spark, "stream-ingest")
     records = views.event_records(tables.event_stream(spark, folder)).drop("ts")
     jobs.run_available(jobs.ingest_writer(records, base))
-    columns = ["record_id", "house_id", "total_consumption_kwh"]
-    accepted = spark.read.parquet(f"{base}/accepted").select(
-        *columns, F.lit("").alias("reason"))
-    rejected = spark.read.parquet(f"{base}/rejected").select(*columns, "reason")
-    return accepted.unionByName(rejected)
+    return spark.read.parquet(f"{base}/records").select(
+        "record_id", "house_id", "total_consumption_kwh", "outcome",
+        F.coalesce("reason", F.lit("")).alias("reason"))
 
 
 @query

@@ -1,10 +1,10 @@
 """Writing accepted and rejected records, the prediction log, metrics and thresholds."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.operators.profile import Thresholds
-from wattloom.operators.validation import validate_household
+from wattloom.operators.validation import outcome, validate_household
 
 
 def _append(df: DataFrame, path: str, partitions: list[str]) -> None:
@@ -26,9 +26,8 @@ def ingest_households(records: DataFrame, path: str) -> None:
 
     outcome=accepted holds the valid records, outcome=rejected the others with their reason.
     """
-    outcome = F.when(F.col("reason").isNull(), "accepted").otherwise("rejected")
     month = F.coalesce(_month("at"), F.lit("none"))
-    checked = validate_household(records).withColumns({"outcome": outcome, "month": month})
+    checked = validate_household(records).withColumns({"outcome": outcome(), "month": month})
     _append(checked, path, ["outcome", "month"])
 
 
@@ -42,5 +41,5 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("overwrite").json(path)
 
 
-def write_thresholds(limits: Thresholds, spark, path: str) -> None:
+def write_thresholds(limits: Thresholds, spark: SparkSession, path: str) -> None:
     limits.frame(spark).coalesce(1).write.mode("overwrite").json(path)

@@ -13,7 +13,7 @@ from wattloom.constants import RECENT_PER_HOUSE
 from wattloom.operators.history import change, recent_per_house
 from wattloom.operators.models import predict
 from wattloom.operators.ordering import HOT_ROWS, previous_in_order
-from wattloom.operators.validation import split_valid, validate_household
+from wattloom.operators.validation import outcome, validate_household
 
 BATCH = "batch_id"
 
@@ -47,7 +47,7 @@ def ingest_writer(
     records: DataFrame, folder: str, record_id: str | None = None, time: str | None = None,
     delay: str = "1 day",
 ) -> DataStreamWriter:
-    """Validate household records into ``folder``/accepted and ``folder``/rejected.
+    """Validate household records into ``folder``/records, partitioned by batch and outcome.
 
     With ``record_id`` and ``time``, a record id seen again within ``delay`` is dropped; that
     needs a watermark, so records later than the delay are dropped as well. Without them every
@@ -58,13 +58,9 @@ def ingest_writer(
         records = records.withWatermark(time, delay).dropDuplicatesWithinWatermark([record_id])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        validated = validate_household(batch).persist()
-        try:
-            accepted, rejected = split_valid(validated)
-            _write_batch(accepted, f"{folder}/accepted", batch_id)
-            _write_batch(rejected, f"{folder}/rejected", batch_id)
-        finally:
-            validated.unpersist()
+        checked = validate_household(batch).withColumn("outcome", outcome())
+        checked.write.mode("overwrite").partitionBy("outcome").parquet(
+            f"{folder}/records/{BATCH}={batch_id}")
 
     return records.writeStream.foreachBatch(write).option(
         "checkpointLocation", f"{folder}/checkpoint")
