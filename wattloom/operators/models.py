@@ -1,6 +1,7 @@
 """Training, storing and applying the regression models with MLlib."""
 
 import math
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -93,6 +94,32 @@ def _regressor(model: str, settings: Settings, target: str):
     raise KeyError(f"unknown model key: {model}")
 
 
+# Tasks of a fitting pass; fewer rows per task would cost more in scheduling than in work.
+ROWS_PER_TASK = 20_000
+
+
+@contextmanager
+def _training_rows(train: DataFrame, order: list[str], target: str):
+    """The needed columns, kept for the many passes of fitting, in tasks of a sensible size."""
+    ensure_checkpoint_dir(train.sparkSession)
+    with kept(train.select(*order, target)) as rows:
+        yield rows.coalesce(rows.count() // ROWS_PER_TASK + 1)
+
+
+def fit_all(
+    train: DataFrame,
+    models: list[str],
+    spec: str | list[str] = "v12",
+    settings: Settings | None = None,
+    target: str = TARGET,
+) -> dict[str, PipelineModel]:
+    """Assembler, scaler and regressor fitted on ``train`` for each model key."""
+    order = FEATURE_SPECS[spec] if isinstance(spec, str) else spec
+    settings = settings or Settings()
+    with _training_rows(train, order, target) as rows:
+        return {m: _stages(order, _regressor(m, settings, target)).fit(rows) for m in models}
+
+
 def fit(
     train: DataFrame,
     model: str,
@@ -100,12 +127,7 @@ def fit(
     settings: Settings | None = None,
     target: str = TARGET,
 ) -> PipelineModel:
-    """Assembler, scaler and regressor fitted on ``train``."""
-    ensure_checkpoint_dir(train.sparkSession)
-    order = FEATURE_SPECS[spec] if isinstance(spec, str) else spec
-    stages = _stages(order, _regressor(model, settings or Settings(), target))
-    with kept(train.select(*order, target)) as rows:
-        return stages.fit(rows)
+    return fit_all(train, [model], spec, settings, target)[model]
 
 
 def predict(df: DataFrame, model: PipelineModel, name: str = "prediction") -> DataFrame:
@@ -244,8 +266,7 @@ def train_models(
     settings = settings or Settings()
     rows = prepare_training(table, spec, key, seed=settings.seed)
     train, test = train_test_split(rows, key, seed=settings.seed)
-    with kept(train):
-        fitted = {m: fit(train, m, spec, settings) for m in models or MODEL_REGISTRY}
+    fitted = fit_all(train, models or list(MODEL_REGISTRY), spec, settings)
     scored = score_all_models(test, fitted)
     if root:
         save_models(fitted, root)

@@ -358,15 +358,17 @@ _LIMITS = f"""
            quantile_cont(total_appliance_power, 0.99) AS total_power_p99 FROM training"""
 _LIMIT_NAMES = ["grid_p95", "grid_p99", "monthly_min", "monthly_max", "total_power_p99"]
 _ROUNDED_LIMITS = _on("training", "SELECT " + ", ".join(
-    f"{r(n)} AS {n}" for n in _LIMIT_NAMES) + f" FROM ({_LIMITS})")
+    f"{r(n, 9)} AS {n}" for n in _LIMIT_NAMES) + f" FROM ({_LIMITS})")
 
 
 def _describe(which: str, x: str) -> str:
-    quantiles = ", ".join(
-        f"{r(f'quantile_cont({x}, {q})')} AS p{int(100 * q)}" for q in (0.25, 0.5, 0.75))
-    return (f"SELECT '{which}' AS \"column\", count({x}) AS count, {r(f'avg({x})')} AS mean, "
-            f"{r(f'stddev_samp({x})')} AS std, {r(f'min({x})')} AS min, {quantiles}, "
-            f"{r(f'max({x})')} AS max FROM noisy")
+    stats = {
+        "mean": f"avg({x})", "std": f"stddev_samp({x})", "min": f"min({x})",
+        "p25": f"quantile_cont({x}, 0.25)", "p50": f"quantile_cont({x}, 0.5)",
+        "p75": f"quantile_cont({x}, 0.75)", "max": f"max({x})",
+    }
+    columns = ", ".join(f"{r(value, 9)} AS {name}" for name, value in stats.items())
+    return f"SELECT '{which}' AS \"column\", count({x}) AS count, {columns} FROM noisy"
 
 
 def _lookup_sql(column: str) -> str:

@@ -128,7 +128,8 @@ def write_thresholds(spark, folder):
     sinks.write_thresholds(limits, spark, path)
     names = list(limits.__dict__)
     stored = spark.read.schema(", ".join(f"{n} double" for n in names)).json(path)
-    return _rounded(stored, names)
+    # Interpolated values have few decimals; nine digits keep rounding away from their ties.
+    return _rounded(stored, names, 9)
 
 
 @query
@@ -399,7 +400,7 @@ def describe_target(spark, folder):
     rows = views.training(spark, folder).select("house_id", F.col(TARGET).alias("before"))
     both = features.add_noise(rows.withColumn("after", F.col("before")), "house_id", "after")
     summary = profile.describe(features.clip_target(both, "after"), ["before", "after"])
-    return _rounded(summary, ["mean", "std", "min", "p25", "p50", "p75", "max"])
+    return _rounded(summary, ["mean", "std", "min", "p25", "p50", "p75", "max"], 9)
 
 
 @query
@@ -461,7 +462,7 @@ def eval_metrics(spark, folder):
 @query
 def thresholds(spark, folder):
     limits = profile.thresholds(views.training(spark, folder))
-    return _rounded(limits.frame(spark), list(limits.__dict__))
+    return _rounded(limits.frame(spark), list(limits.__dict__), 9)
 
 
 @query
