@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wattloom.constants import FEATURE_SPECS, TARGET
 from wattloom.operators import metrics, registry
 from wattloom.operators import models as ml
+from wattloom.operators.features import assemble_vector, vector_to_columns
 from wattloom.runtime import scratch_path
 from wattloom.sources import sinks, views
 
@@ -176,3 +177,16 @@ def test_log_rows_and_metrics_file(spark, trained):
     sinks.write_metrics(trained[1].metrics, where)
     lines = [json.loads(r["value"]) for r in spark.read.text(where).collect()]
     assert {line["model"] for line in lines} == {"linear", "rf", "gbt"}
+
+
+def test_sixteen_feature_models_take_collinear_city_columns(spark, folder):
+    """Form rows through vector assembly into training; the four city columns sum to 1."""
+    vectors = assemble_vector(views.forms(spark, folder), "v16")
+    rows = vector_to_columns(vectors.select(F.col("row_id").alias("house_id"), "features"), "v16")
+    target = 3.0 * F.col("Fan") + 0.5 * F.col("MonthlyHours") + 10.0 * F.col("City_City_B")
+    table = rows.withColumn(TARGET, target)
+    prepared = ml.prepare_training(table, "v16", sigma=0.0)
+    assert prepared.columns == ["house_id", TARGET, *FEATURE_SPECS["v16"]]
+    model = ml.fit(prepared, "linear", "v16")
+    quality = metrics.eval_metrics(ml.score_all_models(prepared, {"linear": model})).first()
+    assert quality["R2"] > 0.999999

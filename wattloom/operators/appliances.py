@@ -56,7 +56,11 @@ def import_appliances(inventory: DataFrame) -> DataFrame:
 
 
 def appliance_usage(inventory: DataFrame) -> DataFrame:
-    """Usage (hours x quantity) per house and appliance; of equal names the last row counts."""
+    """Usage (hours x quantity) per house and appliance; of equal names the last row counts.
+
+    ``ord`` may be any orderable column; a number or timestamp aggregates by hash, a struct by
+    sorting.
+    """
     usage = or_zero(F.col("hours")) * or_one(F.col("qty"))
     return inventory.groupBy("house_id", "name").agg(
         F.max_by(usage, F.col("ord")).alias("usage"))
@@ -67,7 +71,7 @@ def appliance_usage_map(inventory: DataFrame) -> DataFrame:
 
     The list built per house holds its distinct appliance names, already reduced to one row each.
     """
-    entries = F.sort_array(F.collect_list(F.struct("name", "usage")))
+    entries = F.collect_list(F.struct("name", "usage"))
     return (
         appliance_usage(inventory).groupBy("house_id")
         .agg(F.map_from_entries(entries).alias("appliance_usage"))

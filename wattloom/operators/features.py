@@ -130,6 +130,15 @@ def assemble_vector(
     return parsed.select(*df.columns, values.alias(name))
 
 
+def vector_to_columns(
+    df: DataFrame, spec: str | list[str], features: str = "features"
+) -> DataFrame:
+    """Spread a feature array over columns named after the features, in place of the array."""
+    order = FEATURE_SPECS[spec] if isinstance(spec, str) else spec
+    kept = [c for c in df.columns if c != features and c not in order]
+    return df.select(*kept, *[F.col(features)[i].alias(name) for i, name in enumerate(order)])
+
+
 def autofill(df: DataFrame, force: bool = False) -> DataFrame:
     """Fill total power, bill, monthly hours and mean power from the other fields, in that order.
 

@@ -178,8 +178,7 @@ def net_bill(spark, folder):
 
 def _vectors(spark, folder, spec):
     rows = features.assemble_vector(views.forms(spark, folder), spec)
-    return rows.select("row_id", *[
-        F.col("features")[i].alias(name) for i, name in enumerate(FEATURE_SPECS[spec])])
+    return features.vector_to_columns(rows.select("row_id", "features"), spec)
 
 
 @query
