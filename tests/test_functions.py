@@ -99,11 +99,13 @@ GOOD_DATES = [
     "2024-01-05", "20240105", "2024-01-05T10:20", "2024-01-05 10:20:30", "2024-01-05T10",
     "2024-01-05T10:20:30.5", "2024-01-05T10:20:30.123456", "2024-01-05T10:20:30+05:30",
     "2024-01-05T10:20:30-08:00", "2024-01-05T10:20:30Z", "20240105T102030", "20240105T1020+0530",
-    "2024-02-29", "2024-01-05T10:20:30,25", "2024-01-05x10:20", "2024-01-05T10:20:30+05",
+    "2024-W05", "2024W05", "2024-W05-3", "2024W053", "2024-W05-3T10:20", "2020-W53-7",
+    "2026-W01-1", "2024W053T1020Z", "2024-02-29", "2024-01-05T10:20:30,25", "2024-01-05x10:20", "2024-01-05T10:20:30+05",
 ]
 BAD_DATES = ["", "2024", "2024-01", "2024-13-01", "2023-02-29", "05/01/2024", "2024-01-05T25:00",
              "2024-01-05T10:61", "yesterday", "2024-01-05T10:20:30+24:00", "0000-01-01",
-             "20241301", "2024-01-05T1", "2024-01-05 10:20 pm"]
+             "20241301", "2021-W53-1", "2024-W00-1", "2024-W05-8", "2024-W5", "2024-W051",
+             "0000-W10", "2024-01-05T1", "2024-01-05 10:20 pm"]
 
 
 def test_good_dates_agree_with_python(spark):
