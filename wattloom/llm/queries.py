@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import chat, licenses, quality_rules, sharding, warc
+from wattloom.llm import chat, licenses, ngram_join, quality_rules, sharding, warc
 from wattloom.runtime import scratch_path
 from wattloom.sources.tables import table
 
@@ -35,6 +35,13 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "kept", F.array_join(F.array_sort("rejected_by"), ",").alias("rules"))
 
 
+@query
+def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles are 85 % alike."""
+    join = ngram_join.Join(width=4, per_cent=85)
+    return ngram_join.ngram_components(table(spark, folder, "documents"), join=join)
+
+
 @query
 def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations and one made of control strings, read back from the formatted text."""
