@@ -2,10 +2,13 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import chat, licenses, ngram_join, quality_rules, sharding, warc
+from wattloom.llm import (
+    chat, decontaminate, language_id, licenses, ngram_join, packing, quality_model, quality_rules, sharding, warc,
+)
 from wattloom.runtime import scratch_path
 from wattloom.sources.tables import table
 
@@ -42,6 +45,21 @@ def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, folder, "documents"), join=join)
 
 
+def fold(doc: str, folds: int) -> Column:
+    """crc32 of the id as text, modulo ``folds``."""
+    return F.crc32(F.col(doc).cast("string").cast("binary")) % folds
+
+
+@query
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document, learnt from labels outside the held-out fold."""
+    documents = table(spark, folder, "documents")
+    model = quality_model.learn(documents, table(spark, folder, "labels"), fold("doc_id", 4) != 2)
+    scored = quality_model.score_documents(documents, model)
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(True)).alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query
 def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations and one made of control strings, read back from the formatted text."""
@@ -61,6 +79,22 @@ def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+@query
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that contain benchmark items, with the share of the item's shingles."""
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learnt from documents outside the held-out fold."""
+    documents = table(spark, folder, "documents")
+    model = language_id.learn(documents, "doc_id", "text", "lang", fold("doc_id", 5) != 0)
+    found = language_id.predict(documents.select("doc_id", "text"), "text", model)
+    return found.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(True)).alias("held_out"),
+                        "lang_pred", "score")
+
+
 @query
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes, equal texts together."""
@@ -69,6 +103,17 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def byte_bpe_50k() -> dict[str, str]:
+    return {"path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+@query
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens."""
+    packed = packing.pack_documents(table(spark, folder, "documents"), **byte_bpe_50k())
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 @query
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     """All pages written to archives with revisit records, and read back."""
