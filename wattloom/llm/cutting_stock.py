@@ -35,13 +35,16 @@ def _best_pattern(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tup
 
 def _solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float, steps: int
            ) -> tuple[np.ndarray, np.ndarray]:
-    """(patterns as columns, use of each) of a nearly optimal basis of the linear program."""
+    """(patterns as columns, use of each) of a nearly optimal basis of the linear program.
+
+    The inverse is only updated; what rounding errors cost shows as demand left over, which is packed anyway.
+    """
     n = len(lengths)
     alone = capacity // lengths
     basis = np.diag(alone).astype(float)
     inverse = np.diag(1.0 / alone)
     use = demand / alone
-    for step in range(steps):
+    for _ in range(steps):
         prices = inverse.sum(0)
         value, pattern = _best_pattern(lengths, np.maximum(prices, 0), capacity)
         if value <= 1 + gap:
@@ -60,9 +63,6 @@ def _solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float, s
         inverse -= np.outer(entering, row)
         inverse[out] = row
         basis[:, out] = pattern
-        if step % 500 == 499:  # against rounding errors
-            inverse = np.linalg.inv(basis)
-            use = np.maximum(inverse @ demand, 0)
     return basis.astype(np.int64), use
 
 

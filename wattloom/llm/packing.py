@@ -1,8 +1,8 @@
 """Packing documents into sequences of a fixed number of tokens by cutting-stock patterns.
 
 A task tokenises whole texts, ends each with the separator id and cuts it into full pieces and a remainder. The
-histogram of piece lengths (as many entries as a sequence has tokens) goes to the driver, which finds patterns (see
-``cutting_stock``). Pieces are ranked within their length, in buckets, and a piece's rank decides which
+histogram of piece sizes (lengths in steps, of bounded number) goes to the driver, which finds patterns (see
+``cutting_stock``). Pieces are ranked within their size, in buckets, and a piece's rank decides which
 sequence of which pattern it goes to; that table is again of bounded size.
 
 Ids are those of the byte-level vocabulary; the rank file gives the same ids as the tokenizer file and is
@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.llm.cutting_stock import cut_patterns
@@ -70,48 +70,57 @@ _RANK_BITS = 44
 
 
 def placements(histogram: dict[int, int], capacity: int) -> np.ndarray:
-    """Rows (key, copies, sequence, offset), by key: where the pieces of a length go from some rank on.
+    """Rows (key, copies, sequence, place), by key: where the pieces of a size go from some rank on.
 
-    The key is the length above ``_RANK_BITS`` bits of the first rank; ``copies`` pieces go to each sequence.
+    The key is the size above ``_RANK_BITS`` bits of the first rank; ``copies`` pieces go to each sequence, on
+    consecutive places.
     """
     taken: dict[int, int] = {}
     rows, sequence = [], 0
     for pattern, times in cut_patterns(histogram, capacity):
-        offset = 0
-        for length in sorted(pattern, reverse=True):
-            copies = pattern[length]
-            first = taken.get(length, 0)
-            rows.append((length << _RANK_BITS | first, copies, sequence, offset))
-            taken[length] = first + copies * times
-            offset += copies * length
+        place = 0
+        for size in sorted(pattern, reverse=True):
+            copies = pattern[size]
+            first = taken.get(size, 0)
+            rows.append((size << _RANK_BITS | first, copies, sequence, place))
+            taken[size] = first + copies * times
+            place += copies
         sequence += times
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
 def pack_documents(documents: DataFrame, path: str, pattern: str, capacity: int = 1024, separator: int = 0,
-                   doc: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, ids, sequence_id, offset: one row per piece."""
+                   doc: str = "doc_id", text: str = "text", keep_ids: bool = False, sizes: int = 128) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, ids, sequence_id, offset: one row per piece.
+
+    Lengths are rounded up to ``sizes`` steps of the capacity for the patterns; offsets follow real lengths.
+    """
     spark = documents.sparkSession
+    unit = max(1, capacity // sizes)
     stored = scratch_path(spark, "pieces")
     cut_pieces(documents, path, pattern, capacity, separator, doc, text, keep_ids).write.parquet(stored)
-    pieces = spark.read.parquet(stored)
-    counted = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("c")).collect()
-    table = spark.sparkContext.broadcast(placements({r["length"]: r["c"] for r in counted}, capacity))
-    ranked = numbered(pieces, "length", F.xxhash64("doc_id", "start", "ids_crc32"),
+    pieces = spark.read.parquet(stored).withColumn("size", F.ceil(F.col("length") / unit).cast("long"))
+    counted = pieces.groupBy("size").agg(F.count(F.lit(1)).alias("c")).collect()
+    table = spark.sparkContext.broadcast(
+        placements({r["size"]: r["c"] for r in counted}, capacity // unit))
+    ranked = numbered(pieces, "size", F.xxhash64("doc_id", "start", "ids_crc32"),
                       ["doc_id", "start", "ids_crc32"], "rank")
     columns = [x.split()[0] for x in _PIECES.split(", ")]
 
-    def place(batches):
-        keys, copies, sequence, offset = table.value.T
+    def put(batches):
+        keys, copies, sequence, place = table.value.T
         for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
-            at = np.searchsorted(keys, length << _RANK_BITS | rank, "right") - 1
+            size, rank = batch.column("size").to_numpy(), batch.column("rank").to_numpy()
+            at = np.searchsorted(keys, size << _RANK_BITS | rank, "right") - 1
             past = rank - (keys[at] & (1 << _RANK_BITS) - 1)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in columns], pa.array(sequence[at] + past // copies[at]),
-                 pa.array(offset[at] + past % copies[at] * length)], names=[*columns, "sequence_id", "offset"])
+                 pa.array(place[at] + past % copies[at])], names=[*columns, "sequence_id", "place"])
 
-    return ranked.select(*columns, "rank").mapInArrow(place, _PIECES + ", sequence_id long, offset long")
+    placed = ranked.select(*columns, "size", "rank").mapInArrow(put, _PIECES + ", sequence_id long, place long")
+    # A sequence has at most as many pieces as tokens.
+    before = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("place")
 
 
 def sequences(packed: DataFrame, ids: str = "ids") -> DataFrame:

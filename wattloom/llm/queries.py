@@ -1,6 +1,7 @@
 """One registered query per operator: op1 to op10, each over its whole table."""
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from wattloom.llm import (
     chat, decontaminate, language_id, licenses, ngram_join, packing, quality_model, quality_rules, sharding, warc,
 )
+from wattloom.llm.shipping import ship
 from wattloom.runtime import scratch_path
 from wattloom.sources.tables import table
 
@@ -18,8 +20,13 @@ _QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    _QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, folder)
+
+    _QUERIES[fn.__name__] = run
+    return run
 
 
 def registered() -> dict[str, Query]:
