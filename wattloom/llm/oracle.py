@@ -1,7 +1,197 @@
-"""DuckDB SQL for the registered operators that SQL can express."""
+"""DuckDB SQL for the registered operators that SQL can express.
 
-_STATEMENTS: dict[str, str] = {}
+Left out: the classifier, the language model, the packing program and sharding (no CRC-32 there); tests compare
+those with brute force, held-out labels or exact round trips.
+"""
+
+from itertools import chain
+
+from wattloom.llm import chat, licenses
+from wattloom.llm.quality_rules import Risk
+
+_SPACE = r"[\x20\x09-\x0D]+"
+_WORD = r"[^\x20\x09-\x0D]"
+
+
+def _quality_rules(risk: Risk = Risk()) -> str:
+    rules = {"symbols": ("n_symbols", "word_chars"), "capitals": ("n_capitals", "word_chars"),
+             "repeats": ("n_repeat_words", "n_words"), "dup_lines": ("n_dup_lines", "n_lines")}
+    share, level = risk.alpha / len(rules), risk.delta / (len(rules) * (len(risk.bands) + 1))
+    values = " UNION ALL ".join(
+        f"SELECT doc_id, stratum, '{name}' AS rule, coalesce({a} / nullif({b}, 0)::double, 0.0) AS value FROM judged"
+        for name, (a, b) in rules.items())
+    stratum = " + ".join(f"(n_words >= {b})::int" for b in risk.bands)
+    grid = ", ".join(f"({i}, {c})" for i, c in enumerate(risk.grid))
+    return rf"""
+WITH bodies AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+split_up AS (
+  SELECT doc_id, body, list_filter(regexp_split_to_array(body, '{_SPACE}'), lambda x: x <> '') AS words,
+    list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines
+  FROM bodies),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(words) - 1)) AS i, words FROM split_up WHERE len(words) >= 3),
+three AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w FROM windows),
+twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS c FROM three) WHERE c > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT k) AS n FROM (
+    SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM twice) GROUP BY doc_id),
+statistics AS (
+  SELECT s.doc_id, len(words)::bigint AS n_words, length(array_to_string(words, ''))::bigint AS word_chars,
+    (length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')))::bigint AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::bigint AS n_dup_lines,
+    coalesce(c.n, 0)::bigint AS n_repeat_words, len(lines)::bigint AS n_lines,
+    (length(body) - length(regexp_replace(body, '[A-ZÀ-ÖØ-Þ]', '', 'g')))::bigint AS n_capitals
+  FROM split_up s LEFT JOIN covered c ON s.doc_id = c.doc_id),
+judged AS (
+  SELECT *, {stratum} AS stratum, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+  FROM statistics),
+valued AS ({values}),
+good AS (
+  SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL
+  GROUP BY doc_id HAVING min(quality) = max(quality)),
+grid(step, cutoff) AS (VALUES {grid}),
+held AS (
+  SELECT v.stratum, v.rule, v.value, g.quality FROM valued v JOIN good g ON v.doc_id = g.doc_id
+  JOIN judged j ON j.doc_id = v.doc_id WHERE NOT j.base_failed),
+cells AS (
+  SELECT stratum, rule, step, cutoff, count(*) FILTER (quality = 1) AS n,
+    count(*) FILTER (quality = 1 AND value > cutoff) AS k,
+    count(*) FILTER (quality = 0 AND value > cutoff) AS bad
+  FROM held, grid GROUP BY ALL),
+tested AS (
+  SELECT *, CASE WHEN k <= n * {share!r} THEN list_sum(list_transform(range(0, k + 1), lambda i: exp(
+    lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share!r}) + (n - i) * ln(1 - {share!r})))) <= {level!r}
+    ELSE false END AS ok
+  FROM (SELECT * REPLACE (n::double AS n, k AS k) FROM cells)),
+certain AS (
+  SELECT *, bad - {risk.weight} * k AS gain FROM (
+    SELECT *, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY step) AS held_up FROM tested) WHERE held_up),
+chosen AS (
+  SELECT stratum, rule, cutoff FROM certain WHERE gain > 0
+  QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, step) = 1),
+rejected AS (
+  SELECT v.doc_id, string_agg(v.rule, ',' ORDER BY v.rule) AS rules
+  FROM valued v JOIN chosen c ON v.stratum = c.stratum AND v.rule = c.rule AND v.value > c.cutoff GROUP BY v.doc_id)
+SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND r.rules IS NULL AS kept, coalesce(r.rules, '') AS rules
+FROM judged j LEFT JOIN rejected r ON j.doc_id = r.doc_id"""
+
+
+def _ngram_join(width: int = 4, per_cent: int = 85) -> str:
+    shingle = " || ' ' || ".join(f"w[i + {k}]" if k else "w[i]" for k in range(width))
+    return rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}'), lambda x: x <> '') AS w FROM documents),
+placed AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {width - 1}, 1) + 1)) AS i FROM words WHERE len(w) > 0),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < {width} THEN array_to_string(w, ' ') ELSE {shingle} END AS s
+  FROM placed),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= {per_cent} * (x.n + y.n - count(*))),
+reach AS (
+  SELECT u AS doc_id, u AS other FROM (SELECT DISTINCT u FROM links)
+  UNION SELECT r.doc_id, l.v FROM reach r JOIN links l ON l.u = r.other),
+named AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT w.doc_id, coalesce(s.n, 0)::bigint AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id
+FROM words w LEFT JOIN sizes s ON s.doc_id = w.doc_id LEFT JOIN named c ON c.doc_id = w.doc_id"""
+
+
+def _chat_format(template: chat.Template = chat.Template()) -> str:
+    fixed = len(template.turn) + len(template.body) + len(template.end) + 1
+    control = r"([<\[])(\\*)(/?s>|/?INST\]|\|)"
+    return rf"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+escaped AS (
+  SELECT *, regexp_replace(text, '{control}', '\1\\\2\3', 'g') AS e,
+    regexp_replace(role, '{control}', '\1\\\2\3', 'g') AS r FROM said)
+SELECT conv_id, count(*)::bigint AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, e)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, e) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  ({len(template.opening)} + sum(length(e) + length(r) + {fixed}))::bigint AS formatted_chars
+FROM escaped GROUP BY conv_id"""
+
+
+def _decontaminate(width: int = 5, per_cent: int = 80) -> str:
+    shingle = " || ' ' || ".join(f"w[i + {k}]" if k else "w[i]" for k in range(width))
+
+    def sets(table: str, key: str) -> str:
+        return rf"""
+  SELECT DISTINCT id, CASE WHEN len(w) < {width} THEN '#' || array_to_string(w, ' ') ELSE {shingle} END AS s FROM (
+    SELECT id, w, unnest(range(1, greatest(len(w) - {width - 1}, 1) + 1)) AS i FROM (
+      SELECT {key} AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {table}) WHERE len(w) > 0)"""
+
+    return f"""
+WITH items AS ({sets("benchmark", "item_id")}),
+docs AS ({sets("documents", "doc_id")}),
+sizes AS (SELECT id, count(*) AS n FROM items GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, count(*)::bigint AS shared, z.n::bigint AS item_shingles,
+  count(*) / z.n::double AS containment
+FROM docs d JOIN items i ON d.s = i.s JOIN sizes z ON z.id = i.id
+GROUP BY d.id, i.id, z.n HAVING 100 * count(*) >= {per_cent} * z.n"""
+
+
+_WARC = """
+WITH bodies AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages),
+digests AS (
+  SELECT page_id, strlen(body)::bigint AS payload_bytes, sha256(body) AS payload_digest FROM bodies),
+firsts AS (SELECT payload_digest, min(page_id) AS first_id FROM digests WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT d.page_id, d.payload_bytes, d.payload_digest,
+  CASE WHEN f.first_id IS NULL OR f.first_id = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN f.first_id <> d.page_id THEN f.first_id END AS refers_to
+FROM digests d LEFT JOIN firsts f ON d.payload_digest = f.payload_digest AND d.payload_bytes >= 100"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical(text: str) -> str:
+    out = f"lower(coalesce({text}, ''))"
+    out = f"regexp_replace({out}, {_quoted(licenses.COPYRIGHT_LINE.replace('(?md)', '(?m)'))}, ' ', 'g')"
+    for pattern, same in licenses.EQUIVALENT:
+        out = f"regexp_replace({out}, {_quoted(pattern)}, {_quoted(same)}, 'g')"
+    return rf"trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+def _license_scan() -> str:
+    def known(texts: dict[str, list[str]]) -> str:
+        rows = ", ".join(f"({_quoted(name.split(' (')[0])}, {_quoted(t)})"
+                         for name, t in chain.from_iterable(((n, t) for t in ts) for n, ts in texts.items()))
+        return (f"SELECT sha256({_canonical('t')}) AS digest, string_agg(DISTINCT n, ',' ORDER BY n) AS license_id "
+                f"FROM (VALUES {rows}) AS k(n, t) GROUP BY 1")
+
+    return f"""
+WITH whole AS ({known({k: [v] for k, v in licenses.LICENCES.items()})}),
+notice AS ({known(licenses.NOTICES)}),
+lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+named AS (
+  SELECT l.doc_id, string_agg(DISTINCT n.license_id, ',' ORDER BY n.license_id) AS notices, count(*) AS c
+  FROM lines l JOIN notice n ON sha256({_canonical('l.line')}) = n.digest
+  WHERE regexp_matches(lower(l.line), '{licenses.MENTIONS}') GROUP BY l.doc_id),
+scanned AS (SELECT doc_id, sha256({_canonical('text')}) AS canonical_digest FROM documents)
+SELECT s.doc_id, s.canonical_digest, w.license_id, coalesce(n.notices, '') AS notices,
+  coalesce(n.c, 0)::bigint AS n_notice_lines
+FROM scanned s LEFT JOIN whole w ON s.canonical_digest = w.digest LEFT JOIN named n ON s.doc_id = n.doc_id"""
 
 
 def statements() -> dict[str, str]:
-    return dict(_STATEMENTS)
+    return {
+        "op1_quality_rules": _quality_rules(),
+        "op2_ngram_join": _ngram_join(),
+        "op4_chat_format": _chat_format(),
+        "op5_decontaminate": _decontaminate(),
+        "op9_warc": _WARC,
+        "op10_license_scan": _license_scan(),
+    }
