@@ -1,6 +1,6 @@
 """Benchmark decontamination: containment search for short items inside long documents.
 
-Items are partitioned by the number of their shingles. The sketch of an item is the ``k`` smallest of its
+Items are partitioned by the number of their shingles, at powers of two. The sketch of an item is the ``k`` smallest of its
 hashed shingles, with ``k`` fixed by the upper size of its partition: more than a document that contains the
 item to the threshold can miss, so such a document always meets the sketch in a known number of places, however
 long it is. Documents that meet it often enough are candidates; their exact containment, the share of the
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.llm import bitmap, textops
@@ -31,16 +31,6 @@ class Search:
     #: Hits beyond the guaranteed one, as a share of the partition's size.
     surplus: float = 0.1
 
-    def sketch_size(self, n: int) -> int:
-        """Sketch size of the partition that holds items of ``n`` shingles (sizes up to a power of two)."""
-        upper = 1 << max(0, n - 1).bit_length()
-        missed = upper - (self.per_cent * upper + 99) // 100
-        return min(n, missed + 1 + int(self.surplus * upper))
-
-    def least_hits(self, n: int) -> int:
-        """Sketch hits of any document that reaches the threshold for an item of ``n`` shingles."""
-        return self.sketch_size(n) - (n - (self.per_cent * n + 99) // 100)
-
 
 _FOUND = pa.schema([("id", pa.int64()), ("h", pa.int64())])
 
@@ -72,23 +62,17 @@ def _shingle_rows(rows: DataFrame, key: str, text: str, search: Search, known=No
 
 
 def _sketched(items: DataFrame, search: Search) -> DataFrame:
-    """(item_id, h, n, in_sketch, least_hits) of item shingles.
-
-    An item is short by nature, so its shingles meet in one task.
-    """
-    schema = pa.schema([("item_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()),
-                        ("in_sketch", pa.bool_()), ("least_hits", pa.int64())])
-
-    def run(table: pa.Table) -> pa.Table:
-        h = np.sort(table.column("h").to_numpy().view(np.uint64))
-        n = len(h)
-        return pa.Table.from_arrays([
-            table.column("id"), pa.array(h.view(np.int64)), pa.array(np.full(n, n, np.int64)),
-            pa.array(np.arange(n) < search.sketch_size(n)),
-            pa.array(np.full(n, search.least_hits(n), np.int64))], schema=schema)
-
-    return items.groupBy("id").applyInArrow(
-        run, "item_id long, h long, n long, in_sketch boolean, least_hits long")
+    """(item_id, h, n, in_sketch, least_hits) of distinct item shingles."""
+    n, per_cent = F.col("n"), search.per_cent
+    least_share = lambda x: F.floor((per_cent * x + 99) / 100)
+    upper = F.pow(F.lit(2.0), F.ceil(F.log2(n.cast("double")))).cast("long")
+    size = F.least(n, upper - least_share(upper) + 1 + F.floor(search.surplus * upper))
+    of_item = Window.partitionBy("id")
+    ranked = items.withColumn("n", F.count(F.lit(1)).over(of_item)).withColumn(
+        "r", F.row_number().over(of_item.orderBy("h")))
+    return ranked.select(
+        F.col("id").alias("item_id"), "h", "n", (F.col("r") <= size).alias("in_sketch"),
+        (size - (n - least_share(n))).cast("long").alias("least_hits"))
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text",
