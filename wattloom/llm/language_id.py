@@ -53,9 +53,17 @@ def sample_ids(documents: DataFrame, doc: str, lang: str, learn: Column, setting
         F.col(doc).alias("doc_id"), F.col(lang).alias("lang"))
     top = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).orderBy(
         F.desc("c"), "lang").limit(settings.languages).collect()
+    # The share of each language's ids, by hash, that holds about twice the wanted number; so the ranking
+    # sees a few rows of a language however many it has.
+    room = 1 << 20
+    share = F.lit(0)
+    for r in top:
+        share = F.when(F.col("lang") == r["lang"],
+                       F.lit(min(room, 2 * settings.per_language * room // r["c"] + 1))).otherwise(share)
+    some = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(room)) < share).distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return (rows.filter(F.col("lang").isin([r["lang"] for r in top])).distinct()
-            .withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= settings.per_language).drop("_r"))
+    return some.withColumn("_r", F.row_number().over(order)).filter(
+        F.col("_r") <= settings.per_language).drop("_r")
 
 
 def _previous(data: np.ndarray, offsets: np.ndarray, back: int) -> np.ndarray:
