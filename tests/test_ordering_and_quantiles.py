@@ -76,7 +76,7 @@ PROBABILITIES = [0.0, 0.25, 0.5, 0.95, 0.99, 1.0]
 
 @pytest.mark.parametrize("listed", [10_000, 50, 1])
 def test_exact_quantiles_agree_with_numpy(spark, monkeypatch, listed):
-    monkeypatch.setattr(quantiles, "BUCKETS", 64)
+    monkeypatch.setattr(quantiles, "ACCURACY", 64)
     names = list(VALUES)
     rows = [tuple(float(VALUES[n][i]) for n in names) for i in range(3000)]
     schema = ", ".join(f"{n} double" for n in names)
@@ -90,3 +90,36 @@ def test_exact_quantiles_agree_with_numpy(spark, monkeypatch, listed):
 def test_quantiles_of_nothing_are_none(spark):
     empty = spark.createDataFrame([], "v double")
     assert quantiles.exact_quantiles(empty, {"v": [0.5]}) == {"v": [None]}
+
+
+def count_passes(monkeypatch):
+    """Counts the scans that the search takes after the summary."""
+    passes = []
+    for name in ("_proposals", "_count_groups"):
+        original = getattr(quantiles, name)
+        monkeypatch.setattr(quantiles, name, lambda *a, f=original: passes.append(1) or f(*a))
+    return passes
+
+
+@pytest.mark.parametrize("kind", ["infinite", "decades", "two values", "ties"])
+def test_quantiles_end_within_six_passes(spark, monkeypatch, kind):
+    rng = np.random.default_rng(9)
+    n = 40_000
+    values = {
+        "infinite": np.where(np.arange(n) % 3 == 0, np.inf, np.where(np.arange(n) % 7 == 0, -np.inf, rng.normal(size=n))),
+        "decades": 10.0 ** rng.uniform(-300, 300, n) * rng.choice([-1, 1], n),
+        "two values": np.where(np.arange(n) % 4 == 0, 1.0, 2.0),
+        "ties": np.floor(rng.exponential(1.0, n)),
+    }[kind]
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    passes = count_passes(monkeypatch)
+    ranks = [0, 1, n // 4, n // 2, n - n // 3, n - 2, n - 1]
+    found = quantiles.order_statistics(df, {"x": ranks}, listed=500)
+    ordered = np.sort(values)
+    assert [found["x", k] for k in ranks] == [ordered[k] for k in ranks]
+    assert len(passes) <= 6
+
+
+def test_quantile_between_infinities(spark):
+    df = spark.createDataFrame([(1.0,), (float("inf"),), (float("inf"),)], "x double")
+    assert quantiles.exact_quantiles(df, {"x": [0.0, 0.75, 1.0]})["x"] == [1.0, float("inf"), float("inf")]

@@ -24,7 +24,6 @@ from wattloom.functions.hashing import gaussian
 from wattloom.functions.rounding import js_round
 from wattloom.operators.appliances import watts_of
 from wattloom.operators.ordering import number_in_order
-from wattloom.runtime import broadcast_if_small
 
 
 def parse_feature_order(text: str) -> list[str]:
@@ -197,8 +196,8 @@ def label_codes(df: DataFrame, column: str, name: str = "code") -> DataFrame:
 def label_encode(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add an integer code per column, {column: name of the code}; null keeps a null code."""
     for column, name in columns.items():
-        codes = broadcast_if_small(label_codes(df, column, name))
-        df = df.join(codes, column, "left")
+        # The planner broadcasts the codes if their bytes allow; else it splits skewed partitions.
+        df = df.join(label_codes(df, column, name), column, "left")
     return df
 
 
@@ -248,10 +247,10 @@ NON_NEGATIVE = [
 
 
 def clean_training(df: DataFrame, features: list[str], target: str = TARGET) -> DataFrame:
-    """Rows whose features and target are all numbers and whose energy, hours and tariff are >= 0."""
+    """Rows whose features and target are all finite and whose energy, hours and tariff are >= 0."""
     usable = F.lit(True)
     for name in [*features, target]:
-        usable = usable & F.col(name).isNotNull() & ~F.isnan(name)
+        usable = usable & F.col(name).isNotNull() & (F.abs(F.col(name)) < float("inf"))
     for name in NON_NEGATIVE:
         if name in features:
             usable = usable & (F.col(name) >= 0)

@@ -13,7 +13,6 @@ from wattloom.constants import (
 )
 from wattloom.functions.rounding import half_up
 from wattloom.operators.ordering import HOT_ROWS, number_in_order, previous_in_order
-from wattloom.runtime import broadcast_if_small
 
 
 def household_by_id(records: DataFrame, house_id) -> DataFrame:
@@ -23,7 +22,7 @@ def household_by_id(records: DataFrame, house_id) -> DataFrame:
 
 def households_by_ids(records: DataFrame, ids: DataFrame) -> DataFrame:
     """All records of the houses listed in ``ids(house_id)``."""
-    return records.join(broadcast_if_small(ids.select("house_id")), "house_id", "left_semi")
+    return records.join(ids.select("house_id"), "house_id", "left_semi")
 
 
 def filter_model(log: DataFrame, model: str | None) -> DataFrame:

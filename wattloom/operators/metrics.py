@@ -3,7 +3,6 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattloom.runtime import broadcast_if_small, pinned
 
 
 def _error() -> Column:
@@ -61,7 +60,7 @@ def pred_vs_actual(scored: DataFrame) -> DataFrame:
     bounds = scored.groupBy("model").agg(
         F.min(F.least("y", "prediction")).alias("diagonal_min"),
         F.max(F.greatest("y", "prediction")).alias("diagonal_max"))
-    return scored.join(broadcast_if_small(pinned(bounds)), "model")
+    return scored.join(bounds, "model")
 
 
 def rank_models(metrics: DataFrame) -> DataFrame:

@@ -17,14 +17,20 @@ _RANGE = "_range"
 # A key with more rows than this is spread over ranges rather than sorted in one task.
 HOT_ROWS = 5_000_000
 
+# Rows that one task sorts with ease.
+ROWS_PER_RANGE = 2_000_000
+
 
 def in_ranges(df: DataFrame, order_by: list[Column]) -> DataFrame:
     """``df`` with a column ``_range`` that grows along ``order_by``.
 
     Range borders come from a sample, so the result is pinned: two readers of an unpinned cut
-    could see different borders.
+    could see different borders. The number of ranges follows the number of rows.
     """
-    cut = df.repartitionByRange(*order_by).withColumn(_RANGE, F.spark_partition_id())
+    spark = df.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(least, df.count() // ROWS_PER_RANGE + 1)
+    cut = df.repartitionByRange(ranges, *order_by).withColumn(_RANGE, F.spark_partition_id())
     return pinned(cut)
 
 

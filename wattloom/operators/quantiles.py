@@ -1,9 +1,10 @@
 """Exact quantiles of whole columns by repeated counting.
 
-``percentile`` keeps every distinct value in one task's memory. Instead, each pass counts the
-values of the current bracket in equal-width buckets (partially aggregated before the shuffle)
-and keeps only the bucket that holds the wanted rank. A few scans of the needed columns are
-enough at any size, nothing is sorted, and the driver sees bucket counts only.
+``percentile`` keeps every distinct value in one task's memory. Instead, a sketch proposes three
+values of the current bracket close around the wanted rank; a second pass counts the values
+before, between and after them (partially aggregated before the shuffle), and the part that holds
+the rank is the next bracket. A round leaves a few ten-thousandths of the values whatever their
+range, infinities included, nothing is sorted, and the driver sees counts only.
 """
 
 import math
@@ -12,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+# Relative error of the sketch is 1 / ACCURACY; the proposals stand twice as far from the rank.
+ACCURACY = 10_000
 # A bracket with this many values or fewer is finished by listing its distinct values.
 LISTED = 10_000
 
@@ -52,32 +54,43 @@ def _value(column):
     return F.when(~F.isnan(x), x)
 
 
-def _count_groups(df: DataFrame, spans: list[tuple], listed: bool) -> dict[int, list]:
-    """Per span, its values grouped by bucket (or by value) as ascending (lo, hi, size)."""
+def _proposals(df: DataFrame, brackets: list[_Bracket]) -> list[list[float]]:
+    """Three values of each bracket around its rank, from a sketch of the bracket's values."""
+    aggs = []
+    for i, b in enumerate(brackets):
+        x = _value(b.column)
+        at = (b.rank - b.below + 0.5) / b.size
+        shares = [min(1.0, max(0.0, at + side * 2 / ACCURACY)) for side in (-1, 0, 1)]
+        aggs.append(F.percentile_approx(
+            F.when(x.between(b.lo, b.hi), x), shares, ACCURACY).alias(f"p{i}"))
+    row = df.agg(*aggs).first()
+    return [list(row[f"p{i}"]) for i in range(len(brackets))]
+
+
+def _count_groups(df: DataFrame, spans: list[tuple], cuts: list[list[float]] | None) -> list[list]:
+    """Per span, its values grouped by the cuts (by value without cuts) as ascending (lo, hi, size)."""
     picks = []
     for i, (column, lo, hi) in enumerate(spans):
         x = _value(column)
-        # Halved first: hi - lo may exceed the largest double.
-        half_width = (hi / 2 - lo / 2) / BUCKETS
-        by_value = listed or lo + 2 * half_width == lo
-        if by_value:
-            bucket, value = F.lit(0), x
+        if cuts is None:
+            part, value = F.lit(0), x
         else:
-            place = F.floor((x / 2 - lo / 2) / half_width)
-            bucket, value = F.least(place, F.lit(BUCKETS - 1)), F.lit(None).cast("double")
+            first, middle, last = (F.lit(c) for c in cuts[i])
+            part = (F.when(x < first, 0).when(x < middle, 1).when(x == middle, 2)
+                    .when(x <= last, 3).otherwise(4))
+            value = F.lit(None).cast("double")
         picks.append(F.when(x.between(lo, hi), F.struct(
-            F.lit(i).alias("span"), bucket.cast("int").alias("bucket"),
-            value.alias("value"), x.alias("x"))))
+            F.lit(i).alias("span"), part.alias("part"), value.alias("value"), x.alias("x"))))
     rows = (
         df.select(F.explode(F.array_compact(F.array(*picks))).alias("p")).select("p.*")
-        .groupBy("span", "bucket", "value")
+        .groupBy("span", "part", "value")
         .agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"))
         .collect()
     )
-    groups: dict[int, list] = {i: [] for i in range(len(spans))}
+    groups: list[list] = [[] for _ in spans]
     for row in rows:
         groups[row["span"]].append((row["lo"], row["hi"], row["n"]))
-    return {i: sorted(found) for i, found in groups.items()}
+    return [sorted(found) for found in groups]
 
 
 def summaries(df: DataFrame, columns: list[str]) -> dict[str, dict]:
@@ -110,11 +123,15 @@ def order_statistics(
     while todo := [b for b in brackets if not b.found]:
         large = [b for b in todo if b.size > listed]
         # The small brackets are finished together, once no large one needs a counting pass.
-        batch = large or todo
-        spans = list(dict.fromkeys(b.span for b in batch))
-        groups = _count_groups(df, spans, listed=not large)
-        for b in batch:
-            b.narrow(groups[spans.index(b.span)])
+        if large:
+            groups = _count_groups(df, [b.span for b in large], _proposals(df, large))
+        else:
+            groups = _count_groups(df, [b.span for b in todo], None)
+        for b, found in zip(large or todo, groups):
+            size = b.size
+            b.narrow(found)
+            if not b.found and b.size >= size:
+                raise RuntimeError(f"counting did not narrow {b.column}")
     return {(b.column, b.rank): b.lo for b in brackets}
 
 
@@ -140,7 +157,8 @@ def exact_quantiles(
 
     def interpolated(column, at):
         lo, hi = values[column, math.floor(at)], values[column, math.ceil(at)]
-        return lo + (hi - lo) * (at - math.floor(at))
+        # Equal neighbours first: infinity minus itself is no number.
+        return lo if lo == hi else lo + (hi - lo) * (at - math.floor(at))
 
     return {
         c: [interpolated(c, at) for at in places[c]] if c in places else [None] * len(ps)

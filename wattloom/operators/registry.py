@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from wattloom.constants import FEATURE_SPECS, MODEL_REGISTRY
-from wattloom.runtime import broadcast_if_small
 
 
 def registry_frame(spark: SparkSession, registry: dict = MODEL_REGISTRY) -> DataFrame:
@@ -33,11 +32,11 @@ def available_models(registry: DataFrame, artifacts: DataFrame, on: str = "path"
 
 
 def known_model_rows(rows: DataFrame, registry: DataFrame) -> DataFrame:
-    return rows.join(broadcast_if_small(registry.select("model")), "model", "left_semi")
+    return rows.join(registry.select("model"), "model", "left_semi")
 
 
 def unknown_model_rows(rows: DataFrame, registry: DataFrame) -> DataFrame:
-    return rows.join(broadcast_if_small(registry.select("model")), "model", "left_anti")
+    return rows.join(registry.select("model"), "model", "left_anti")
 
 
 def model_info(spark: SparkSession, root: str, spec: str = "v12") -> dict:

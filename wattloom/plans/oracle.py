@@ -266,26 +266,24 @@ _BILL = f"""CASE WHEN {_blank('bill')}
     THEN {r(f"coalesce({_num('grid')}, 0) * coalesce({_num('tariff')}, 0)", 2)}
     ELSE coalesce({_num('bill')}, 0) END"""
 
-_FIELD_SQL = {
+_ALL_FIELDS = {
     "MonthlyHours": ("hours", True, 744),
     "TariffRate": ("tariff", True, 200),
-    "GridConsumption_kWh": ("grid", False, 20000),
-    "AirConditioner": ("ac", False, 20),
-    "Television": ("television", False, 20),
-}
-_ALL_FIELDS = {
-    **_FIELD_SQL,
     "SolarGeneration_kWh": ("solar_", False, 10000),
+    "GridConsumption_kWh": ("grid", False, 20000),
     "EnergySold_kWh": ("sold", False, 20000),
     "NetBill": ("bill", False, 10000000),
     "Fan": ("fan", False, 100),
     "Refrigerator": ("refrigerator", False, 50),
+    "AirConditioner": ("ac", False, 20),
+    "Television": ("television", False, 20),
+    "Monitor": ("'1.5'", False, 20),
     "MotorPump": ("pump", False, 10),
 }
 
 
 def _field(field: str) -> str:
-    raw, required, high = _FIELD_SQL[field]
+    raw, required, high = _ALL_FIELDS[field]
     missing = ("'error'", "'value is missing'") if required else ("'ok'", "''")
     number = _num(raw)
     cases = [(_blank(raw), *missing), (f"{number} IS NULL", "'error'", "'not a number'"),
@@ -547,9 +545,7 @@ def statements() -> dict[str, str]:
             SELECT house_id, model, CASE WHEN model = 'unknown' THEN 'model not available'
                 WHEN gap THEN 'feature is not a number'
                 WHEN short THEN 'feature vector length mismatch' END AS reason FROM requests"""),
-        "validate_fields": _on("forms", " UNION ALL ".join(
-            [_field(f) for f in _FIELD_SQL]
-            + ["SELECT row_id, 'Month_num' AS field, 'ok' AS status, '' AS message FROM forms"])),
+        "validate_fields": _on("forms", " UNION ALL ".join(map(_field, _ALL_FIELDS))),
         "blocked_rows": _on("forms", "SELECT row_id FROM forms WHERE " + " OR ".join(
             _is_error(f) for f in _ALL_FIELDS)),
         "filter_model": _on("predictions", """

@@ -349,8 +349,7 @@ def validate_vector(spark, folder):
 
 @query
 def validate_fields(spark, folder):
-    fields = ["MonthlyHours", "TariffRate", GRID, "AirConditioner", "Television", "Month_num"]
-    return validation.validate_fields(views.forms(spark, folder), fields)
+    return validation.validate_fields(views.forms(spark, folder))
 
 
 @query

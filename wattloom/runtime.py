@@ -1,4 +1,4 @@
-"""Session defaults, the shared folder for checkpoints and scratch tables, broadcast checks."""
+"""Session defaults, the shared folder for checkpoints and scratch tables."""
 
 import tempfile
 import uuid
@@ -6,12 +6,9 @@ from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
 
-BROADCAST_MAX_ROWS = 200_000
-
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A single-machine session for tests and the benchmark; a cluster brings its own."""
@@ -68,13 +65,3 @@ def kept(df: DataFrame):
         yield df
     finally:
         df.unpersist()
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if it has at most ``max_rows`` rows.
-
-    A larger one is returned as it is: the join then shuffles, and the adaptive planner splits
-    skewed partitions.
-    """
-    few = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if few else df
