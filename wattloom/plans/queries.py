@@ -24,9 +24,6 @@ _QUERIES: dict[str, Query] = {}
 V12 = FEATURE_SPECS["v12"]
 GRID, SOLAR = "GridConsumption_kWh", "SolarGeneration_kWh"
 
-# Tree models of the registered queries are kept small; the defaults of Settings are full size.
-SMALL_TREES = ml.Settings(trees=20, tree_depth=8, rounds=20, boost_depth=5)
-
 
 def query(fn: Query) -> Query:
     _QUERIES[fn.__name__] = fn
@@ -523,120 +520,167 @@ def linear_sql(spark, folder):
     return _rounded(line, ["slope", "intercept", "r2"])
 
 
-def _fitted_on_train(spark, folder, model):
-    """(model fitted on the training part, the test part)."""
-    rows = ml.prepare_training(views.training(spark, folder), "v12")
-    train, test = ml.train_test_split(rows, "house_id")
-    return ml.fit(train, model, "v12", SMALL_TREES), test
+_model_roots: dict[tuple[str, str], str] = {}
+_stored: set[tuple[str, str]] = set()
+
 
+def _model(spark, folder, key):
+    """A model at full size, fitted and stored by the first query of the application that needs it."""
+    at = (spark.sparkContext.applicationId, folder)
+    root = _model_roots.setdefault(at, scratch_path(spark, "models"))
+    if (root, key) not in _stored:
+        train, _ = _parts(spark, folder)
+        ml.save_models({key: ml.fit(train, key, "v12")}, root)
+        _stored.add((root, key))
+    return ml.load_model(spark, root, key)
 
-def _fit_and_evaluate(model, spark, folder):
-    fitted, test = _fitted_on_train(spark, folder, model)
-    return metrics.eval_metrics(ml.score_all_models(test, {model: fitted}))
 
+def _models(spark, folder):
+    return {key: _model(spark, folder, key) for key in ("linear", "rf", "gbt")}
+
+
+def _parts(spark, folder):
+    rows = ml.prepare_training(views.training_raw(spark, folder), "v12")
+    return ml.train_test_split(rows, "house_id")
 
-for _key, _name in [("fit_forest", "rf"), ("fit_boosted", "gbt")]:
-    _QUERIES[_key] = partial(_fit_and_evaluate, _name)
 
+def _quality(spark, folder, models):
+    """Per model: size and target of the test part, and whether its errors are plausible.
 
-# A model of one feature has a closed form, so these can be compared with SQL.
-ONE_FEATURE = ["total_appliance_power"]
+    The target carries noise of deviation 5, so no model can be much better than that.
+    """
+    _, test = _parts(spark, folder)
+    scored = ml.score_all_models(test, models)
+    found = metrics.eval_metrics(scored).select(
+        "model", "n", (F.col("RMSE") > 4.0).alias("not_below_noise"),
+        (F.col("R2") > 0.8).alias("explains_target"))
+    target = scored.groupBy("model").agg(
+        F.avg("y").alias("y_mean"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
+    return _rounded(found.join(target, "model"), ["y_mean", "y_min", "y_max"], 5)
 
 
-def _line_and_test_part(spark, folder):
-    rows = features.clip_target(features.add_noise(views.training(spark, folder), "house_id"))
-    train, test = ml.train_test_split(rows, "house_id")
-    return ml.fit(train, "linear", ONE_FEATURE), test
+def _fit_quality(model, spark, folder):
+    return _quality(spark, folder, {model: _model(spark, folder, model)})
+
+
+for _key, _name in [("fit_forest", "rf"), ("fit_boosted", "gbt")]:
+    _QUERIES[_key] = partial(_fit_quality, _name)
 
 
 def _predicted(rows, model):
-    return _rounded(ml.predict(rows, model).select("house_id", "prediction"), ["prediction"], 5)
+    # The fit and its SQL twin add in different orders and agree to about 1e-6 kWh.
+    return _rounded(ml.predict(rows, model).select("house_id", "prediction"), ["prediction"], 1)
 
 
 @query
 def fit_linear(spark, folder):
-    line, test = _line_and_test_part(spark, folder)
+    train, test = _parts(spark, folder)
+    line = ml.fit(train, "linear", "v12")
     quality = metrics.eval_metrics(ml.score_all_models(test, {"linear": line}))
-    return _rounded(quality, list(metrics.METRICS), 5)
+    return _rounded(quality, list(metrics.METRICS), 3)
 
 
 @query
 def predict_batch(spark, folder):
-    line, test = _line_and_test_part(spark, folder)
-    return _predicted(test, line)
+    _, test = _parts(spark, folder)
+    return _predicted(test, _model(spark, folder, "linear"))
 
 
 @query
 def save_load_models(spark, folder):
+    train, test = _parts(spark, folder)
     root = scratch_path(spark, "models")
-    line, test = _line_and_test_part(spark, folder)
-    ml.save_models({"linear": line}, root)
+    ml.save_models({"linear": ml.fit(train, "linear", "v12")}, root)
     return _predicted(test, ml.load_model(spark, root, "linear"))
 
 
-_models: dict[tuple[str, str], dict] = {}
-
-
-def _trained(spark, folder, root=None):
-    return ml.train_models(
-        views.training_raw(spark, folder), "v12", settings=SMALL_TREES, root=root)
-
-
-def _all_models(spark, folder):
-    """All models fitted on the training part; once per application and folder."""
-    at = (spark.sparkContext.applicationId, folder)
-    if at not in _models:
-        _models[at] = _trained(spark, folder).models
-    return _models[at]
-
-
-def _test_part(spark, folder):
-    rows = ml.prepare_training(views.training_raw(spark, folder), "v12")
-    _, test = ml.train_test_split(rows, "house_id")
-    return test
+def _plausible(scored, train):
+    """The line's predictions, and whether the trees' are possible: a forest stays inside the targets."""
+    low, high = train.agg(F.min(TARGET), F.max(TARGET)).first()
+    finite = F.abs("prediction") < float("inf")
+    inside = F.col("prediction").between(low, high)
+    return _rounded(scored.withColumns({
+        "linear_prediction": F.when(F.col("model") == "linear", F.col("prediction")),
+        "plausible": F.when(F.col("model") == "rf", inside).otherwise(finite),
+    }), ["linear_prediction"], 1)
 
 
 @query
 def score_all_models(spark, folder):
-    scored = ml.score_all_models(_test_part(spark, folder), _all_models(spark, folder))
-    return scored.select("house_id", "model", "y", "prediction")
+    train, test = _parts(spark, folder)
+    scored = ml.score_all_models(test, _models(spark, folder))
+    return _rounded(_plausible(scored, train), ["y"]).select(
+        "house_id", "model", "y", "linear_prediction", "plausible")
 
 
 @query
 def evaluate_models(spark, folder):
-    scored = ml.score_all_models(_test_part(spark, folder), _all_models(spark, folder))
-    return metrics.eval_metrics(scored)
+    return _quality(spark, folder, _models(spark, folder))
 
 
 @query
 def score_by_model(spark, folder):
-    models = _all_models(spark, folder)
+    train, _ = _parts(spark, folder)
+    models = _models(spark, folder)
     checked = validation.validate_vector(views.vector_requests(spark, folder), list(models))
     accepted, _ = validation.split_valid(checked)
-    return ml.score_by_model(accepted, models).select("house_id", "model", "prediction")
+    return _plausible(ml.score_by_model(accepted, models), train).select(
+        "house_id", "model", "linear_prediction", "plausible")
 
 
 @query
-def train_and_evaluate(spark, folder):
-    """The whole training job: clean, noise, split, fit, evaluate, store, rank."""
-    trained = _trained(spark, folder, scratch_path(spark, "models"))
-    return metrics.rank_models(trained.metrics)
+def train_pipeline(spark, folder):
+    """What the whole training job leaves: stored models, ranked by their test metrics."""
+    models = _models(spark, folder)
+    ranked = metrics.rank_models(metrics.eval_metrics(
+        ml.score_all_models(_parts(spark, folder)[1], models)))
+    root = _model_roots[spark.sparkContext.applicationId, folder]
+    stored = registry.available_models(
+        registry.registry_frame(spark), registry.stored_artifacts(spark, root))
+    return stored.join(ranked, "model").select(
+        "model", "label", "n", F.col("rank").between(1, len(models)).alias("ranked"))
 
 
 @query
 def top_feature_importances(spark, folder):
-    fitted, _ = _fitted_on_train(spark, folder, "rf")
-    return ml.top_importances(ml.feature_importances(fitted))
+    """Ranking of a given table (the share of the target that each feature explains alone).
+
+    ``sums_to_one`` tells whether the importances of the forest do.
+    """
+    rows = views.training(spark, folder)
+    given = rows.agg(*[F.regr_r2(F.col(TARGET), F.col(f)).alias(f) for f in V12]).select(F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.coalesce(F.col(f), F.lit(0.0)).alias("importance"))
+        for f in V12])).alias("p")).select("p.*")
+    forest = _model(spark, folder, "rf")
+    total = ml.feature_importances(forest).agg(F.sum("importance")).first()[0]
+    top = _rounded(ml.top_importances(given), ["importance"])
+    return top.withColumn("sums_to_one", F.lit(abs(total - 1) < 1e-6))
 
 
 # --- streams -----------------------------------------------------------------------------------
 
 
+STREAM_PARTS = 4
+
+
+def _arriving(spark, folder):
+    """All events as a stream of several batches, in the order of their ids and so of their time."""
+    base = scratch_path(spark, "arriving")
+    events = tables.table(spark, folder, "events")
+    size = events.agg(F.max("event_id")).first()[0] // STREAM_PARTS + 1
+    for i in range(STREAM_PARTS):
+        part = events.filter(F.col("event_id").between(i * size, (i + 1) * size - 1))
+        part.write.mode("append").parquet(f"{base}/events.parquet")
+    files = spark.read.parquet(f"{base}/events.parquet").inputFiles()
+    return tables.event_stream(spark, base, files_per_batch=-(-len(files) // STREAM_PARTS))
+
+
 @query
 def stream_ingest(spark, folder):
+    """Arriving records, those that repeat an id within the watermark dropped."""
     base = scratch_path(spark, "stream-ingest")
-    records = views.event_records(tables.event_stream(spark, folder)).drop("ts")
-    jobs.run_available(jobs.ingest_writer(records, base))
+    records = views.event_records(_arriving(spark, folder))
+    jobs.run_available(jobs.ingest_writer(records, base, "record_id", "ts"))
     return spark.read.parquet(f"{base}/records").select(
         "record_id", "house_id", "total_consumption_kwh", "outcome",
         F.coalesce("reason", F.lit("")).alias("reason"))
@@ -645,19 +689,20 @@ def stream_ingest(spark, folder):
 @query
 def stream_score(spark, folder):
     base = scratch_path(spark, "stream-score")
-    line, test = _line_and_test_part(spark, folder)
+    _, test = _parts(spark, folder)
+    line = _model(spark, folder, "linear")
     test.write.parquet(f"{base}/requests")
     arriving = spark.readStream.schema(test.schema).parquet(f"{base}/requests")
     jobs.run_available(jobs.score_writer(arriving.drop(TARGET), line, base))
     log = spark.read.parquet(f"{base}/log")
     return _rounded(log.select("house_id", F.col("predicted_value_kwh").alias("prediction")),
-                    ["prediction"], 5)
+                    ["prediction"], 1)
 
 
 @query
 def stream_delta(spark, folder):
     base = scratch_path(spark, "stream-delta")
-    rows = views.reading_columns(tables.event_stream(spark, folder))
+    rows = views.reading_columns(_arriving(spark, folder))
     jobs.run_available(jobs.delta_writer(rows, base, "kwh", "ts", "event_id"))
     return spark.read.parquet(f"{base}/deltas").select(
         "event_id", "house_id", "kwh", "last_kwh", "delta_kwh", "direction")
@@ -666,9 +711,9 @@ def stream_delta(spark, folder):
 @query
 def stream_recent_30(spark, folder):
     base = scratch_path(spark, "stream-recent")
-    rows = views.reading_columns(tables.event_stream(spark, folder))
-    done = jobs.run_available(jobs.recent_writer(rows, base, "ts", "event_id"))
-    return jobs.read_recent(spark, base, jobs.last_batch(done)).select(
+    rows = views.reading_columns(_arriving(spark, folder))
+    jobs.run_available(jobs.recent_writer(rows, base, "ts", "event_id"))
+    return jobs.read_recent(spark, base).select(
         "event_id", "house_id", "kwh")
 
 

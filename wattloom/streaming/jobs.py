@@ -14,6 +14,7 @@ from wattloom.operators.history import change, recent_per_house
 from wattloom.operators.models import predict
 from wattloom.operators.ordering import HOT_ROWS, previous_in_order
 from wattloom.operators.validation import outcome, validate_household
+from wattloom.runtime import kept
 
 BATCH = "batch_id"
 
@@ -37,10 +38,33 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
 
 
-def _alternating(path: str, batch_id: int) -> str:
-    """One of two tables in turn: batch b reads the one of b - 1 and replaces the other, so a
-    repeated batch finds its input unchanged."""
-    return f"{path}/{batch_id % 2}"
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """Ids of the batches that left a complete table below ``path``, in order."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    folders = [status.getPath() for status in files.listStatus(root)]
+    return sorted(
+        int(f.getName().partition("=")[2]) for f in folders
+        if f.getName().startswith(f"{BATCH}=") and files.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS")))
+
+
+def _state_before(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame | None:
+    """The state table that the batch before ``batch_id`` left, if any."""
+    earlier = [b for b in _batches(spark, path) if b < batch_id]
+    return spark.read.schema(schema).parquet(f"{path}/{BATCH}={earlier[-1]}") if earlier else None
+
+
+def _write_state(df: DataFrame, path: str, batch_id: int) -> None:
+    """Write the state after a batch; a repeated batch still finds the one before it."""
+    _write_batch(df, path, batch_id)
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for old in [b for b in _batches(spark, path) if b < batch_id][:-1]:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{BATCH}={old}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def ingest_writer(
@@ -81,34 +105,39 @@ def delta_writer(
 ) -> DataStreamWriter:
     """Each row's difference to the previous one of its house, into ``folder``/deltas.
 
-    Within a batch the previous row comes from the batch operator, which spreads a hot house
-    over tasks; a per-key state function would get all its rows in one. The last row per house
-    is kept in a table that each batch reads and replaces.
+    The order is that of (time, row id). The newest row per house is kept from batch to batch and
+    never moves back: a row that arrives after a later one of its house has ``late`` set and no
+    previous value. Within a batch the previous row comes from the batch operator, which spreads a
+    hot house over tasks; a per-key state function would get all its rows in one.
     """
+    state = f"{folder}/last"
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        order = F.struct(time, row_id)
-        newest = batch.groupBy("house_id").agg(
-            F.max_by(F.struct(time, row_id, value), order).alias("_last")
-        ).select("house_id", "_last.*")
-        # As a struct, a previous value that is null differs from no previous row.
-        linked = previous_in_order(
-            batch.withColumn("_held", F.struct(F.col(value).alias("kwh"))),
-            "house_id", [time, row_id], "_held", "_previous", hot_rows)
-        linked = linked.withColumn("last_kwh", F.col("_previous.kwh"))
-        if batch_id > 0:
-            before = batch.sparkSession.read.schema(newest.schema).parquet(
-                _alternating(f"{folder}/last", batch_id - 1))
-            carried = before.select("house_id", F.col(value).alias("_carried"))
-            # One row per house of the batch.
-            firsts = linked.filter(F.col("_previous").isNull()).join(
-                carried, "house_id", "left").withColumn("last_kwh", F.col("_carried"))
-            linked = linked.filter(F.col("_previous").isNotNull()).unionByName(
-                firsts.drop("_carried"))
-            newest = newest.unionByName(before.join(newest, "house_id", "left_anti"))
-        delta, direction = change(F.col(value), F.col("last_kwh"))
-        linked = linked.withColumn("delta_kwh", delta).withColumn("direction", direction)
-        _write_batch(linked.drop("_held", "_previous"), f"{folder}/deltas", batch_id)
-        newest.write.mode("overwrite").parquet(_alternating(f"{folder}/last", batch_id))
+        spark = batch.sparkSession
+        kept_columns = ["house_id", time, row_id, value]
+        schema = batch.select(*kept_columns).schema
+        with kept(batch) as held:
+            before = _state_before(spark, state, batch_id, schema)
+            known = (before if before is not None else spark.createDataFrame([], schema)).select(
+                F.col("house_id").alias("_house"), F.struct(time, row_id).alias("_at"),
+                F.struct(F.col(value).alias("kwh")).alias("_from_before"))
+            marked = held.join(known, F.col("house_id").eqNullSafe(F.col("_house")), "left").withColumn(
+                "late", F.coalesce(F.struct(time, row_id) <= F.col("_at"), F.lit(False)))
+            # As a struct, a previous value that is null differs from no previous row.
+            on_time = marked.filter(~F.col("late")).withColumn("_held", F.struct(F.col(value).alias("kwh")))
+            linked = previous_in_order(on_time, "house_id", [time, row_id], "_held", "_previous", hot_rows)
+            linked = linked.withColumn("_previous", F.coalesce("_previous", "_from_before")).withColumn(
+                "last_kwh", F.col("_previous.kwh"))
+            late = marked.filter("late").withColumn("last_kwh", F.lit(None).cast(schema[value].dataType))
+            columns = [*batch.columns, "late", "last_kwh"]
+            done = linked.select(*columns).unionByName(late.select(*columns))
+            delta, direction = change(F.col(value), F.col("last_kwh"))
+            _write_batch(done.withColumn("delta_kwh", delta).withColumn("direction", direction),
+                         f"{folder}/deltas", batch_id)
+            seen = held.select(*kept_columns)
+            newest = (seen.unionByName(before) if before is not None else seen).groupBy("house_id").agg(
+                F.max_by(F.struct(time, row_id, value), F.struct(time, row_id)).alias("_last"))
+            _write_state(newest.select("house_id", "_last.*"), state, batch_id)
 
     return rows.writeStream.foreachBatch(write).option(
         "checkpointLocation", f"{folder}/checkpoint")
@@ -119,31 +148,26 @@ def recent_writer(
 ) -> DataStreamWriter:
     """The newest n rows per house, kept up to date in ``folder``/recent.
 
-    Batch b merges its rows with the table of batch b - 1. The rank filter runs before the
-    shuffle, so a hot house sends at most n rows per input task.
+    Each batch merges its rows with the table that the one before left. The rank filter runs
+    before the shuffle, so a hot house sends at most n rows per input task.
     """
+    state = f"{folder}/recent"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        merged = batch
-        if batch_id > 0:
-            merged = batch.unionByName(
-                batch.sparkSession.read.schema(batch.schema).parquet(
-                    _alternating(f"{folder}/recent", batch_id - 1)))
-        recent_per_house(merged, n, time, row_id).write.mode("overwrite").parquet(
-            _alternating(f"{folder}/recent", batch_id))
+        before = _state_before(batch.sparkSession, state, batch_id, batch.schema)
+        merged = batch if before is None else batch.unionByName(before)
+        _write_state(recent_per_house(merged, n, time, row_id), state, batch_id)
 
     return rows.writeStream.foreachBatch(write).option(
         "checkpointLocation", f"{folder}/checkpoint")
 
 
-def last_batch(query: StreamingQuery) -> int:
-    """Id of the last batch that had rows."""
-    return max(p.batchId for p in query.recentProgress if p.numInputRows > 0)
-
-
-def read_recent(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
-    """The table ``recent_writer`` left after batch ``batch_id``."""
-    return spark.read.parquet(_alternating(f"{folder}/recent", batch_id))
+def read_recent(spark: SparkSession, folder: str) -> DataFrame:
+    """The table that the last finished batch of ``recent_writer`` left."""
+    last = _batches(spark, f"{folder}/recent")
+    if not last:
+        raise FileNotFoundError(f"{folder}/recent")
+    return spark.read.parquet(f"{folder}/recent/{BATCH}={last[-1]}")
 
 
 def daily_usage(rows: DataFrame, name: str, value: str, time: str, delay: str = "1 day") -> DataFrame:
