@@ -78,6 +78,16 @@ def appliance_usage_map(inventory: DataFrame) -> DataFrame:
     )
 
 
+def household_records(inventory: DataFrame, dates: DataFrame) -> DataFrame:
+    """The record of each house: its date, usage map and monthly kWh as total consumption.
+
+    ``dates`` has one (house_id, date) per house.
+    """
+    monthly = household_consumption(inventory).select(
+        "house_id", F.col("monthly_kwh").alias("total_consumption_kwh"))
+    return appliance_usage_map(inventory).join(monthly, "house_id").join(dates, "house_id")
+
+
 def usage_by_appliance(records: DataFrame) -> DataFrame:
     """Total usage per appliance name over records that carry a usage map.
 

@@ -182,6 +182,16 @@ def autofill(df: DataFrame, force: bool = False) -> DataFrame:
     return parsed.select(*kept, *[value.alias(name) for name, value in filled.items()])
 
 
+def import_and_autofill(forms: DataFrame, imported: DataFrame, key: str = "row_id") -> DataFrame:
+    """Forms that take over the three figures of an imported inventory, then forced autofill.
+
+    The total is then that of the rounded mean, not the imported one.
+    """
+    figures = ["total_appliance_power", "appliance_count", "avg_power_per_appliance"]
+    taken = imported.select(F.col("house_id").alias(key), *figures)
+    return autofill(forms.drop(*figures).join(taken, key), force=True)
+
+
 def month_num(df: DataFrame, at: str = "at") -> DataFrame:
     return df.withColumn("Month_num", F.month(at).cast("double"))
 

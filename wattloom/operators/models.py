@@ -29,6 +29,7 @@ from wattloom.operators.features import add_noise, clean_training, clip_target,
 from wattloom.operators.metrics import eval_metrics
 from wattloom.operators.quantiles import order_statistics, summaries
 from wattloom.operators.registry import stored_artifacts
+from wattloom.operators.validation import split_valid, validate_vector
 from wattloom.runtime import ensure_checkpoint_dir, kept
 
 
@@ -188,6 +189,14 @@ def score_by_model(
     return reduce(DataFrame.unionByName, parts)
 
 
+def score(
+    requests: DataFrame, models: dict[str, PipelineModel], row_id: Column, at: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(log rows of the valid requests, rejected requests with ``reason``)."""
+    accepted, rejected = split_valid(validate_vector(requests, list(models)))
+    return to_log(score_by_model(accepted, models), row_id, at), rejected
+
+
 def to_log(scored: DataFrame, row_id: Column, at: Column | None = None) -> DataFrame:
     """Scored requests as prediction-log rows, by default with the present time.
 

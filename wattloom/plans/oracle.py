@@ -623,6 +623,23 @@ def statements() -> dict[str, str]:
             FROM inventory GROUP BY house_id"""),
         "import_appliances": _on("rollup", "SELECT * FROM rollup"),
         "appliance_usage_map": _on("usage", "SELECT house_id, name, usage FROM usage"),
+        "household_records": _on("usage", f"""
+            SELECT house_id, strftime(o_orderdate, '%Y-%m-%d') AS date, total_consumption_kwh, name, usage
+            FROM usage JOIN (SELECT house_id, {r('sum(power * hours * q) / 1000 * 30')} AS total_consumption_kwh
+                             FROM inventory GROUP BY house_id) USING (house_id)
+                 JOIN orders ON o_orderkey = house_id"""),
+        "import_and_autofill": _on("rollup", "SELECT * FROM (" + _autofill(True).replace(
+            "FROM forms", """FROM (SELECT f.* REPLACE (r.total_appliance_power::VARCHAR AS power,
+                r.appliance_count::VARCHAR AS count_, r.avg_power_per_appliance::VARCHAR AS mean_)
+                FROM forms f JOIN rollup r ON f.row_id = r.house_id)""") + ")"),
+        "submit_form": _on("forms", "SELECT f.row_id, " + ", ".join(
+            f'{x} AS "{name}"' for name, x in {
+                **_VECTOR_V12,
+                "total_appliance_power": f"coalesce(a.total_appliance_power, {_zero('alias_')})",
+                "MonthlyHours": 'coalesce(a."MonthlyHours", 0.0::DOUBLE)',
+                "avg_power_per_appliance": "coalesce(a.avg_power_per_appliance, 0.0::DOUBLE)",
+            }.items()) + f""" FROM forms f JOIN ({_autofill(False)}) a USING (row_id)
+            WHERE NOT ({" OR ".join(_is_error(f) for f in _ALL_FIELDS)})"""),
         "usage_by_appliance": _on("usage", """
             SELECT name, sum(usage) AS usage FROM usage GROUP BY name"""),
         "standby_energy": _on("inventory", """
@@ -686,6 +703,13 @@ def statements() -> dict[str, str]:
                    CASE WHEN model = 'linear' THEN {r('prediction', 1)} END AS linear_prediction,
                    true AS plausible
             FROM tested, (VALUES ('linear'), ('rf'), ('gbt')) AS k(model)"""),
+        "score_requests": _fitted(f"""
+            SELECT house_id::VARCHAR AS _id, house_id::VARCHAR AS house_id, model,
+                   CASE WHEN model = 'linear' THEN {r('prediction', 1)} END AS linear_prediction,
+                   12::INTEGER AS n_features, CASE WHEN house_id % 2 = 0 THEN 'form' ELSE '' END AS source
+            FROM line JOIN (SELECT house_id, CASE house_id % 4 WHEN 0 THEN 'linear' WHEN 1 THEN 'rf'
+                WHEN 2 THEN 'gbt' END AS model FROM line) USING (house_id)
+            WHERE model IS NOT NULL AND house_id % 15 <> 0 AND house_id % 25 <> 0"""),
         "score_by_model": _fitted(f"""
             SELECT house_id, model, CASE WHEN model = 'linear' THEN {r('prediction', 1)} END
                    AS linear_prediction, true AS plausible

@@ -386,6 +386,19 @@ def unknown_model_rows(spark, folder):
     return registry.unknown_model_rows(rows, registry.registry_frame(spark))
 
 
+@query
+def submit_form(spark, folder):
+    vectors = validation.submit_forms(views.forms(spark, folder)).select("row_id", "features")
+    return features.vector_to_columns(vectors, "v12")
+
+
+@query
+def import_and_autofill(spark, folder):
+    imported = appliances.import_appliances(views.inventory(spark, folder))
+    return features.import_and_autofill(views.forms(spark, folder), imported).select(
+        "row_id", "total_appliance_power", "NetBill", "MonthlyHours", "avg_power_per_appliance")
+
+
 # --- aggregations ------------------------------------------------------------------------------
 
 
@@ -420,6 +433,15 @@ def appliance_usage_map(spark, folder):
     return maps.select("house_id", F.explode("appliance_usage").alias("name", "usage"))
 
 
+@query
+def household_records(spark, folder):
+    dates = tables.table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("house_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
+    records = appliances.household_records(views.inventory(spark, folder), dates)
+    return _rounded(records, ["total_consumption_kwh"]).select(
+        "house_id", "date", "total_consumption_kwh", F.explode("appliance_usage").alias("name", "usage"))
+
+
 @query
 def usage_by_appliance(spark, folder):
     maps = appliances.appliance_usage_map(views.inventory(spark, folder))
@@ -628,6 +650,20 @@ def score_by_model(spark, folder):
         "house_id", "model", "linear_prediction", "plausible")
 
 
+@query
+def score_requests(spark, folder):
+    """Requests checked, scored by the model they name and appended to the log."""
+    path = scratch_path(spark, "log")
+    log, _ = ml.score(views.vector_requests(spark, folder), _models(spark, folder), F.col("house_id"),
+                      F.lit("2024-01-02 03:04:05").cast("timestamp_ntz"))
+    sinks.append_prediction_log(log, path)
+    stored = spark.read.schema(schemas.PREDICTION_LOG).parquet(path)
+    line = F.when(F.col("model") == "linear", F.col("predicted_value_kwh"))
+    return _rounded(stored.select(
+        "_id", "house_id", "model", line.alias("linear_prediction"), F.size("features").alias("n_features"),
+        F.coalesce(F.try_element_at("meta", F.lit("source")), F.lit("")).alias("source")), ["linear_prediction"], 1)
+
+
 @query
 def train_pipeline(spark, folder):
     """What the whole training job leaves: stored models, ranked by their test metrics."""
