@@ -61,3 +61,15 @@ def test_point_lookup_is_pushed_down(spark, folder):
     text = entry_file.queries()["household_by_id"](
         spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_custkey,42)" in text
+
+
+def test_the_last_row_of_an_appliance_is_found_by_hash(spark, folder):
+    text = queries.registered()["appliance_usage_map"](
+        spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in text
+
+
+@pytest.mark.parametrize("name", ["households_by_ids", "label_encode", "pred_vs_actual"])
+def test_data_rows_are_not_counted_in_one_task(spark, folder, name):
+    text = queries.registered()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "GlobalLimit" not in text and "SinglePartition" not in text

@@ -34,14 +34,22 @@ def _every(n: int, key: str, rest: int = 0) -> Column:
     return F.col(key) % n == rest
 
 
+def _line_order() -> Column:
+    """Line number, part, supplier, price and date as one number, so that the last row is found by hash."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    parts = [("l_linenumber", 2), ("l_partkey", 11), ("l_suppkey", 9), (cents, 11), (F.unix_date(
+        F.col("l_shipdate").cast("date")), 5)]
+    digits = [F.lpad((F.col(c) if isinstance(c, str) else c).cast("string"), n, "0") for c, n in parts]
+    return F.concat(*digits).cast("decimal(38,0)")
+
+
 def inventory(spark: SparkSession, folder: str) -> DataFrame:
     """(house_id, ord, name, power, hours, qty): one row per order line."""
     lines = table(spark, folder, "lineitem")
     parts = table(spark, folder, "part")
     return lines.join(parts, lines.l_partkey == parts.p_partkey).select(
         F.col("l_orderkey").alias("house_id"),
-        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-        .alias("ord"),
+        _line_order().alias("ord"),
         _lookup(APPLIANCE_OF_TYPE, F.col("p_type")).alias("name"),
         (F.col("p_size") * 10).cast("double").alias("power"),
         (F.col("l_suppkey") % 25).cast("double").alias("hours"),
