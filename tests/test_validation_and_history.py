@@ -50,7 +50,7 @@ def test_validate_vector(spark):
     df = spark.createDataFrame(rows, "model string, features array<string>")
     reasons = [r["reason"] for r in validation.validate_vector(df, ["linear", "rf"], 2).collect()]
     assert reasons == [None, "model not available", "feature is not a number",
-                       "feature vector length mismatch", "feature is not a number",
+                       "wrong number of features", "feature is not a number",
                        "model not available"]
     loose = validation.validate_vector(df, ["linear", "rf"], None).collect()
     assert loose[3]["reason"] is None

@@ -1,6 +1,6 @@
 """The registered queries in SQL, for comparison on the same tables with another engine."""
 
-from wattloom.constants import FEATURE_SPECS, TARGET
+from wattloom.constants import FEATURE_SPECS, PUBLISHED_THRESHOLDS, TARGET
 
 V12 = FEATURE_SPECS["v12"]
 
@@ -479,11 +479,7 @@ def statements() -> dict[str, str]:
         "write_metrics": _on("scored", f"""
             SELECT model, count(*) AS n, {_metrics(_METRICS)} FROM scored GROUP BY model"""),
         "write_thresholds": _ROUNDED_LIMITS,
-        "available_models": _on("predictions", """
-            SELECT model, label FROM (VALUES ('linear', 'Linear Regression'),
-                ('rf', 'Random Forest'), ('gbt', 'Gradient-Boosted Trees')) AS t(model, label)
-            WHERE model IN (SELECT model FROM predictions)"""),
-        # projections and features
+        "available_models": "SELECT 'linear' AS model, 'Linear Regression' AS label",
         "clip_target": _on("training", f"""
             SELECT house_id, greatest("{TARGET}" - 20.0, 0.0::DOUBLE) AS "{TARGET}"
             FROM training"""),
@@ -594,7 +590,7 @@ def statements() -> dict[str, str]:
         "validate_vector": _on("requests", """
             SELECT house_id, model, CASE WHEN model = 'unknown' THEN 'model not available'
                 WHEN gap THEN 'feature is not a number'
-                WHEN short THEN 'feature vector length mismatch' END AS reason FROM requests"""),
+                WHEN short THEN 'wrong number of features' END AS reason FROM requests"""),
         "validate_fields": _on("forms", " UNION ALL ".join(map(_field, _ALL_FIELDS))),
         "blocked_rows": _on("forms", "SELECT row_id FROM forms WHERE " + " OR ".join(
             _is_error(f) for f in _ALL_FIELDS)),
@@ -608,6 +604,13 @@ def statements() -> dict[str, str]:
                    "MonthlyHours" < monthly_min OR "MonthlyHours" > monthly_max AS hours_outside,
                    total_appliance_power > total_power_p99 AS power_above_p99
             FROM training, ({_LIMITS})"""),
+        "outlier_flags_published": _on("training", f"""
+            SELECT house_id, {_GRID} > {PUBLISHED_THRESHOLDS['grid_p95']!r}::DOUBLE AS grid_above_p95,
+                   {_GRID} > {PUBLISHED_THRESHOLDS['grid_p99']!r}::DOUBLE AS grid_above_p99,
+                   "MonthlyHours" < {PUBLISHED_THRESHOLDS['monthly_min']!r}::DOUBLE
+                       OR "MonthlyHours" > {PUBLISHED_THRESHOLDS['monthly_max']!r}::DOUBLE AS hours_outside,
+                   total_appliance_power > {PUBLISHED_THRESHOLDS['total_power_p99']!r}::DOUBLE AS power_above_p99
+            FROM training"""),
         "known_model_rows": _on("predictions", """
             SELECT _id, model FROM predictions WHERE model IN ('linear', 'rf', 'gbt')"""),
         "unknown_model_rows": _on("predictions", """

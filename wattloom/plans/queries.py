@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom import schemas
-from wattloom.constants import FEATURE_SPECS, TARGET
+from wattloom.constants import FEATURE_SPECS, PUBLISHED_THRESHOLDS, TARGET
 from wattloom.functions import dates
 from wattloom.functions.rounding import js_round
 from wattloom.operators import appliances, features, history, metrics, profile, registry, solar
@@ -131,9 +131,12 @@ def write_thresholds(spark, folder):
 
 @query
 def available_models(spark, folder):
-    """The models that scored anything in the log, in place of stored files."""
-    used = views.predictions(spark, folder).select("model")
-    return registry.available_models(registry.registry_frame(spark), used, on="model")
+    """Registry entries whose models stand in storage: the line is stored here, the trees are not."""
+    train, _ = _parts(spark, folder)
+    root = scratch_path(spark, "models")
+    ml.save_models({"linear": ml.fit(train, "linear", "v12")}, root)
+    return registry.available_models(
+        registry.registry_frame(spark), registry.stored_artifacts(spark, root))
 
 
 # --- projections and features ------------------------------------------------------------------
@@ -374,6 +377,15 @@ def outlier_flags(spark, folder):
                           "power_above_p99")
 
 
+@query
+def outlier_flags_published(spark, folder):
+    """Flags against the thresholds that were published with the original training data."""
+    flagged = profile.outlier_flags(
+        views.training(spark, folder), profile.Thresholds(**PUBLISHED_THRESHOLDS))
+    return flagged.select("house_id", "grid_above_p95", "grid_above_p99", "hours_outside",
+                          "power_above_p99")
+
+
 @query
 def known_model_rows(spark, folder):
     rows = views.predictions(spark, folder).select("_id", "model")

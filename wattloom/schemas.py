@@ -19,13 +19,6 @@ HOUSEHOLD = T.StructType([
     T.StructField("total_consumption_kwh", T.DoubleType()),
 ])
 
-PREDICTION_REQUEST = T.StructType([
-    T.StructField("house_id", T.StringType()),
-    T.StructField("model", T.StringType()),
-    T.StructField("features", T.ArrayType(T.DoubleType())),
-    T.StructField("meta", T.MapType(T.StringType(), T.StringType())),
-])
-
 PREDICTION_LOG = T.StructType([
     T.StructField("_id", T.StringType()),
     T.StructField("house_id", T.StringType()),
