@@ -45,7 +45,8 @@ class Settings:
     tree_depth: int = 12
     rounds: int = BOOST_ROUNDS
     boost_depth: int = 6
-    bins: int = 256
+    #: More than the distinct monthly hours, so their splits are exact.
+    bins: int = 64
     seed: int = SEED
     tasks: int = 8
 
@@ -92,7 +93,8 @@ def _regressor(model: str, settings: Settings, target: str):
     if model == "rf":
         return RandomForestRegressor(
             **columns, numTrees=settings.trees, maxDepth=settings.tree_depth,
-            maxBins=settings.bins, featureSubsetStrategy="all", seed=settings.seed)
+            maxBins=settings.bins, maxMemoryInMB=512, featureSubsetStrategy="all",
+            seed=settings.seed)
     if model == "gbt":
         # The periodic checkpoint cuts the lineage that grows with every round.
         return GBTRegressor(
