@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 1 << 23
+BITS = 1 << 25
 
 
 def build(keys: DataFrame, key: str) -> np.ndarray:
@@ -16,10 +16,9 @@ def build(keys: DataFrame, key: str) -> np.ndarray:
     bit = F.col(key).bitwiseAND(F.lit(BITS - 1))
     one = F.expr(f"shiftleft(CAST(1 AS BIGINT), CAST({key} & 63 AS INT))")
     rows = keys.select(F.shiftright(bit, 6).cast("int").alias("word"), one.alias("bits")).groupBy("word").agg(
-        F.bit_or("bits").alias("bits")).collect()
+        F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(BITS // 64, np.uint64)
-    if rows:
-        words[np.array([r[0] for r in rows])] = np.array([r[1] for r in rows], np.int64).view(np.uint64)
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return words
 
 
