@@ -69,7 +69,8 @@ def judged(spark, docs, labels):
     path = scratch_path(spark, "test-stats")
     rows = docs.select("doc_id", F.col("text").alias("_t"))
     quality_rules.text_statistics(rows, "_t").drop("_t").write.parquet(path)
-    return quality_rules.judge(spark.read.parquet(path), labels)
+    stats = spark.read.parquet(path)
+    return quality_rules.judge(stats, quality_rules.find_cutoffs(stats, labels))
 
 
 def test_certified_rule_rejects_bad_documents_and_keeps_good_ones(spark):

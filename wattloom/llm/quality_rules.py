@@ -166,11 +166,14 @@ def label_table(labels: DataFrame, doc: str = "doc_id", label: str = "quality")
         "quality = _max").select("doc_id", "quality")
 
 
-def judge(statistics: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
-    """``statistics`` (with doc_id, a stored table) with base_failed, rejected_by and kept."""
-    held = statistics.filter(~base_failed()).join(label_table(labels), "doc_id").select(
-        *[c for c in statistics.columns if c != "doc_id"], "quality")
-    cutoffs = choose_cutoffs(held, risk).collect()
+def find_cutoffs(statistics: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> list:
+    """Rows (stratum, rule, cutoff) that the labels support; ``statistics`` has doc_id."""
+    held = statistics.filter(~base_failed()).join(label_table(labels), "doc_id")
+    return choose_cutoffs(held, risk).collect()
+
+
+def judge(statistics: DataFrame, cutoffs: list, risk: Risk = Risk()) -> DataFrame:
+    """``statistics`` with base_failed, rejected_by and kept."""
     return statistics.withColumn("base_failed", base_failed()).withColumn(
         "rejected_by", rejected_by(cutoffs, risk)).withColumn(
         "kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))

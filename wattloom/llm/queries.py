@@ -39,7 +39,9 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "text-statistics")
     documents = table(spark, folder, "documents").select("doc_id", F.col("text").alias("_text"))
     quality_rules.text_statistics(documents, "_text").drop("_text").write.parquet(path)
-    judged = quality_rules.judge(spark.read.parquet(path), table(spark, folder, "labels"))
+    statistics = spark.read.parquet(path)
+    judged = quality_rules.judge(
+        statistics, quality_rules.find_cutoffs(statistics, table(spark, folder, "labels")))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         "kept", F.array_join(F.array_sort("rejected_by"), ",").alias("rules"))
