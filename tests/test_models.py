@@ -190,3 +190,12 @@ def test_sixteen_feature_models_take_collinear_city_columns(spark, folder):
     model = ml.fit(prepared, "linear", "v16")
     quality = metrics.eval_metrics(ml.score_all_models(prepared, {"linear": model})).first()
     assert quality["R2"] > 0.999999
+
+
+def test_forests_do_not_depend_on_the_layout_of_the_rows(spark, folder):
+    rows = ml.prepare_training(views.training_raw(spark, folder))
+    settings = ml.Settings(trees=4, tree_depth=5, tasks=3)
+    one = ml.fit(rows, "rf", settings=settings)
+    other = ml.fit(rows.repartition(11).orderBy(F.rand(3)), "rf", settings=settings)
+    found = [{r["house_id"]: r["prediction"] for r in ml.predict(rows, m).collect()} for m in (one, other)]
+    assert found[0] == found[1]
