@@ -12,8 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from wattloom.llm import (
-    components, cutting_stock, decontaminate, language_id, ngram_join, packing, quality_model, textops,
+    components, cutting_stock, decontaminate, language_id, ngram_join, packing, quality_model, queries, textops,
 )
 from wattloom.llm.queries import byte_bpe_50k
 from wattloom.runtime import scratch_path
@@ -336,5 +337,22 @@ def test_packing_round_trip(spark, capacity):
     assert all(len(r.ids) == 4 * r.tokens <= 4 * capacity for r in whole)
 
 
+def test_added_tokens_get_the_ids_of_the_tokenizer_file(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x  <|endoftext|>\n y", "<|endoftext", "plain", None,
+             "word " * 3000 + "<|endoftext|>"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    wanted = set()
+    for i, text in enumerate(texts):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        for at in range(0, len(ids), 1024):
+            part = np.array(ids[at:at + 1024], "<u4")
+            wanted.add((i, at, len(part), zlib.crc32(part.tobytes()), len(ids)))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for rows in (queries.op8_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, str(tmp_path))):
+        assert {(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows.collect()} == wanted
+
+
 def test_packing_nothing(spark):
     assert packing.pack_documents(documents(spark, []), **byte_bpe_50k()).count() == 0

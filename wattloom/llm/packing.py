@@ -6,13 +6,16 @@ histogram of piece sizes (lengths in steps, of bounded number) goes to the drive
 sequence of which pattern it goes to; that table is again of bounded size.
 
 Ids are those of the byte-level vocabulary; the rank file gives the same ids as the tokenizer file and is
-several times as fast. Strings of special tokens are ordinary text.
+several times as fast. The tokenizer file's added tokens, which the rank file lacks, are cut out of the texts and
+get their own ids; without ``added`` their strings are ordinary text.
 
 Defined results: a null text is empty, and an empty text is one piece, the separator; repeated rows are rows of
 their own; an empty table gives no rows.
 """
 
 import base64
+import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -28,20 +31,46 @@ from wattloom.runtime import scratch_path
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
-def byte_bpe(path: str, pattern: str) -> Callable[[str], list[int]]:
-    """Encoder of a byte-level vocabulary given as a file of ranks."""
+def added_tokens(path: str) -> dict[str, int]:
+    """Strings that a tokenizer file turns into one id wherever they stand in a text."""
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    for t in tokens:
+        if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]:
+            raise ValueError(f"{path}: {t['content']} is not matched as it stands")
+    return {t["content"]: t["id"] for t in tokens}
+
+
+def byte_bpe(path: str, pattern: str, added: dict[str, int] | None = None) -> Callable[[str], list[int]]:
+    """Encoder of a byte-level vocabulary given as a file of ranks; texts are cut at ``added`` tokens."""
     import tiktoken
 
     with open(path, "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    return tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    ordinary = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    if not added:
+        return ordinary
+    longest_first = sorted(added, key=len, reverse=True)
+    cut = re.compile(f"({'|'.join(map(re.escape, longest_first))})")
+
+    def encode(text: str) -> list[int]:
+        parts = cut.split(text)
+        if len(parts) == 1:
+            return ordinary(text)
+        ids = []
+        for i, part in enumerate(parts):  # every second part is an added token
+            ids += [added[part]] if i % 2 else ordinary(part)
+        return ids
 
+    return encode
 
-_encoders: dict[tuple[str, str], Callable] = {}
+
+_encoders: dict[tuple, Callable] = {}
 
 
 def cut_pieces(documents: DataFrame, path: str, pattern: str, capacity: int, separator: int,
-               doc: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+               doc: str = "doc_id", text: str = "text", keep_ids: bool = False,
+               added: dict[str, int] | None = None) -> DataFrame:
     """The pieces of every document (see ``_PIECES``); ids are little-endian 32-bit numbers, or null."""
     kinds = [pa.int64()] * 5 + [pa.binary()]
     schema = pa.schema(list(zip([x.split()[0] for x in _PIECES.split(", ")], kinds)))
@@ -52,10 +81,12 @@ def cut_pieces(documents: DataFrame, path: str, pattern: str, capacity: int, sep
             part = raw[at:at + 4 * capacity]
             yield (doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(raw) // 4, part if keep_ids else None)
 
+    vocabulary = (path, pattern, *(added or {}).items())
+
     def run(batches):
-        if (path, pattern) not in _encoders:  # a worker reads the vocabulary once
-            _encoders[path, pattern] = byte_bpe(path, pattern)
-        encode = _encoders[path, pattern]
+        if vocabulary not in _encoders:  # a worker reads the vocabulary once
+            _encoders[vocabulary] = byte_bpe(path, pattern, added)
+        encode = _encoders[vocabulary]
         for batch in batches:
             rows = []
             for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -90,7 +121,8 @@ def placements(histogram: dict[int, int], capacity: int) -> np.ndarray:
 
 
 def pack_documents(documents: DataFrame, path: str, pattern: str, capacity: int = 1024, separator: int = 0,
-                   doc: str = "doc_id", text: str = "text", keep_ids: bool = False, sizes: int = 128) -> DataFrame:
+                   doc: str = "doc_id", text: str = "text", keep_ids: bool = False, sizes: int = 128,
+                   added: dict[str, int] | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, ids, sequence_id, offset: one row per piece.
 
     Lengths are rounded up to ``sizes`` steps of the capacity for the patterns; offsets follow real lengths.
@@ -98,7 +130,7 @@ def pack_documents(documents: DataFrame, path: str, pattern: str, capacity: int
     spark = documents.sparkSession
     unit = max(1, capacity // sizes)
     stored = scratch_path(spark, "pieces")
-    cut_pieces(documents, path, pattern, capacity, separator, doc, text, keep_ids).write.parquet(stored)
+    cut_pieces(documents, path, pattern, capacity, separator, doc, text, keep_ids, added).write.parquet(stored)
     pieces = spark.read.parquet(stored).withColumn("size", F.ceil(F.col("length") / unit).cast("long"))
     counted = pieces.groupBy("size").agg(F.count(F.lit(1)).alias("c")).collect()
     table = spark.sparkContext.broadcast(

@@ -116,10 +116,15 @@ def byte_bpe_50k() -> dict[str, str]:
     return {"path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
+def byte_bpe_50k_with_added() -> dict:
+    """The vocabulary as the tokenizer file ``byte_bpe_50k.json`` applies it by default."""
+    return {**byte_bpe_50k(), "added": packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))}
+
+
 @query
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of 1024 tokens."""
-    packed = packing.pack_documents(table(spark, folder, "documents"), **byte_bpe_50k())
+    packed = packing.pack_documents(table(spark, folder, "documents"), **byte_bpe_50k_with_added())
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
