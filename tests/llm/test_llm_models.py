@@ -245,6 +245,30 @@ def test_texts_without_letters_are_unknown(spark):
     assert language_id.predict(rows.limit(0), "text", model).count() == 0
 
 
+def test_every_language_is_learnt_whatever_its_rows(spark):
+    rng = random.Random(5)
+    bases = [0x61, 0x3B1, 0x430, 0x5D0, 0x627, 0x905, 0xE01, 0x10D0, 0x1200, 0x3041, 0xAC00, 0x4E00]
+    letters = {f"l{i:02}": [chr(base + 8 * part + k) for k in range(8)]
+               for i, (base, part) in enumerate((b, p) for b in bases for p in (0, 1))}
+    sentence = lambda name: " ".join("".join(rng.choices(letters[name], k=5)) for _ in range(12))
+    rows = [(100 * i + k, sentence(name), name) for i, name in enumerate(letters) for k in range(24 - i)]
+    rows += [(9000 + k, sentence("l23"), "l23") for k in range(3)]
+    rows += [(9999, None, "l22")] * 3 + [(9998, sentence("l00"), "l00")] * 3000
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(train, "doc_id", "text", "lang", F.lit(True))
+    assert model.names == sorted(letters)
+    asked = spark.createDataFrame([(n, sentence(n)) for n in letters for _ in range(4)], "lang string, text string")
+    wrong = [r for r in language_id.predict(asked, "text", model).collect() if r.lang != r.lang_pred]
+    assert wrong == []
+    # A few ids, one of them hot: the share goes by distinct ids, and empty texts take no place of the sample.
+    hot = spark.createDataFrame([(k, "abc", "en") for k in range(3)] + [(77, "abd", "en")] * 5000
+                                + [(k, "", "fr") for k in range(20)] + [(500, "xyz", "fr")],
+                                "doc_id long, text string, lang string")
+    few = language_id.Settings(per_language=2)
+    got = Counter(r.lang for r in language_id.sample_ids(hot, "doc_id", "text", "lang", F.lit(True), few).collect())
+    assert got == {"en": 2, "fr": 1}
+
+
 # --- quality classifier ------------------------------------------------------------------------
 
 

@@ -6,8 +6,9 @@ the next shorter context is asked, down to equal chances for all bytes. Costs of
 pairs are worked out beforehand for all languages, so scoring a text is one table lookup per byte, and its code
 length under each language is the exact sum. The shortest code wins; the score is its posterior share.
 
-Learning takes at most ``per_language`` texts of each of at most ``languages`` languages (by a hash of the id), a
-bounded sample of the labelled documents; every document is scored in whole.
+Learning takes at most ``per_language`` texts of every language (by a hash of the id), a bounded sample of the
+labelled documents; every document is scored in whole. Costs are stored only for bytes that some language has seen
+after a context, so the model grows with the languages by what they differ in.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so are all texts if there is
 nothing to learn from; ties go to the language that comes first by name; repeated rows are scored alike; null ids are held
@@ -30,37 +31,45 @@ _LETTERS = textops.byte_table(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUV
 
 @dataclass(frozen=True)
 class Settings:
-    languages: int = 16
     per_language: int = 300
-    #: Kept contexts of two and of three bytes, the most frequent over all languages.
+    #: Kept contexts of two and of three bytes, those of the largest shares summed over the languages.
     pairs: int = 1024
     triples: int = 2048
 
 
 @dataclass
 class Model:
-    """names; state tables (two[b2, b1], three[pair, b3], -1 if not kept); bits[state * 256 + byte, language]."""
+    """Costs in bits of a byte after a state (a kept context; the last is the empty one) under each language.
+
+    two[b2, b1] and three[pair, b3] are the numbers of kept contexts, -1 if not kept. rows[state * 256 + byte] is a row
+    of ``bits``, -1 if no language knows the byte there; then ``escape`` of the state is paid and state ``lower``
+    is asked. The columns of ``bits`` and ``escape`` are in groups of languages.
+    """
 
     names: list[str]
     two: np.ndarray
     three: np.ndarray
-    bits: np.ndarray
+    lower: np.ndarray
+    rows: np.ndarray
+    bits: list[np.ndarray]
+    escape: list[np.ndarray]
+
+
+_GROUP = 16  # languages whose costs are looked up at a time
 
 
-def sample_ids(documents: DataFrame, doc: str, lang: str, learn: Column, settings: Settings) -> DataFrame:
-    """(doc_id, lang) of at most ``languages * per_language`` rows to learn from."""
-    rows = documents.filter(learn & F.col(lang).isNotNull()).select(
+def sample_ids(documents: DataFrame, doc: str, text: str, lang: str, learn: Column, settings: Settings) -> DataFrame:
+    """(doc_id, lang) of at most ``per_language`` rows with a text of each language."""
+    rows = documents.filter(learn & F.col(lang).isNotNull() & (F.col(text) != "")).select(
         F.col(doc).alias("doc_id"), F.col(lang).alias("lang"))
-    top = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).orderBy(
-        F.desc("c"), "lang").limit(settings.languages).collect()
     # The share of each language's ids, by hash, that holds about twice the wanted number; so the ranking
     # sees a few rows of a language however many it has.
     room = 1 << 20
-    share = F.lit(0)
-    for r in top:
-        share = F.when(F.col("lang") == r["lang"],
-                       F.lit(min(room, 2 * settings.per_language * room // r["c"] + 1))).otherwise(share)
-    some = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(room)) < share).distinct()
+    wanted = F.lit(2 * settings.per_language * room)
+    shares = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("c")).select(
+        "lang", (F.floor(wanted / F.greatest("c", F.lit(1))) + 1).alias("share"))
+    some = rows.join(F.broadcast(shares), "lang").filter(
+        F.pmod(F.xxhash64("doc_id"), F.lit(room)) < F.col("share")).select("doc_id", "lang").distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     return some.withColumn("_r", F.row_number().over(order)).filter(
         F.col("_r") <= settings.per_language).drop("_r")
@@ -111,39 +120,48 @@ def build_model(langs: list[str], codes: np.ndarray, counts: np.ndarray, setting
     names = sorted(set(langs))
     index = {n: i for i, n in enumerate(names)}
     who = np.array([index[x] for x in langs], np.int64)
-    context = codes >> 8
-    pairs = _top(context & 0xFFFF, counts, settings.pairs)
+    context, byte = codes >> 8, codes & 255
+    share = counts / np.bincount(who, counts, len(names))[who]
+    pairs = _top(context & 0xFFFF, share, settings.pairs)
     inside = np.isin(context & 0xFFFF, pairs)
-    triples = _top(context[inside], counts[inside], settings.triples)
+    triples = _top(context[inside], share[inside], settings.triples)
     two = np.full(65536, -1, np.int32)
     two[pairs] = np.arange(len(pairs))
     three = np.full(max(1, len(pairs)) * 256, -1, np.int32)
     three[two[triples & 0xFFFF] * 256 + (triples >> 16)] = np.arange(len(triples))
 
-    states = 256 + len(pairs) + len(triples)
-    chance = np.empty((states, 256, len(names)))
-    byte = codes & 255
+    empty = 256 + len(pairs) + len(triples)
+    lower = np.concatenate([np.full(256, empty), pairs & 255, 256 + two[triples & 0xFFFF], [empty]])
+    second = two[context & 0xFFFF].astype(np.int64)
+    third = np.where(second >= 0, three[np.maximum(second, 0) * 256 + (context >> 16)], -1).astype(np.int64)
+    known = np.unique(np.concatenate([
+        (context & 255) * 256 + byte, ((second + 256) * 256 + byte)[second >= 0],
+        ((third + 256 + len(pairs)) * 256 + byte)[third >= 0], empty * 256 + np.arange(256)]))
+    rows = np.full((empty + 1) * 256, -1, np.int32)
+    rows[known] = np.arange(len(known))
+
+    bits = [np.empty((len(known), len(names[k:k + _GROUP])), np.float32) for k in range(0, len(names), _GROUP)]
+    escape = [np.empty((empty + 1, x.shape[1]), np.float32) for x in bits]
     for k in range(len(names)):
         mine = who == k
         b, c, ctx = byte[mine], counts[mine].astype(float), context[mine]
 
-        def refine(state, rows, lower):
-            """Chances in each of ``rows`` contexts; ``lower`` are those of the shorter contexts."""
+        def refine(state, size, shorter):
+            """Chances in each of ``size`` contexts and of leaving them; ``shorter`` are those of the shorter contexts."""
             seen = state >= 0
-            table = np.bincount(state[seen] * 256 + b[seen], c[seen], rows * 256).reshape(rows, 256)
+            table = np.bincount(state[seen] * 256 + b[seen], c[seen], size * 256).reshape(size, 256)
             total, distinct = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
-            whole = np.maximum(total + distinct, 1)
-            known = np.where(table > 0, table / whole, distinct / whole * lower)
-            return np.where(total > 0, known, lower)
+            leave = np.where(total > 0, distinct / np.maximum(total + distinct, 1), 1.0)
+            return np.where(table > 0, table / np.maximum(total + distinct, 1), leave * shorter), leave[:, 0]
 
-        none = refine(np.zeros(len(b), np.int64), 1, np.full((1, 256), 1 / 256))
-        one = refine(ctx & 255, 256, none)
-        second = refine(two[ctx & 0xFFFF].astype(np.int64), len(pairs), one[pairs & 255])
-        at = np.searchsorted(triples, ctx)
-        at = np.where((at < len(triples)) & (triples[np.minimum(at, len(triples) - 1)] == ctx), at, -1)
-        third = refine(at, len(triples), second[two[triples & 0xFFFF]])
-        chance[:, :, k] = np.concatenate([one, second, third])
-    return Model(names, two, three, (-np.log2(chance)).astype(np.float32).reshape(states * 256, len(names)))
+        none, leave0 = refine(np.zeros(len(b), np.int64), 1, np.full((1, 256), 1 / 256))
+        one, leave1 = refine(ctx & 255, 256, none)
+        twos, leave2 = refine(second[mine], len(pairs), one[pairs & 255])
+        threes, leave3 = refine(third[mine], len(triples), twos[two[triples & 0xFFFF]])
+        group, at = divmod(k, _GROUP)
+        bits[group][:, at] = -np.log2(np.concatenate([one, twos, threes, none]).ravel()[known])
+        escape[group][:, at] = -np.log2(np.concatenate([leave1, leave2, leave3, leave0]))
+    return Model(names, two, three, lower, rows, bits, escape)
 
 
 def code_lengths(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
@@ -155,10 +173,20 @@ def code_lengths(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndar
     b1, b2, b3 = (_previous(data, offsets, k) for k in (1, 2, 3))
     pair = model.two[b2 << 8 | b1]
     triple = model.three[np.maximum(pair, 0) * 256 + b3]
-    pairs = len(model.three) // 256
+    pairs = np.count_nonzero(model.two >= 0)
     state = np.where(pair < 0, b1, np.where(triple < 0, pair + 256, triple + 256 + pairs))
-    bits = model.bits[state * 256 + data]
-    out[filled] = np.add.reduceat(bits, offsets[:-1][filled], axis=0, dtype=np.float64)
+    row, left = model.rows[state * 256 + data], []
+    lost = np.flatnonzero(row < 0)
+    while len(lost):  # the empty context knows all bytes
+        left.append((lost, state[lost]))
+        state[lost] = model.lower[state[lost]]
+        row[lost] = model.rows[state[lost] * 256 + data[lost]]
+        lost = lost[row[lost] < 0]
+    for i, (bits, escape) in enumerate(zip(model.bits, model.escape)):
+        cost = bits[row]
+        for lost, states in left:
+            cost[lost] += escape[states]
+        out[filled, i * _GROUP:(i + 1) * _GROUP] = np.add.reduceat(cost, offsets[:-1][filled], axis=0, dtype=np.float64)
     return out
 
 
@@ -174,8 +202,8 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def learn(documents: DataFrame, doc: str, text: str, lang: str, which: Column,
           settings: Settings = Settings()) -> Model | None:
     """The model of a bounded sample of the rows that ``which`` allows; None without any."""
-    ids = sample_ids(documents, doc, lang, which, settings)
-    # At most languages * per_language rows of two short columns.
+    ids = sample_ids(documents, doc, text, lang, which, settings)
+    # At most per_language rows of two short columns for each language.
     texts = documents.select(F.col(doc).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(
         F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")
     counted = count_contexts(texts).toArrow()
