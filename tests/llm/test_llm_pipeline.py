@@ -1,11 +1,15 @@
 """The registered queries next to their SQL, and the pipeline."""
 
+import base64
+import random
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tools.check import compare
-from wattloom.llm import oracle, queries
+from wattloom.llm import language_id, oracle, queries
 from wattloom.sources.tables import table
 
 NAMES = ["documents", "labels", "pages", "benchmark", "conversations"]
@@ -53,3 +57,26 @@ def test_stages_take_odd_rows_and_clashing_columns(spark, folder, tmp_path):
         docs = spark.read.parquet(str(tmp_path / f"{name}-full"))
         if i == 3:
             assert sorted((r.doc_id or 0, r.lang) for r in docs.collect()) == [(0, "en"), (1, "en")]
+
+
+def test_language_stage_drops_gibberish_and_unlearnt_languages(spark, folder, tmp_path):
+    rng = random.Random(11)
+    lower, cyrillic = "abcdefghijklmnopqrstuvwxyz", [chr(0x430 + i) for i in range(32)]
+    gibberish = lambda letters: " ".join("".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(60))
+    planted = [gibberish(lower), gibberish(cyrillic), base64.b64encode(rng.randbytes(400)).decode(),
+               gibberish([chr(0x4E00 + i) for i in range(2000)]), " ".join(["Съешь ещё этих мягких булок"] * 12)]
+    clean = table(spark, folder, "documents").filter("lang IS NOT NULL AND length(text) > 200")
+    rows = [(10 ** 9 + i, t, None) for i, t in enumerate(planted)] + [(10 ** 9 + 9, planted[0], "en")]
+    marked = clean.select("doc_id", "text", "lang").unionByName(
+        spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    marked.write.parquet(str(tmp_path / "documents"))
+    docs = spark.read.parquet(str(tmp_path / "documents"))
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, folder).select("doc_id").collect()}
+
+    wanted = {r.doc_id for r in clean.collect()}
+    model, bounds = language_id.learn_with_bounds(docs, "doc_id", "text", "lang", F.lit(True))
+    assert set(bounds) == set(model.names)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rates = {r.doc_id: (r.lang_pred, r.bits_per_byte) for r in language_id.predict(docs, "text", model).collect()}
+    assert kept == {d for d in texts if rates[d][1] <= bounds[rates[d][0]]}
+    assert kept & {r[0] for r in rows} == set() and len(wanted - kept) == 0

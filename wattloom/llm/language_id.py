@@ -35,6 +35,8 @@ class Settings:
     #: Kept contexts of two and of three bytes, those of the largest shares summed over the languages.
     pairs: int = 1024
     triples: int = 2048
+    #: What a text may cost a byte, as a multiple of the median of its language's texts under a model without them.
+    times_median: float = 2.0
 
 
 @dataclass
@@ -199,20 +201,69 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
+def _sample(documents: DataFrame, doc: str, text: str, lang: str, which: Column, settings: Settings) -> DataFrame:
+    """(lang, text, half): the rows to learn from, each id in one of two halves."""
+    ids = sample_ids(documents, doc, text, lang, which, settings).withColumn(
+        "half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("string"))
+    # At most per_language rows of two short columns for each language.
+    texts = documents.select(F.col(doc).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    return texts.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text", "half")
+
+
 def learn(documents: DataFrame, doc: str, text: str, lang: str, which: Column,
           settings: Settings = Settings()) -> Model | None:
     """The model of a bounded sample of the rows that ``which`` allows; None without any."""
-    ids = sample_ids(documents, doc, text, lang, which, settings)
-    # At most per_language rows of two short columns for each language.
-    texts = documents.select(F.col(doc).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(
-        F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")
-    counted = count_contexts(texts).toArrow()
+    counted = count_contexts(
+        _sample(documents, doc, text, lang, which, settings).select("lang", "text")).toArrow()
     if not counted.num_rows:
         return None
     return build_model(counted.column("lang").to_pylist(), counted.column("code").to_numpy(),
                        counted.column("c").to_numpy(), settings)
 
 
+def learn_with_bounds(documents: DataFrame, doc: str, text: str, lang: str, which: Column,
+                      settings: Settings = Settings()) -> tuple[Model | None, dict[str, float]]:
+    """The model of ``learn`` and the most bits a byte that a text of each language may cost.
+
+    Each half of the sample is scored under a model of the other half, as a text that was not learnt from. The bound is
+    a multiple of the median, so a few bad texts among the labelled ones don't move it. A language with
+    texts in one half only has no bound.
+    """
+    sample = _sample(documents, doc, text, lang, which, settings)
+    counted = count_contexts(sample.select(F.concat("half", "lang").alias("lang"), "text")).toArrow()
+    if not counted.num_rows:
+        return None, {}
+    labels = counted.column("lang").to_pylist()
+    langs = [x[1:] for x in labels]
+    half = np.array([x[0] == "1" for x in labels])
+    codes, counts = counted.column("code").to_numpy(), counted.column("c").to_numpy()
+    others = [build_model([x for x, m in zip(langs, mine) if m], codes[mine], counts[mine], settings)
+              if mine.any() else None for mine in (half, ~half)]
+    shared = documents.sparkSession.sparkContext.broadcast(others)
+
+    def run(batches):
+        for batch in batches:
+            names, halves = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for lo, hi, data, offsets in textops.blocks(batch.column(1)):
+                rates = np.full(hi - lo, np.nan)
+                for h, model in enumerate(shared.value):
+                    if model is None:
+                        continue
+                    bits = code_lengths(data, offsets, model) / np.maximum(np.diff(offsets), 1)[:, None]
+                    index = {n: i for i, n in enumerate(model.names)}
+                    for i in range(hi - lo):
+                        if halves[lo + i] == str(h) and names[lo + i] in index and offsets[i + 1] > offsets[i]:
+                            rates[i] = bits[i, index[names[lo + i]]]
+                fine = ~np.isnan(rates)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo).filter(pa.array(fine)), pa.array(rates[fine])],
+                    names=["lang", "rate"])
+
+    rates = sample.mapInArrow(run, "lang string, rate double")
+    bounds = rates.groupBy("lang").agg(F.median("rate").alias("m")).collect()
+    return build_model(langs, codes, counts, settings), {r["lang"]: settings.times_median * r["m"] for r in bounds}
+
+
 def predict(rows: DataFrame, text: str, model: Model | None) -> DataFrame:
     """``rows`` with lang_pred, score and bits_per_byte; ``rows`` must not have columns of these names."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
