@@ -244,3 +244,20 @@ def test_license_texts_match_in_other_spelling(spark):
     assert [found[i].license_id for i in range(len(texts))] == ["MIT", "MIT", "MIT", None, None, None, "0BSD", None]
     assert (found[7].notices, found[7].n_notice_lines) == ("CC-BY-NC-4.0,MIT", 3)
     assert licenses.scan_licenses(documents(spark, [])).count() == 0
+
+
+def test_long_licences_names_and_notices_in_paragraphs(spark):
+    known = licenses.full_texts()
+    bsd = licenses.LICENCES["BSD-3-Clause"].replace("the copyright holder nor", "Acme Widgets, Inc. nor").replace(
+        "THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "ACME WIDGETS").replace("3. Neither", "* Neither")
+    texts = [t for _, t in known] + [
+        bsd, "Some words. This project is distributed under the terms of the MIT license. More words here.",
+        "a paragraph that says: b.\nLicensed under the Apache License,\nVersion 2.0. Go on.",
+        "// SPDX-License-Identifier: MPL-2.0", "This work is not licensed under the MIT License.",
+        "Released under the MIT License. Licensed under CC BY 4.0."]
+    found = {r.doc_id: r for r in licenses.scan_licenses(documents(spark, texts)).collect()}
+    n = len(known)
+    assert {name for name, _ in known} >= {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"}
+    assert [found[i].license_id for i in range(n + 1)] == [name for name, _ in known] + ["BSD-3-Clause"]
+    assert [(found[i].notices, found[i].n_notice_lines) for i in range(n + 1, n + 6)] == [
+        ("MIT", 1), ("Apache-2.0", 1), ("MPL-2.0", 1), ("", 0), ("CC-BY-4.0,MIT", 1)]

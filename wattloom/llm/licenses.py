@@ -2,14 +2,17 @@
 
 The canonical form follows the public matching guidelines for licence lists: case, punctuation, white
 space, comment marks, copyright lines and equivalent spellings don't count. A whole text is hash-joined by the
-SHA-256 of its canonical form; lines that mention a licence are looked up the same way, for notices inside
-other texts. All steps are column expressions.
+SHA-256 of its canonical form without replaceable names, list marks and title; known are the short licences below and
+the long ones in ``licence_texts``. For notices inside other texts, lines that mention a licence, their
+sentences and sentences over several lines are looked up: as a known notice, as an SPDX line, or as a name
+of a licence after words like "released under". All steps are column expressions.
 
 Defined results: a null or empty text, or one without any word, has the canonical form "" and no licence;
 repeated rows are judged alike; an empty table gives no rows.
 """
 
 from itertools import chain
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +76,54 @@ NOTICES = {
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0"],
     "BSD-3-Clause": ["SPDX-License-Identifier: BSD-3-Clause"],
 }
+#: Names of licences as notices give them, in canonical form.
+NAMES = {
+    "MIT": ["mit license", "mit", "expat license"],
+    "ISC": ["isc license", "isc"],
+    "0BSD": ["0bsd", "zero clause bsd license", "bsd zero clause license"],
+    "BSD-2-Clause": ["bsd 2 clause license", "2 clause bsd license", "simplified bsd license", "bsd 2 clause"],
+    "BSD-3-Clause": ["bsd 3 clause license", "3 clause bsd license", "new bsd license", "bsd 3 clause"],
+    "Apache-2.0": ["apache license version 2 0", "apache license 2 0", "apache 2 0 license", "apache 2 0",
+                   "apache license v2 0", "apache license version 2 0 the license"],
+    "GPL-1.0": ["gnu general public license version 1", "gpl 1 0"],
+    "GPL-2.0": ["gnu general public license version 2", "gnu general public license v2", "gnu gpl version 2",
+                "gnu gpl v2", "gplv2", "gpl version 2", "gpl 2 0", "gpl v2"],
+    "GPL-3.0": ["gnu general public license version 3", "gnu general public license v3", "gnu gpl version 3",
+                "gnu gpl v3", "gplv3", "gpl version 3", "gpl 3 0", "gpl v3", "gnu general public license v3 0"],
+    "LGPL-2.0": ["gnu library general public license version 2", "lgpl 2 0"],
+    "LGPL-2.1": ["gnu lesser general public license version 2 1", "gnu lesser general public license v2 1",
+                 "lgpl version 2 1", "lgplv2 1", "lgpl 2 1"],
+    "LGPL-3.0": ["gnu lesser general public license version 3", "gnu lesser general public license v3",
+                 "lgpl version 3", "lgplv3", "lgpl 3 0"],
+    "MPL-1.1": ["mozilla public license version 1 1", "mozilla public license 1 1", "mpl 1 1"],
+    "MPL-2.0": ["mozilla public license version 2 0", "mozilla public license 2 0", "mozilla public license v 2 0",
+                "mpl 2 0"],
+    "CC0-1.0": ["cc0 1 0", "cc0", "cc0 1 0 universal", "creative commons zero"],
+    "CC-BY-4.0": ["cc by 4 0", "creative commons attribution 4 0 international license"],
+    "CC-BY-SA-4.0": ["cc by sa 4 0", "creative commons attribution sharealike 4 0 international license"],
+    "CC-BY-NC-4.0": ["cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license"],
+    "GFDL-1.2": ["gnu free documentation license version 1 2", "gfdl 1 2"],
+    "GFDL-1.3": ["gnu free documentation license version 1 3", "gfdl 1 3"],
+    "Artistic-1.0-Perl": ["artistic license", "artistic 1 0 perl"],
+}
+#: What stands before the name in a notice, in canonical form.
+_NAMING = (
+    r"^(?:(?:this|the|all|our|these) (?:\S+ ){0,3}?(?:is|are) )?(?:(?:hereby|also|free software) )?"
+    r"(?:(?:made )?available|released|licensed|distributed|published|provided|covered) (?:under|by|subject to) "
+    r"(?:the )?(?:terms (?:and conditions )?of )?(?:the )?(.+?)(?: or \S+ (?:your|its) option.*| or (?:any )?later.*)?$")
+_SPDX = r"^spdx license identifier (.+?)(?: only| or later)?$"
+#: What differs between copies of one licence: titles, list marks and names, over canonical words.
+REPLACEABLE = [
+    (r"^(?:the )?(?:mit|isc|(?:new |simplified )?bsd(?: [23] clause)?|[23] clause bsd) license(?: mit)? ", ""),
+    (r"\b(?:[123abc]|i{1,3}) (redistributions (?:of|in)|neither the name)", "$1"),
+    (r"\bneither the names? of (?:\S+ ){1,24}?nor the names? of (?:\S+ ){1,6}?may be used",
+     "neither the name of holder nor the names of its contributors may be used"),
+    (r"\bprovided by (?:\S+ ){1,24}?as is and any express", "provided by holder as is and any express"),
+    (r"\bprovided as is and (?:\S+ ){1,24}?disclaims? all", "provided as is and holder disclaims all"),
+    (r"\bin no event shall (?:\S+ ){1,24}?be liable", "in no event shall holder be liable"),
+]
+#: Where sentences end, lines or not.
+SENTENCE_END = r"(?<=[.!?;])\s+|\n[ \t\r]*\n"
 #: Spellings that count as equal, as (pattern over lower-case words, what stands for them).
 EQUIVALENT = [
     (r"\bsub[ -]licen[cs]e", "sublicense"),
@@ -106,6 +157,30 @@ def canonical_digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def without_names(words: Column) -> Column:
+    """Canonical words without titles, list marks and names that differ between copies of a licence."""
+    out = words
+    for pattern, same in REPLACEABLE:
+        out = F.regexp_replace(out, pattern, same)
+    return F.when(words.contains("as is"), out).otherwise(words)
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the long licences, also without what follows their terms."""
+    rows = []
+    for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        terms, end, after = text.partition("END OF TERMS AND CONDITIONS")
+        rows += [(path.stem, text)] + ([(path.stem, terms), (path.stem, terms + end)] if after else [])
+    return rows
+
+
+def named_license(words: Column, names: Column) -> Column:
+    """The licence that a canonical sentence names, or null."""
+    by_name = F.try_element_at(names, F.regexp_extract(words, _NAMING, 1))
+    return F.coalesce(by_name, F.try_element_at(names, F.regexp_extract(words, _SPDX, 1)))
+
+
 def known_digests(spark: SparkSession, texts: dict[str, list[str]]) -> DataFrame:
     """(digest, license_id) of known texts; ids of one digest are joined in order."""
     rows = [(name.split(" (")[0], text) for name, all_of in texts.items() for text in all_of]
@@ -120,21 +195,41 @@ def scan_licenses(documents: DataFrame, doc: str = "doc_id", text: str = "text",
     """doc_id, canonical_digest, license_id (of the whole text, else null), notices, n_notice_lines.
 
     ``notices`` has the sorted distinct licences that lines of the text name, joined by commas. The two
-    dictionaries are parameters of fixed size, so the whole-text join is broadcast when Spark's own
-    size limit allows, and line lookups use a literal map.
+    dictionaries are parameters of fixed size, in place of all that is known here, so the whole-text join is
+    broadcast when Spark's own size limit allows, and line lookups use a literal map. A sentence over several
+    lines counts as one line.
     """
     spark = documents.sparkSession
-    whole = known_digests(spark, licences or {k: [v] for k, v in LICENCES.items()})
+    texts = [(n.split(" (")[0], t) for n, ts in (licences or {k: [v] for k, v in LICENCES.items()}).items() for t in ts]
+    whole = spark.createDataFrame(texts + ([] if licences else full_texts()), "license_id string, text string").groupBy(
+        F.sha2(without_names(canonical(F.col("text"))), 256).alias("digest")).agg(
+        F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("license_id"))
     lines_of = known_digests(spark, notices or NOTICES).collect()
     by_line = F.create_map(*[F.lit(x) for x in chain.from_iterable((r.digest, r.license_id) for r in lines_of)])
+    known = {} if notices else {words: name for name, all_of in NAMES.items() for words in all_of}
+    names = F.create_map(*[F.lit(x) for x in chain.from_iterable({"": None, **known}.items())]).cast("map<string,string>")
     lean = documents.select(F.col(doc).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    lines = F.filter(F.split("body", "\n"), lambda line: F.lower(line).rlike(MENTIONS))
-    named = F.transform(lines, lambda line: F.try_element_at(by_line, canonical_digest(line)))
+    mentions = lambda x: F.lower(x).rlike(MENTIONS)
+
+    def licences_of(passage: Column, parts: Column) -> Column:
+        """What a passage or one of its parts names, as a sorted set."""
+        each = F.transform(F.array_distinct(F.concat(F.array(passage), parts)), lambda x: F.coalesce(
+            F.try_element_at(by_line, canonical_digest(x)), named_license(canonical(x), names)))
+        return F.array_sort(F.array_distinct(F.filter(each, lambda x: x.isNotNull())))
+
+    lines = F.filter(F.split("body", "\n"), mentions)
+    wrapped = F.filter(F.split("body", SENTENCE_END), lambda x: x.contains("\n") & mentions(x))
+    nothing = F.array().cast("array<array<string>>")
+    found = F.when(mentions(F.col("body")), F.concat(
+        F.transform(lines, lambda x: licences_of(x, F.split(x, SENTENCE_END))),
+        F.transform(wrapped, lambda x: licences_of(x, F.array().cast("array<string>"))))).otherwise(nothing)
     scanned = lean.select(
-        "doc_id", canonical_digest(F.col("body")).alias("canonical_digest"),
-        F.filter(named, lambda x: x.isNotNull()).alias("found"))
-    joined = scanned.join(whole.withColumnRenamed("digest", "canonical_digest"), "canonical_digest", "left")
+        "doc_id", canonical(F.col("body")).alias("words"),
+        F.filter(found, lambda x: F.size(x) > 0).alias("found"))
+    digests = scanned.select("doc_id", "found", F.sha2("words", 256).alias("canonical_digest"),
+                             F.sha2(without_names(F.col("words")), 256).alias("digest"))
+    joined = digests.join(whole, "digest", "left")
     return joined.select(
         "doc_id", "canonical_digest", "license_id",
-        F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten("found"))), ",").alias("notices"),
         F.size("found").cast("long").alias("n_notice_lines"))
