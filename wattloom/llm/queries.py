@@ -1,4 +1,4 @@
-"""One registered query per operator: op1 to op10, each over its whole table."""
+"""One registered query per operator, each over its whole table."""
 
 from collections.abc import Callable
 from functools import wraps
@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.llm import (
-    chat, decontaminate, language_id, licenses, ngram_join, packing, quality_model, quality_rules, sharding, warc,
+    chat, decontaminate, language_id, licenses, ngram_join, packing, quality_model, quality_rules, sharding,
+    token_counts, warc,
 )
 from wattloom.llm.shipping import ship
 from wattloom.runtime import scratch_path
@@ -141,3 +142,9 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Licences of whole documents and the notices inside them."""
     return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
+@query
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document, by pieces of distinct pre-tokens."""
+    return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
