@@ -8,6 +8,7 @@ from itertools import chain
 
 from wattloom.llm import chat, licenses
 from wattloom.llm.quality_rules import Risk
+from wattloom.llm.spelling import Variants
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]"
@@ -186,6 +187,53 @@ SELECT s.doc_id, s.canonical_digest, w.license_id, coalesce(n.notices, '') AS no
 FROM scanned s LEFT JOIN whole w ON s.canonical_digest = w.digest LEFT JOIN named n ON s.doc_id = n.doc_id"""
 
 
+def _crc32(letters: str) -> str:
+    """CRC-32 of a text of code points up to U+00FF, bit by bit."""
+    code = f"list_transform(string_split({letters}, ''), lambda x: unicode(x))"
+    octets = f"flatten(list_transform({code}, lambda c: CASE WHEN c < 128 THEN [c] ELSE [192 + (c >> 6), 128 + (c & 63)] END))"
+    bits = f"flatten(list_transform({octets}, lambda o: list_transform(range(8), lambda i: ((o >> i) & 1)::bigint)))"
+    register = f"list_concat([4294967295::bigint], {bits})"
+    return (f"xor(list_reduce({register}, lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), "
+            "4294967295::bigint)")
+
+
+def _spelling(variants: Variants = Variants(), typo_every: int = 97) -> str:
+    return rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+per_doc AS (
+  SELECT doc_id, run, count(*) AS c FROM runs WHERE length(run) >= {variants.least_length} GROUP BY ALL),
+hashed AS (SELECT run, c, {_crc32("concat(doc_id, ':', run)")} AS h FROM per_doc),
+made AS (
+  SELECT CASE WHEN h % {typo_every} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2)
+    ELSE run END AS word, c FROM hashed),
+words AS (
+  SELECT word, sum(c)::bigint AS n FROM made WHERE length(word) >= {variants.least_length} GROUP BY word
+  HAVING sum(c) >= {variants.least_count}),
+cut AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b
+    ON a.i = b.i AND a.rest = b.rest AND length(a.word) = length(b.word) AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS form_n,
+    arg_min(other, {{'n': -other_n, 'other': other}}) AS form FROM near GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::bigint AS n_near,
+    CASE WHEN form_n >= {variants.ratio} * w.n THEN form END AS form,
+    CASE WHEN form_n >= {variants.ratio} * w.n THEN form_n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word),
+walk AS (
+  SELECT word, word AS at FROM formed
+  UNION ALL SELECT w.word, f.form FROM walk w JOIN formed f ON f.word = w.at WHERE f.form IS NOT NULL),
+ended AS (SELECT k.word, k.at FROM walk k JOIN formed f ON f.word = k.at WHERE f.form IS NULL)
+SELECT f.word, f.form, e.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN ended e ON e.word = f.word"""
+
+
 def statements() -> dict[str, str]:
     return {
         "op1_quality_rules": _quality_rules(),
@@ -194,4 +242,5 @@ def statements() -> dict[str, str]:
         "op5_decontaminate": _decontaminate(),
         "op9_warc": _WARC,
         "op10_license_scan": _license_scan(),
+        "op12_spelling_variants": _spelling(),
     }

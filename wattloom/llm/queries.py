@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.llm import (
-    chat, decontaminate, language_id, licenses, ngram_join, packing, quality_model, quality_rules, sharding,
+    chat, decontaminate, language_id, licenses, ngram_join, packing, quality_model, quality_rules, sharding, spelling,
     token_counts, warc,
 )
 from wattloom.llm.shipping import ship
@@ -144,6 +144,12 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, folder, "documents"))
 
 
+@query
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word of the documents, some with planted typos, and the form that it is a variant of."""
+    return spelling.group_variants(table(spark, folder, "documents"), typo_every=97)
+
+
 @query
 def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document, by pieces of distinct pre-tokens."""
