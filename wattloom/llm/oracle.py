@@ -9,6 +9,7 @@ from itertools import chain
 from wattloom.llm import chat, licenses
 from wattloom.llm.quality_rules import Risk
 from wattloom.llm.spelling import Variants
+from wattloom.llm.vector_codes import Coding
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]"
@@ -187,6 +188,46 @@ SELECT s.doc_id, s.canonical_digest, w.license_id, coalesce(n.notices, '') AS no
 FROM scanned s LEFT JOIN whole w ON s.canonical_digest = w.digest LEFT JOIN named n ON s.doc_id = n.doc_id"""
 
 
+def _vector_codes(coding: Coding = Coding()) -> str:
+    def assigned(turn: int) -> str:
+        return f"""
+near{turn} AS (
+  SELECT r, p, min({{'d': d, 'e': e}}) AS best FROM (
+    SELECT a.r, a.p, b.e, (a.xx - 2 * list_inner_product(a.x, b.x) + list_inner_product(b.x, b.x))::bigint AS d
+    FROM pieces a JOIN book{turn} b ON a.p = b.p) GROUP BY r, p)"""
+
+    rounds = "".join(f""",{assigned(turn)},
+mean{turn} AS (
+  SELECT p, e, list(x ORDER BY i) AS x FROM (
+    SELECT n.p, n.best.e AS e, i, floor(sum(a.x[i]) / count(*)) AS x
+    FROM near{turn} n JOIN pieces a ON a.r = n.r AND a.p = n.p, unnest(range(1, len(a.x) + 1)) AS t(i)
+    GROUP BY n.p, n.best.e, i) GROUP BY p, e),
+book{turn + 1} AS (
+  SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM book{turn} b LEFT JOIN mean{turn} m ON m.p = b.p AND m.e = b.e)"""
+                     for turn in range(coding.rounds))
+    last = coding.rounds
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+    list_transform(embedding, lambda x: floor({coding.scale} * x::double)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pieces AS MATERIALIZED (
+  SELECT r, p, x, list_inner_product(x, x) AS xx FROM (
+    SELECT r, p, v[p * (len(v) // {coding.parts}) + 1:(p + 1) * (len(v) // {coding.parts})] AS x
+    FROM kept, unnest(range({coding.parts})) AS t(p))),
+book0 AS (SELECT p, r - 1 AS e, x FROM pieces WHERE r <= {coding.entries}){rounds},{assigned(last)},
+coded AS (
+  SELECT r, string_agg(lpad(lower(to_hex(best.e)), 2, '0'), '' ORDER BY p) AS code, sum(best.d)::bigint AS error
+  FROM near{last} GROUP BY r),
+book AS (
+  SELECT sha256(string_agg(x::bigint::varchar, ',' ORDER BY p, e, i)) AS digest FROM (
+    SELECT p, e, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM book{last}))
+SELECT k.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY k.label))::bigint AS label_error,
+  book.digest AS codebooks_sha256
+FROM kept k JOIN coded c ON c.r = k.r, book"""
+
+
 def _crc32(letters: str) -> str:
     """CRC-32 of a text of code points up to U+00FF, bit by bit."""
     code = f"list_transform(string_split({letters}, ''), lambda x: unicode(x))"
@@ -242,5 +283,6 @@ def statements() -> dict[str, str]:
         "op5_decontaminate": _decontaminate(),
         "op9_warc": _WARC,
         "op10_license_scan": _license_scan(),
+        "op11_vector_codes": _vector_codes(),
         "op12_spelling_variants": _spelling(),
     }

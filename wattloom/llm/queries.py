@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wattloom.llm import (
     chat, decontaminate, language_id, licenses, ngram_join, packing, quality_model, quality_rules, sharding, spelling,
-    token_counts, warc,
+    token_counts, vector_codes, warc,
 )
 from wattloom.llm.shipping import ship
 from wattloom.runtime import scratch_path
@@ -144,6 +144,12 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, folder, "documents"))
 
 
+@query
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes of all vectors in four codebooks of 256 entries after four rounds."""
+    return vector_codes.vector_codes(table(spark, folder, "embeddings"))
+
+
 @query
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     """Every word of the documents, some with planted typos, and the form that it is a variant of."""
