@@ -8,6 +8,7 @@ from math import floor, isfinite
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -285,12 +286,34 @@ def test_white_space_separates_only_where_the_file_drops_it():
     assert not token_counts.PreTokens(public_tokenizers.path("byte_bpe_50k.json")).splits_at_space
 
 
-def test_long_texts_are_counted_in_sections(monkeypatch):
+def test_the_pattern_alone_does_for_ascii_what_the_file_does():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert token_counts.ascii_rule(public_tokenizers.path("byte_bpe_50k.json")) is None
+    splitter, rng = token_counts.PreTokens(path), random.Random(4)
+    printable = [chr(c) for c in range(33, 127)]
+    runs = ["".join(rng.choices(printable, k=rng.randint(1, 12))) for _ in range(4000)]
+    runs += ["".join(rng.choices("'stremvlldabZ09", k=9)) for _ in range(4000)] + printable
+    for run, (added, strings) in zip(runs, splitter.of_runs(runs)):
+        assert added == 0 and strings == splitter._strings(run)
+    tokenizer = Tokenizer.from_file(path)
+    mixed = [r + x for r, x in zip(runs, ["\x00", "\x7f", "é", "<|endoftext|>", "\u00a0x", "\t"] * 100)]
+    for run, (added, strings) in zip(mixed, splitter.of_runs(mixed)):
+        assert added + sum(map(splitter.pieces, strings)) == len(tokenizer.encode(run, add_special_tokens=False).ids)
+
+
+def test_long_texts_are_counted_in_sections(spark, monkeypatch):
     monkeypatch.setattr(token_counts, "SECTION", 10)
+    monkeypatch.setattr(token_counts, "BLOCK", 40)
     splitter = token_counts.PreTokens(public_tokenizers.path("word_bpe_49k.json"))
-    text = "one two\nthree  four " * 20 + "e" * 50 + " end"
-    sections = list(splitter.sections(text))
-    assert len(sections) > 10 and [r for s in sections for r in s if r] == text.split()
+    long = "one two\nthree  four " * 20 + "e" * 50 + " end"
+    texts = ["a b", None, long, "", "short", "c d e f", "x" * 30, "g h", *["i"] * 60]
+    found = {}
+    for rows, block in splitter.blocks(pa.array(["skipped", *texts]).slice(1)):
+        assert len(rows) == len(block) and (len(rows) == 1 or sum(len(t.as_py() or "") for t in block) <= 40)
+        at, codes, runs = splitter.runs(block)
+        for row, code in zip(rows[at], codes):
+            found.setdefault(int(row), []).append(runs[code])
+    assert [[r for r in found.get(i, []) if r] for i in range(len(texts))] == [(t or "").split() for t in texts]
 
 
 def test_repeated_and_missing_ids_and_nothing(spark):
