@@ -261,3 +261,10 @@ def test_long_licences_names_and_notices_in_paragraphs(spark):
     assert [found[i].license_id for i in range(n + 1)] == [name for name, _ in known] + ["BSD-3-Clause"]
     assert [(found[i].notices, found[i].n_notice_lines) for i in range(n + 1, n + 6)] == [
         ("MIT", 1), ("Apache-2.0", 1), ("MPL-2.0", 1), ("", 0), ("CC-BY-4.0,MIT", 1)]
+
+
+def test_a_notice_after_an_unfinished_sentence_counts_once(spark):
+    texts = ["Foo der. Bar |\nThis work is licensed under the GNU General Public License, version 3.\nEnd",
+             "a. b\nReleased under the\nMIT License. c", "a. b\nReleased under the MIT License. Licensed under\nCC BY 4.0. d"]
+    found = {r.doc_id: (r.notices, r.n_notice_lines) for r in licenses.scan_licenses(documents(spark, texts)).collect()}
+    assert found == {0: ("GPL-3.0", 1), 1: ("MIT", 1), 2: ("CC-BY-4.0,MIT", 2)}

@@ -197,7 +197,7 @@ def scan_licenses(documents: DataFrame, doc: str = "doc_id", text: str = "text",
     ``notices`` has the sorted distinct licences that lines of the text name, joined by commas. The two
     dictionaries are parameters of fixed size, in place of all that is known here, so the whole-text join is
     broadcast when Spark's own size limit allows, and line lookups use a literal map. A sentence over several
-    lines counts as one line.
+    lines counts as one line, unless one of them was found by itself.
     """
     spark = documents.sparkSession
     texts = [(n.split(" (")[0], t) for n, ts in (licences or {k: [v] for k, v in LICENCES.items()}).items() for t in ts]
@@ -220,9 +220,16 @@ def scan_licenses(documents: DataFrame, doc: str = "doc_id", text: str = "text",
     lines = F.filter(F.split("body", "\n"), mentions)
     wrapped = F.filter(F.split("body", SENTENCE_END), lambda x: x.contains("\n") & mentions(x))
     nothing = F.array().cast("array<array<string>>")
+    alone = F.array().cast("array<string>")
+
+    def of_wrapped(passage: Column) -> Column:
+        """What a passage over several lines names, if none of its lines was found by itself."""
+        by_line = F.exists(F.filter(F.split(passage, "\n"), mentions), lambda x: F.size(licences_of(x, alone)) > 0)
+        return F.when(by_line, alone).otherwise(licences_of(passage, alone))
+
     found = F.when(mentions(F.col("body")), F.concat(
         F.transform(lines, lambda x: licences_of(x, F.split(x, SENTENCE_END))),
-        F.transform(wrapped, lambda x: licences_of(x, F.array().cast("array<string>"))))).otherwise(nothing)
+        F.transform(wrapped, of_wrapped))).otherwise(nothing)
     scanned = lean.select(
         "doc_id", canonical(F.col("body")).alias("words"),
         F.filter(found, lambda x: F.size(x) > 0).alias("found"))
