@@ -12,7 +12,7 @@ from wattloom.operators.features import assemble_vector, vector_to_columns
 from wattloom.runtime import scratch_path
 from wattloom.sources import sinks, views
 
-TINY = ml.Settings(trees=5, tree_depth=5, rounds=5, boost_depth=3)
+TINY = ml.Settings(trees=5, tree_depth=5, rounds=25, boost_depth=4)
 
 
 def test_metrics_agree_with_numpy(spark):
@@ -194,7 +194,7 @@ def test_sixteen_feature_models_take_collinear_city_columns(spark, folder):
 
 def test_forests_do_not_depend_on_the_layout_of_the_rows(spark, folder):
     rows = ml.prepare_training(views.training_raw(spark, folder))
-    settings = ml.Settings(trees=4, tree_depth=5, tasks=3)
+    settings = ml.Settings(trees=4, tree_depth=5)
     one = ml.fit(rows, "rf", settings=settings)
     other = ml.fit(rows.repartition(11).orderBy(F.rand(3)), "rf", settings=settings)
     found = [{r["house_id"]: r["prediction"] for r in ml.predict(rows, m).collect()} for m in (one, other)]

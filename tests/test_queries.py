@@ -15,10 +15,11 @@ STATEMENTS = oracle.statements()
 
 @pytest.fixture(scope="module", autouse=True)
 def small_models():
-    """Full-size fits take minutes; the driver's check runs them, the tests run small ones."""
+    """Full-size fits take minutes; the driver's check runs them, the tests and their SQL run small ones."""
     patch = pytest.MonkeyPatch()
     full = models.Settings
-    patch.setattr(models, "Settings", lambda: full(trees=20, tree_depth=8, rounds=40, boost_depth=5))
+    patch.setattr(models, "Settings", lambda: full(trees=20, tree_depth=8, rounds=12, boost_depth=5))
+    STATEMENTS.update(oracle.statements())
     yield
     patch.undo()
 

@@ -1,14 +1,9 @@
-"""Training, storing and applying the regression models with MLlib."""
+"""Training, storing and applying the regression models."""
 
 import math
-from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,20 +21,20 @@ from wattloom.constants import (
 )
 from wattloom.functions.hashing import hash52, uniform
 from wattloom.operators.features import add_noise, clean_training, clip_target, select_features
+from wattloom.operators.linear import LinearModel, fit_linear
 from wattloom.operators.metrics import eval_metrics
 from wattloom.operators.quantiles import order_statistics, summaries
 from wattloom.operators.registry import stored_artifacts
+from wattloom.operators.trees import TreeModel, fit_boosted, fit_forest
 from wattloom.operators.validation import split_valid, validate_vector
-from wattloom.runtime import ensure_checkpoint_dir, kept
+from wattloom.runtime import kept
+
+Model = LinearModel | TreeModel
 
 
 @dataclass
 class Settings:
-    """Model sizes. Spark limits a tree to depth 30.
-
-    ``tasks`` is the number of partitions of the training rows. A forest draws its samples per
-    partition, so it is a setting of the model: the same rows in any layout give the same forest.
-    """
+    """Model sizes. A tree may have any depth; a node without a gain is a leaf."""
 
     trees: int = FOREST_TREES
     tree_depth: int = 12
@@ -48,7 +43,6 @@ class Settings:
     #: More than the distinct monthly hours, so their splits are exact.
     bins: int = 64
     seed: int = SEED
-    tasks: int = 8
 
 
 def train_test_split(
@@ -78,77 +72,53 @@ def train_test_split(
     return df.filter(~is_test), df.filter(is_test)
 
 
-def _preparation(order: list[str]) -> Pipeline:
-    assembler = VectorAssembler(inputCols=order, outputCol="raw_features", handleInvalid="error")
-    scaler = StandardScaler(
-        inputCol="raw_features", outputCol="scaled_features", withMean=True, withStd=True)
-    return Pipeline(stages=[assembler, scaler])
-
-
-def _regressor(model: str, settings: Settings, target: str):
-    columns = {"featuresCol": "scaled_features", "labelCol": target}
-    if model == "linear":
-        # The normal equations take a single pass over the rows.
-        return LinearRegression(**columns, regParam=0.0, solver="normal")
-    if model == "rf":
-        return RandomForestRegressor(
-            **columns, numTrees=settings.trees, maxDepth=settings.tree_depth,
-            maxBins=settings.bins, maxMemoryInMB=512, featureSubsetStrategy="all",
-            seed=settings.seed)
-    if model == "gbt":
-        # The periodic checkpoint cuts the lineage that grows with every round.
-        return GBTRegressor(
-            **columns, maxIter=settings.rounds, stepSize=BOOST_RATE,
-            maxDepth=settings.boost_depth, maxBins=settings.bins, checkpointInterval=10,
-            seed=settings.seed)
-    raise KeyError(f"unknown model key: {model}")
-
-
-@contextmanager
-def _scaled_rows(train: DataFrame, order: list[str], target: str, settings: Settings):
-    """(fitted assembler and scaler, scaled rows kept for the many passes of fitting)."""
-    ensure_checkpoint_dir(train.sparkSession)
-    columns = [F.col(c) for c in [*order, target]]
-    laid_out = train.select(*columns).repartition(settings.tasks, *columns).sortWithinPartitions(*columns)
-    prepared = _preparation(order).fit(laid_out)
-    with kept(prepared.transform(laid_out).select("scaled_features", target)) as rows:
-        yield prepared, rows
+def _row_key(train: DataFrame, key: str | None) -> Column:
+    """What tells rows apart for the bootstrap samples."""
+    if key is not None:
+        return F.col(key)
+    return F.col("house_id") if "house_id" in train.columns else F.concat_ws("|", *train.columns)
 
 
-def fit_all(
+def fit(
     train: DataFrame,
-    models: list[str],
+    model: str,
     spec: str | list[str] = "v12",
     settings: Settings | None = None,
     target: str = TARGET,
-) -> dict[str, PipelineModel]:
-    """Regressor fitted on ``train`` for each model key, behind one assembler and scaler."""
+    key: str | None = None,
+) -> Model:
+    """The regressor of a model key, fitted on ``train``; the same rows in any layout give the same trees."""
     order = FEATURE_SPECS[spec] if isinstance(spec, str) else spec
     settings = settings or Settings()
-    with _scaled_rows(train, order, target, settings) as (prepared, rows):
-        return {
-            m: PipelineModel([*prepared.stages, _regressor(m, settings, target).fit(rows)])
-            for m in models
-        }
+    if model == "linear":
+        return fit_linear(train, order, target)
+    if model == "rf":
+        return fit_forest(train, order, target, _row_key(train, key), settings.trees, settings.tree_depth,
+                          settings.bins, settings.seed)
+    if model == "gbt":
+        return fit_boosted(train, order, target, settings.rounds, settings.boost_depth, BOOST_RATE, settings.bins)
+    raise KeyError(f"unknown model key: {model}")
 
 
-def fit(
+def fit_all(
     train: DataFrame,
-    model: str,
+    models: list[str],
     spec: str | list[str] = "v12",
     settings: Settings | None = None,
     target: str = TARGET,
-) -> PipelineModel:
-    return fit_all(train, [model], spec, settings, target)[model]
+    key: str | None = None,
+) -> dict[str, Model]:
+    with kept(train) as rows:
+        return {m: fit(rows, m, spec, settings, target, key) for m in models}
 
 
-def predict(df: DataFrame, model: PipelineModel, name: str = "prediction") -> DataFrame:
-    """Add the model's prediction; predictions are not clipped at 0."""
-    return model.transform(df).select(*df.columns, F.col("prediction").alias(name))
+def predict(df: DataFrame, model: Model, name: str = "prediction") -> DataFrame:
+    """Add the model's prediction; predictions are not clipped at 0, and a missing feature is an error."""
+    return model.predict(df, name)
 
 
 def score_all_models(
-    df: DataFrame, models: dict[str, PipelineModel], actual: str | None = TARGET
+    df: DataFrame, models: dict[str, Model], actual: str | None = TARGET
 ) -> DataFrame:
     """Every row scored by every model, as rows with ``model``, ``y`` and ``prediction``.
 
@@ -167,18 +137,15 @@ def score_all_models(
 
 
 def predict_vectors(
-    requests: DataFrame, model: PipelineModel, features: str = "features",
+    requests: DataFrame, model: Model, features: str = "features",
     name: str = "prediction",
 ) -> DataFrame:
     """``predict`` for rows whose features already stand in an array in the model's order."""
-    after_assembly = PipelineModel(model.stages[1:])
-    vectors = requests.withColumn("raw_features", array_to_vector(features))
-    scored = after_assembly.transform(vectors)
-    return scored.select(*requests.columns, F.col("prediction").alias(name))
+    return requests.withColumn(name, model.score([F.get(features, i).cast("double") for i in range(len(model.order))]))
 
 
 def score_by_model(
-    requests: DataFrame, models: dict[str, PipelineModel], column: str = "model"
+    requests: DataFrame, models: dict[str, Model], column: str = "model"
 ) -> DataFrame:
     """Score each request with the model it names; rows naming no given model are left out.
 
@@ -192,7 +159,7 @@ def score_by_model(
 
 
 def score(
-    requests: DataFrame, models: dict[str, PipelineModel], row_id: Column, at: Column | None = None
+    requests: DataFrame, models: dict[str, Model], row_id: Column, at: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(log rows of the valid requests, rejected requests with ``reason``)."""
     accepted, rejected = split_valid(validate_vector(requests, list(models)))
@@ -216,13 +183,12 @@ def to_log(scored: DataFrame, row_id: Column, at: Column | None = None) -> DataF
     )
 
 
-def feature_importances(model: PipelineModel, spec: str | list[str] = "v12") -> DataFrame:
+def feature_importances(model: Model, spec: str | list[str] = "v12") -> DataFrame:
     """(feature, importance) of a tree model; the linear model has none."""
-    last = model.stages[-1]
-    if not hasattr(last, "featureImportances"):
+    if not isinstance(model, TreeModel):
         raise ValueError("the model has no feature importances")
     order = FEATURE_SPECS[spec] if isinstance(spec, str) else spec
-    rows = [(name, float(v)) for name, v in zip(order, last.featureImportances.toArray())]
+    rows = [(name, float(v)) for name, v in zip(order, model.importances())]
     return SparkSession.active().createDataFrame(rows, "feature string, importance double")
 
 
@@ -230,30 +196,30 @@ def top_importances(importances: DataFrame, n: int = TOP_FEATURES) -> DataFrame:
     return importances.orderBy(F.col("importance").desc(), "feature").limit(n)
 
 
-def save_models(models: dict[str, PipelineModel], root: str) -> None:
+def save_models(models: dict[str, Model], root: str) -> None:
     """Store each model under its registry path."""
     for key, model in models.items():
-        model.write().overwrite().save(f"{root}/{MODEL_REGISTRY[key][0]}")
+        model.save(SparkSession.active(), f"{root}/{MODEL_REGISTRY[key][0]}")
 
 
-def load_model(spark, root: str, key: str) -> PipelineModel:
+def load_model(spark, root: str, key: str) -> Model:
     """Load one model: KeyError for an unknown key, FileNotFoundError for one not stored.
 
-    The scaler is part of the stored model; a damaged one is an error.
+    A damaged model is an error.
     """
     if key not in MODEL_REGISTRY:
         raise KeyError(f"unknown model key: {key}")
     path = MODEL_REGISTRY[key][0]
     if stored_artifacts(spark, root, {key: MODEL_REGISTRY[key]}).isEmpty():
         raise FileNotFoundError(f"{root}/{path}")
-    return PipelineModel.load(f"{root}/{path}")
+    return (LinearModel if key == "linear" else TreeModel).load(spark, f"{root}/{path}")
 
 
 @dataclass
 class Training:
     """What a training run leaves behind."""
 
-    models: dict[str, PipelineModel]
+    models: dict[str, Model]
     metrics: DataFrame
     scored: DataFrame
 
@@ -286,7 +252,7 @@ def train_models(
     settings = settings or Settings()
     rows = prepare_training(table, spec, key, seed=settings.seed)
     train, test = train_test_split(rows, key, seed=settings.seed)
-    fitted = fit_all(train, models or list(MODEL_REGISTRY), spec, settings)
+    fitted = fit_all(train, models or list(MODEL_REGISTRY), spec, settings, key=key)
     scored = score_all_models(test, fitted)
     if root:
         save_models(fitted, root)

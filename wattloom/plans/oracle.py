@@ -1,6 +1,8 @@
 """The registered queries in SQL, for comparison on the same tables with another engine."""
 
-from wattloom.constants import FEATURE_SPECS, PUBLISHED_THRESHOLDS, TARGET
+from wattloom.constants import BOOST_RATE, FEATURE_SPECS, PUBLISHED_THRESHOLDS, TARGET
+from wattloom.operators import models as ml
+from wattloom.operators.trees import LEAST_GAIN, POISSON
 
 V12 = FEATURE_SPECS["v12"]
 
@@ -387,20 +389,23 @@ _RECENT = """
 _USABLE = " AND ".join(f"house_id % {k} <> 0" for k in (37, 41, 43, 47))
 
 
-def _least_squares(then: str) -> str:
+_XS = [f"x{i}" for i in range(len(V12))]
+#: house_id, usable, is_train, y and the features of all training rows.
+_BASE = f"""base AS MATERIALIZED (
+            SELECT house_id, {_USABLE} AS usable,
+                   {_USABLE} AND {uniform('house_id', 'split42')} < 1.0 - 0.3 AS is_train, {_CLIPPED} AS y,
+                   {', '.join(f'"{f}" AS x{i}' for i, f in enumerate(V12))}
+            FROM noisy)"""
+
+
+def _least_squares() -> list[str]:
     """Least squares with all features by one residual regression after the other.
 
     Slopes come from the training part; ``line`` has (house_id, prediction) of all rows, ``tested`` also y,
     of the test part.
     """
-    n = len(V12)
-    xs = [f"x{i}" for i in range(n)]
+    n, xs = len(V12), _XS
     steps = [
-        f"""base AS MATERIALIZED (
-            SELECT house_id, {_USABLE} AS usable,
-                   {_USABLE} AND {uniform('house_id', 'split42')} < 1.0 - 0.3 AS is_train, {_CLIPPED} AS y,
-                   {', '.join(f'"{f}" AS x{i}' for i, f in enumerate(V12))}
-            FROM noisy)""",
         f"""means AS MATERIALIZED (
             SELECT avg(y) AS my, {', '.join(f'avg({x}) AS m{x}' for x in xs)} FROM base WHERE is_train)""",
         f"""s0 AS MATERIALIZED (
@@ -422,25 +427,134 @@ def _least_squares(then: str) -> str:
         ]
     steps += [f"line AS (SELECT house_id, usable, is_train, y, y - rest AS prediction FROM s{n})",
               "tested AS (SELECT house_id, y, prediction FROM line WHERE usable AND NOT is_train)"]
-    return f"WITH {', '.join(steps)} {then}"
+    return steps
+
+
+def _bins(settings) -> list[str]:
+    """``binned``: the target in steps of 2^-16 and the bin of each feature, for all rows."""
+    n, k = len(V12), settings.bins
+    return [
+        f"""wide AS (
+            SELECT unnest(range({n})) AS f, unnest([{', '.join(f'{x} + 0.0::DOUBLE' for x in _XS)}]) AS v
+            FROM base WHERE is_train)""",
+        f"""cut AS (
+            SELECT f, list(DISTINCT v ORDER BY v) AS c FROM (
+                SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY v) AS rn, count(*) OVER (PARTITION BY f) AS n
+                FROM wide) JOIN (SELECT unnest(range(1, {k})) AS k) ON rn = ceil(k / {k}::DOUBLE * n) GROUP BY f)""",
+        f"""cuts AS (
+            SELECT {', '.join(f'any_value(c) FILTER (f = {i}) AS c{i}' for i in range(n))} FROM cut)""",
+        f"""binned AS MATERIALIZED (
+            SELECT house_id, is_train, floor(y * 65536 + 0.5)::BIGINT AS y,
+                   [{', '.join(f'len(list_filter(c{i}, lambda c: c < x{i}))' for i in range(n))}] AS bins
+            FROM base, cuts)""",
+    ]
+
+
+def _best_splits(l2: str) -> str:
+    return f"""run AS (
+                    SELECT node, f, b, sum(s) OVER upto / 65536::DOUBLE AS gl, sum(h) OVER upto AS hl,
+                           sum(s) OVER every / 65536::DOUBLE AS ga, sum(h) OVER every AS ha FROM cells
+                    WINDOW upto AS (PARTITION BY node, f ORDER BY b), every AS (PARTITION BY node, f)),
+                best AS (
+                    SELECT node, arg_min({{'f': f, 'b': b}}, {{'k': -gain, 'f': f, 'b': b}}) AS s FROM (
+                        SELECT *, gl * gl / (hl + {l2}) + (ga - gl) * (ga - gl) / (ha - hl + {l2})
+                                  - ga * ga / (ha + {l2}) AS gain FROM run WHERE hl < ha)
+                    WHERE gain > {LEAST_GAIN!r}::DOUBLE GROUP BY node)"""
+
+
+def _boosting(settings) -> list[str]:
+    """``boosted``: rows move down a level at a time; after the last level the next tree starts."""
+    depth = settings.boost_depth
+    return [f"""boosting(house_id, pred, node, t, level) USING KEY (house_id) AS (
+            SELECT house_id, (SELECT sum(y)::DOUBLE / 65536::DOUBLE / count(*) FROM binned WHERE is_train), 1, 0, 0
+            FROM binned
+            UNION (
+                WITH here AS (
+                    SELECT g.*, is_train, bins,
+                           floor((y / 65536::DOUBLE - pred) * 65536::DOUBLE + 0.5)::BIGINT AS r
+                    FROM boosting g JOIN binned USING (house_id) WHERE t < {settings.rounds}),
+                cells AS (
+                    SELECT node, f, b, sum(r)::BIGINT AS s, count(*) AS h FROM (
+                        SELECT node, unnest(range({len(V12)})) AS f, unnest(bins) AS b, r
+                        FROM here WHERE is_train AND level < {depth}) GROUP BY node, f, b),
+                {_best_splits('1.0::DOUBLE')},
+                leaf AS (
+                    SELECT node, {BOOST_RATE!r}::DOUBLE * (sum(r)::DOUBLE / 65536::DOUBLE)
+                                 / (count(*) + 1.0::DOUBLE) AS value
+                    FROM here WHERE is_train AND level = {depth} GROUP BY node)
+                SELECT house_id, CASE WHEN level = {depth} THEN pred + value ELSE pred END,
+                       CASE WHEN level = {depth} THEN 1
+                            ELSE 2 * h.node + coalesce(bins[b.s.f + 1] > b.s.b, false)::INT END,
+                       t + (level = {depth})::INT, CASE WHEN level = {depth} THEN 0 ELSE level + 1 END
+                FROM here h LEFT JOIN best b ON b.node = h.node LEFT JOIN leaf l ON l.node = h.node))""",
+            "boosted AS (SELECT house_id, pred AS prediction FROM boosting)"]
+
+
+def _forest(settings) -> list[str]:
+    """``forest``: all trees grow together, a level at a time; rows outside a sample have weight 0."""
+    u = uniform("t || ':' || house_id", f"bag{settings.seed}")
+    weight = " + ".join(f"(u >= {bound!r}::DOUBLE)::INT" for bound in POISSON)
+    return [
+        f"""bag AS MATERIALIZED (
+            SELECT house_id, t, CASE WHEN is_train THEN {weight} ELSE 0 END AS w
+            FROM (SELECT house_id, is_train, t, {u} AS u FROM binned, range({settings.trees}) AS r(t)))""",
+        f"""growing(house_id, t, w, node, level) USING KEY (house_id, t) AS (
+            SELECT house_id, t, w, t, 0 FROM bag
+            UNION (
+                WITH here AS (
+                    SELECT g.*, bins, y FROM growing g JOIN binned USING (house_id) WHERE level < {settings.tree_depth}),
+                cells AS (
+                    SELECT node, f, b, sum(w * y)::BIGINT AS s, sum(w)::BIGINT AS h FROM (
+                        SELECT node, unnest(range({len(V12)})) AS f, unnest(bins) AS b, w, y FROM here WHERE w > 0)
+                    GROUP BY node, f, b),
+                {_best_splits('0.0::DOUBLE')}
+                SELECT house_id, t, w, h.node + CASE WHEN b.s IS NULL THEN 0 ELSE {settings.trees}
+                       * (1::BIGINT << level) * (1 + (bins[b.s.f + 1] > b.s.b)::BIGINT) END, level + 1
+                FROM here h LEFT JOIN best b ON b.node = h.node))""",
+        """leaves AS (
+            SELECT node, sum(w * y)::DOUBLE / 65536::DOUBLE / sum(w) AS value
+            FROM growing JOIN binned USING (house_id) WHERE w > 0 GROUP BY node)""",
+        "forest AS (SELECT house_id, avg(value) AS prediction FROM growing JOIN leaves USING (node) GROUP BY house_id)",
+    ]
 
 
 def _fitted(then: str) -> str:
-    return _on("noisy", f"SELECT * FROM ({_least_squares(then)})")
+    return _on("noisy", f"SELECT * FROM (WITH {', '.join([_BASE, *_least_squares()])} {then})")
 
 
 _LINE = _fitted(f"SELECT house_id, {r('prediction', 1)} AS prediction FROM tested")
+_MODELS = ["linear", "rf", "gbt"]
 
 
-def _test_quality(models: list[str]) -> str:
-    names = ", ".join(f"('{m}')" for m in models)
-    return _fitted(f"""
-        SELECT model, count(*) AS n, true AS not_below_noise, true AS explains_target,
-               {r('avg(y)', 5)} AS y_mean, {r('min(y)', 5)} AS y_min, {r('max(y)', 5)} AS y_max
-        FROM tested, (VALUES {names}) AS k(model) GROUP BY model""")
+def _scored_by(models: list[str], then: str) -> str:
+    """Fits the models on the training part; ``predicted`` has (house_id, usable, is_train, y, model, prediction)."""
+    settings = ml.Settings()
+    steps, parts = [_BASE], []
+    if "linear" in models:
+        steps += _least_squares()
+    if set(models) - {"linear"}:
+        steps += _bins(settings)
+    if "gbt" in models:
+        steps += _boosting(settings)
+    if "rf" in models:
+        steps += _forest(settings)
+    for model, found in [("linear", "line"), ("rf", "forest"), ("gbt", "boosted")]:
+        if model in models:
+            parts.append(f"SELECT b.house_id, b.usable, b.is_train, b.y, '{model}' AS model, p.prediction "
+                         f"FROM base b JOIN {found} p USING (house_id)")
+    steps.append(f"predicted AS ({' UNION ALL '.join(parts)})")
+    return _on("noisy", f"SELECT * FROM (WITH RECURSIVE {', '.join(steps)} {then})")
+
+
+_COMPARED = f"CASE WHEN model = 'linear' THEN {r('prediction', 1)} ELSE {r('prediction', 5)} END AS prediction"
+
+
+def _test_quality(models: list[str], digits: int) -> str:
+    return _scored_by(models, f"""
+        SELECT model, count(*) AS n, {_metrics(_METRICS, digits)}
+        FROM predicted WHERE usable AND NOT is_train GROUP BY model""")
 
 
-_MODELS = ["linear", "rf", "gbt"]
 _NEEDED = "(daily_kwh * 1000.0)"
 # The quotient of a whole number of panels, found from the exact remainder.
 _PANELS = f"""round((({_NEEDED} + panel - 1) - (({_NEEDED} + panel - 1) % panel)) / panel)"""
@@ -693,19 +807,17 @@ def statements() -> dict[str, str]:
         "fit_linear": _fitted(f"""
             SELECT 'linear' AS model, count(*) AS n, {_metrics(_METRICS, 3)}
             FROM tested"""),
-        "fit_forest": _test_quality(["rf"]),
-        "fit_boosted": _test_quality(["gbt"]),
-        "evaluate_models": _test_quality(_MODELS),
-        "train_pipeline": _fitted("""
-            SELECT model, label, count(*) AS n, true AS ranked FROM tested, (VALUES
-                ('linear', 'Linear Regression'), ('rf', 'Random Forest'),
-                ('gbt', 'Gradient-Boosted Trees')) AS k(model, label)
-            GROUP BY model, label"""),
-        "score_all_models": _fitted(f"""
-            SELECT house_id, model, {r('y')} AS y,
-                   CASE WHEN model = 'linear' THEN {r('prediction', 1)} END AS linear_prediction,
-                   true AS plausible
-            FROM tested, (VALUES ('linear'), ('rf'), ('gbt')) AS k(model)"""),
+        "fit_forest": _test_quality(["rf"], 6),
+        "fit_boosted": _test_quality(["gbt"], 6),
+        "evaluate_models": _test_quality(_MODELS, 3),
+        "train_pipeline": _scored_by(_MODELS, f"""
+            SELECT model, label, n, row_number() OVER (ORDER BY "MAPE_safe", "R2" DESC)::INTEGER AS rank
+            FROM (SELECT model, count(*) AS n, {_metrics(['MAPE_safe', 'R2'], 9)}
+                  FROM predicted WHERE usable AND NOT is_train GROUP BY model)
+            JOIN (VALUES ('linear', 'Linear Regression'), ('rf', 'Random Forest'),
+                ('gbt', 'Gradient-Boosted Trees')) AS k(model, label) USING (model)"""),
+        "score_all_models": _scored_by(_MODELS, f"""
+            SELECT house_id, model, {r('y')} AS y, {_COMPARED} FROM predicted WHERE usable AND NOT is_train"""),
         "score_requests": _fitted(f"""
             SELECT house_id::VARCHAR AS _id, house_id::VARCHAR AS house_id, model,
                    CASE WHEN model = 'linear' THEN {r('prediction', 1)} END AS linear_prediction,
@@ -713,12 +825,10 @@ def statements() -> dict[str, str]:
             FROM line JOIN (SELECT house_id, CASE house_id % 4 WHEN 0 THEN 'linear' WHEN 1 THEN 'rf'
                 WHEN 2 THEN 'gbt' END AS model FROM line) USING (house_id)
             WHERE model IS NOT NULL AND house_id % 15 <> 0 AND house_id % 25 <> 0"""),
-        "score_by_model": _fitted(f"""
-            SELECT house_id, model, CASE WHEN model = 'linear' THEN {r('prediction', 1)} END
-                   AS linear_prediction, true AS plausible
-            FROM line JOIN (SELECT house_id, CASE house_id % 4 WHEN 0 THEN 'linear' WHEN 1 THEN 'rf'
-                WHEN 2 THEN 'gbt' END AS model FROM line) USING (house_id)
-            WHERE model IS NOT NULL AND house_id % 15 <> 0 AND house_id % 25 <> 0"""),
+        "score_by_model": _scored_by(_MODELS, f"""
+            SELECT house_id, model, {_COMPARED} FROM predicted
+            WHERE model = CASE house_id % 4 WHEN 0 THEN 'linear' WHEN 1 THEN 'rf' WHEN 2 THEN 'gbt' END
+                AND house_id % 15 <> 0 AND house_id % 25 <> 0"""),
         "top_feature_importances": _on("training", f"""
             SELECT feature, {r('importance')} AS importance, true AS sums_to_one FROM ({" UNION ALL ".join(
                 f'SELECT {chr(39)}{f}{chr(39)} AS feature, coalesce(nullif(regr_r2("{TARGET}", "{f}"), '

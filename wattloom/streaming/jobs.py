@@ -4,14 +4,13 @@ Every job writes below one folder: its table, its checkpoint and, where needed,
 inside foreachBatch write one folder per batch id, so a repeated batch replaces its own output.
 """
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from wattloom.constants import RECENT_PER_HOUSE
 from wattloom.operators.history import change, recent_per_house
-from wattloom.operators.models import predict
+from wattloom.operators.models import Model, predict
 from wattloom.operators.ordering import HOT_ROWS, previous_in_order
 from wattloom.operators.validation import outcome, validate_household
 from wattloom.runtime import kept
@@ -90,7 +89,7 @@ def ingest_writer(
         "checkpointLocation", f"{folder}/checkpoint")
 
 
-def score_writer(rows: DataFrame, model: PipelineModel, folder: str) -> DataStreamWriter:
+def score_writer(rows: DataFrame, model: Model, folder: str) -> DataStreamWriter:
     """Score arriving rows and append them to ``folder``/log."""
     return (
         predict(rows, model, "predicted_value_kwh").writeStream.format("parquet")
