@@ -8,8 +8,7 @@ The nearest entry is found by Orchard's search. For each entry the other entries
 part starts at some entry and walks that entry's list; an entry that is nearer (or as near, with a lower index)
 becomes the current one, and the walk goes on in its list. Entries already compared are marked and not compared
 again. The walk ends where the list goes beyond twice the distance between the part and its current entry: by the
-triangle inequality, no entry from there on can be nearer. Many parts walk at once, those with the same current entry
-in blocks of its list.
+triangle inequality, no entry from there on can be nearer. Many parts walk at once, each some entries at a time.
 
 A round is one pass over the vectors: each task adds up its parts by entry and gives one row for each entry, so what
 is shuffled and collected has the size of the codebooks for every task and for the driver, at any number of vectors.
@@ -34,7 +33,7 @@ from wattloom.llm.heavy import join_totals
 from wattloom.llm.storage import Scratch
 
 #: Entries of a list that a walk looks at in one step, and parts that walk at once.
-STRIDE, TOGETHER = 16, 1 << 14
+STRIDE, TOGETHER = 16, 1 << 12
 #: Bits of the limbs that sums are cut into, so that they may have any size.
 LIMB = 40
 GREATEST = 2 ** 63 - 1
@@ -72,52 +71,46 @@ class Orchard:
     def _walk(self, points: np.ndarray, start: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         n, size = len(points), len(self.entries)
         current = np.zeros(n, np.int64) if start is None else start.copy()
-        best = ((points - self.entries[current]) ** 2).sum(1)
+        best = _squares(points - self.entries[current])
         marked = np.zeros((n, size), bool)
         marked[np.arange(n), current] = True
         place = np.zeros(n, np.int64)  # how far each point has come in the list of its entry
         active = np.arange(n)
         while len(active):
-            # Points at the same place of the same list look at the same entries.
-            active = active[np.lexsort((place[active], current[active]))]
-            new = np.flatnonzero(np.diff(current[active], prepend=-1) | np.diff(place[active], prepend=-1))
-            going = []
-            for lo, hi in zip(new, [*new[1:], len(active)]):
-                who = active[lo:hi]
-                entry, at = current[who[0]], place[who[0]]
-                there, reach = self.lists[entry, at:at + STRIDE], self.reach[entry, at:at + STRIDE]
-                # Distances are squared: twice as far is four times the square.
-                within = reach <= 4 * best[who, None]
-                look = within & ~marked[np.ix_(who, there)]
-                some = look.any(0)
-                if some.any():
-                    seen = there[some]
-                    distance = _distances(points[who], self.entries[seen])
-                    marked[np.ix_(who, seen)] |= look[:, some]
-                    jumped = self._improve(who, seen, distance, look[:, some], current, best)
-                    place[who[jumped]] = 0
-                else:
-                    jumped = np.zeros(len(who), bool)
-                stay = who[~jumped]
-                place[stay] += STRIDE
-                # Beyond the reach of this block there is nothing nearer.
-                more = within[~jumped, -1] & (at + STRIDE < size)
-                going += [who[jumped], stay[more]]
-            active = np.concatenate(going)
+            at = np.minimum(place[active, None] + np.arange(STRIDE), size - 1)
+            there, reach = self.lists[current[active, None], at], self.reach[current[active, None], at]
+            # Distances are squared: twice as far is four times the square.
+            within = reach <= 4 * best[active, None]
+            row, col = np.nonzero(within & ~marked[active[:, None], there])
+            who, entry = active[row], there[row, col]
+            marked[who, entry] = True
+            distance = np.repeat(best[active, None] + 1, there.shape[1], 1)  # of no use
+            distance[row, col] = _squares(points[who] - self.entries[entry])
+            jumped = self._improve(active, there, distance, current, best)
+            place[active] = np.where(jumped, 0, place[active] + STRIDE)
+            # Beyond the reach of this block there is nothing nearer.
+            active = active[jumped | within[:, -1] & (place[active] < size)]
         return current, best
 
     @staticmethod
-    def _improve(who, seen, distance, look, current, best) -> np.ndarray:
+    def _improve(active, there, distance, current, best) -> np.ndarray:
         """Move points to the nearest entry just looked at, if it beats the current one; which have moved."""
-        order = np.argsort(seen)
-        far = np.where(look, distance, best[who, None] + 1)[:, order]
-        first = far.argmin(1)
-        least, entry = far[np.arange(len(who)), first], seen[order][first]
-        better = (least < best[who]) | (least == best[who]) & (entry < current[who])
-        best[who[better]], current[who[better]] = least[better], entry[better]
+        least = distance.min(1)
+        # Of equally near entries, that of the lowest index.
+        entry = np.where(distance == least[:, None], there, np.iinfo(np.int64).max).min(1)
+        now, own = best[active], current[active]
+        better = (least < now) | (least == now) & (entry < own)
+        best[active[better]], current[active[better]] = least[better], entry[better]
         return better
 
 
+def _squares(difference: np.ndarray) -> np.ndarray:
+    """Squared lengths of integer rows."""
+    if difference.dtype == object:
+        return (difference ** 2).sum(1)
+    return np.einsum("ij,ij->i", difference, difference)
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances of integer rows; exact, since float products of such integers are."""
     if a.dtype == object:
