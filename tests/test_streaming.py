@@ -1,13 +1,20 @@
+import random
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
 from wattloom import schemas
 from wattloom.operators import history, validation
 from wattloom.operators import models as ml
+from wattloom.operators.linear import LinearModel
+from wattloom.operators.trees import Nodes, TreeModel
 from wattloom.runtime import scratch_path
 from wattloom.sources import tables, views
 from wattloom.streaming import jobs
 
+START = datetime(2024, 3, 1)
+
 
 @pytest.fixture(scope="module")
 def pieces(spark, folder):
@@ -55,57 +62,144 @@ def test_ingest_stream_drops_repeated_records_if_asked(spark, pieces):
     assert stored.count() == stored.distinct().count() == 500
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 5])
-def test_delta_stream_agrees_with_batch(spark, pieces, hot_rows):
-    base = scratch_path(spark, "s")
-    rows = views.reading_columns(stream(spark, pieces))
-    done = jobs.run_available(
-        jobs.delta_writer(rows, base, "kwh", "ts", "event_id", hot_rows))
-    assert batches(done) == 4
-    expected = history.delta_vs_last(
-        views.reading_columns(tables.table(spark, pieces, "events")), "kwh", "ts", "event_id")
-    names = ("event_id", "last_kwh", "delta_kwh", "direction")
-    assert as_set(spark.read.parquet(f"{base}/deltas"), *names) == as_set(expected, *names)
+READING = "house_id long, event_id long, ts timestamp, kwh double"
+
 
+def arriving(spark, parts):
+    """(stream, all rows): each part is a batch of (house, id, hours after the start, kwh); no hours, no time."""
+    base, rows = scratch_path(spark, "in"), []
+    for part in parts:
+        timed = [(house, i, None if h is None else START + timedelta(hours=h), kwh) for house, i, h, kwh in part]
+        spark.createDataFrame(timed, READING).coalesce(1).write.mode("append").parquet(base)
+        rows += timed
+    stream = spark.readStream.schema(READING).option("maxFilesPerTrigger", 1).parquet(base)
+    return stream, spark.createDataFrame(rows, READING)
 
-def test_a_repeated_batch_changes_nothing(spark, pieces):
-    """A batch that ran but was not committed runs again after a restart."""
+
+def deltas(spark, stream, base, **how):
+    jobs.run_available(jobs.bucket_writer(stream, base, "kwh", "ts", "event_id", **how))
+    jobs.run_available(jobs.link_writer(spark, base))
+    return jobs.read_deltas(spark, base)
+
+
+def random_parts(seed, displaced, parts=4, n=240):
+    """Rows in the order of their hour plus up to ``displaced`` hours, cut into batches; houses of unlike sizes."""
+    rng = random.Random(seed)
+    rows = [(rng.choice([1, 1, 1, 1, 2, 3, None]), i, rng.randrange(96) + rng.choice([0.0, 0.25, 0.5]),
+             rng.choice([None, 1.0, 2.5, round(rng.random(), 3)])) for i in range(n)]
+    rows.sort(key=lambda r: r[2] + rng.random() * displaced)
+    return [rows[k * n // parts:(k + 1) * n // parts] for k in range(parts)]
+
+
+@pytest.mark.parametrize("displaced", [0, 5])
+def test_deltas_follow_event_time_in_any_order_of_arrival(spark, displaced):
+    stream, rows = arriving(spark, random_parts(displaced, displaced))
     base = scratch_path(spark, "s")
-    rows = views.reading_columns(stream(spark, pieces))
-    jobs.run_available(jobs.delta_writer(rows, base, "kwh", "ts", "event_id"))
-    before = as_set(spark.read.parquet(f"{base}/deltas"), "event_id", "last_kwh", "delta_kwh")
+    found = deltas(spark, stream, base, delay="6 hours", bucket="2 hours")
+    expected = history.delta_vs_last(rows, "kwh", "ts", "event_id")
+    last = rows.agg(F.max("ts")).first()[0]
+    closed = expected.filter(F.window("ts", "2 hours")["end"] <= F.lit(last) - F.expr("interval 6 hours"))
+    names = ("event_id", "house_id", "last_kwh", "delta_kwh", "direction")
+    wanted = as_set(closed, *names)
+    assert len(wanted) > 150
+    assert as_set(found.withColumnRenamed("row_id", "event_id"), *names) == wanted
+    others = jobs.unlinked_rows(rows, base, "ts", "event_id", "2 hours")
+    assert {r["why"] for r in others.collect()} == {"pending"} and others.count() == 240 - len(wanted)
+
+
+def test_later_rows_go_to_the_side_table(spark):
+    parts = [[(7, 1, 0, 1.0), (7, 2, 30, 2.0)], [(7, 3, 31, 3.0)], [(7, 4, 60, 4.0)], [(7, 5, 61, 5.0)],
+             [(7, 6, 1, 6.0), (7, 7, None, 7.0)], [(7, 8, 90, 8.0)], [(7, 9, 91, 9.0)]]
+    stream, rows = arriving(spark, parts)
+    base = scratch_path(spark, "s")
+    found = deltas(spark, stream, base, delay="2 hours", bucket="1 hour")
+    assert sorted((r.row_id, r.last_kwh) for r in found.collect()) == [
+        (1, None), (2, 1.0), (3, 2.0), (4, 3.0), (5, 4.0)]
+    side = {r.event_id: r.why for r in jobs.unlinked_rows(rows, base, "ts", "event_id").collect()}
+    assert side == {6: "late", 7: "no time", 8: "pending", 9: "pending"}
+
+
+def test_linking_goes_on_after_a_restart(spark):
+    """Buckets are linked after each of two runs over growing input; then a batch that wasn't committed runs again."""
+    base, source, parts = scratch_path(spark, "s"), scratch_path(spark, "in"), random_parts(1, 0)
+    rows = []
+    for part in parts:
+        timed = [(house, i, START + timedelta(hours=h), kwh) for house, i, h, kwh in part]
+        spark.createDataFrame(timed, READING).coalesce(1).write.mode("append").parquet(source)
+        rows += timed
+        stream = spark.readStream.schema(READING).parquet(source)
+        found = deltas(spark, stream, base, delay="1 hour", bucket="1 hour")
+    before = as_set(found, "row_id", "last_kwh", "delta_kwh")
+    expected = history.delta_vs_last(spark.createDataFrame(rows, READING), "kwh", "ts", "event_id")
+    assert before and before <= as_set(expected, "event_id", "last_kwh", "delta_kwh")
     jvm = spark.sparkContext._jvm
-    commit = jvm.org.apache.hadoop.fs.Path(f"{base}/checkpoint/commits/3")
-    files = commit.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    assert files.delete(commit, False)
-    jobs.run_available(jobs.delta_writer(rows, base, "kwh", "ts", "event_id"))
-    after = as_set(spark.read.parquet(f"{base}/deltas"), "event_id", "last_kwh", "delta_kwh")
-    assert after == before
+    commits = jvm.org.apache.hadoop.fs.Path(f"{base}/checkpoint-links/commits")
+    files = commits.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    last = max(int(f.getPath().getName()) for f in files.listStatus(commits) if f.getPath().getName().isdigit())
+    assert files.delete(jvm.org.apache.hadoop.fs.Path(commits, str(last)), False)
+    assert as_set(deltas(spark, stream, base, delay="1 hour", bucket="1 hour"), "row_id", "last_kwh", "delta_kwh") == before
 
 
 def test_recent_stream_agrees_with_batch(spark, pieces):
     base = scratch_path(spark, "s")
     rows = views.reading_columns(stream(spark, pieces))
-    done = jobs.run_available(jobs.recent_writer(rows, base, "ts", "event_id", n=5))
-    assert batches(done) == 4
-    jobs.run_available(jobs.recent_writer(rows, base, "ts", "event_id", n=5))  # nothing new
+
+    def run():
+        done = jobs.run_available(jobs.newest_writer(rows, base, "ts", "event_id", n=5))
+        jobs.run_available(jobs.recent_writer(spark, rows.schema, base, "ts", "event_id", n=5))
+        return done
+
+    assert batches(run()) == 4
+    run()  # nothing new
     expected = history.recent_per_house(
         views.reading_columns(tables.table(spark, pieces, "events")), 5, "ts", "event_id")
-    found = jobs.read_recent(spark, base)
-    assert as_set(found, "event_id", "house_id") == as_set(expected, "event_id", "house_id")
+    assert as_set(jobs.read_recent(spark, base), "event_id", "house_id") == as_set(expected, "event_id", "house_id")
+    # A batch that ran but was not committed runs again after a restart and writes its files anew.
+    jvm = spark.sparkContext._jvm
+    commit = jvm.org.apache.hadoop.fs.Path(f"{base}/checkpoint/commits/3")
+    files = commit.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert files.delete(commit, False)
+    run()
+    assert as_set(jobs.read_recent(spark, base), "event_id", "house_id") == as_set(expected, "event_id", "house_id")
 
 
-def test_rows_out_of_order_are_late_and_never_move_the_state_back(spark):
+def test_recent_rows_in_any_order_of_arrival(spark):
+    stream, rows = arriving(spark, [list(p) for p in reversed(random_parts(4, 50))])
     base = scratch_path(spark, "s")
-    schema = "house_id long, event_id long, day int, kwh double"
-    for days in ([1, 5], [3], [6, 5]):
-        part = spark.createDataFrame([(7, 10 * d + len(days), d, float(d)) for d in days], schema)
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    jobs.run_available(jobs.delta_writer(rows, base, "kwh", "day", "event_id"))
-    found = sorted((r.day, r.event_id, r.late, r.last_kwh) for r in spark.read.parquet(f"{base}/deltas").collect())
-    assert found == [(1, 12, False, None), (3, 31, True, None), (5, 52, False, 1.0), (5, 52, True, None),
-                     (6, 62, False, 5.0)]
+    jobs.run_available(jobs.newest_writer(stream, base, "ts", "event_id", n=3))
+    jobs.run_available(jobs.recent_writer(spark, stream.schema, base, "ts", "event_id", n=3))
+    expected = history.recent_per_house(rows, 3, "ts", "event_id")
+    assert as_set(jobs.read_recent(spark, base), "event_id", "kwh") == as_set(expected, "event_id", "kwh")
+
+
+def test_requests_are_scored_by_the_models_that_are_there(spark):
+    """A model is added and another replaced between two batches."""
+    base, root = scratch_path(spark, "s"), scratch_path(spark, "models")
+    schema = "house_id long, model string, features array<double>, meta map<string,string>"
+
+    def line(slope):
+        return LinearModel([f"f{i}" for i in range(12)], [slope] + [0.0] * 11, 0.0)
+
+    stump = Nodes([0] * 3, [0, -1, -1], [0] * 3, [1.5, 0.0, 0.0], [1, 0, 0], [0.0, 10.0, 20.0], [2, 1, 1], [1.0, 0.0, 0.0])
+    forest = TreeModel([f"f{i}" for i in range(12)], 0.0, True, [0], stump)
+    full = [2.0] + [0.0] * 11
+
+    def arrive(first):
+        rows = [(first, "linear", full, None), (first + 1, "rf", full, None), (first + 2, "other", full, None),
+                (first + 3, "linear", full[:3], None), (first + 4, "linear", [None] * 12, None)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        arriving = spark.readStream.schema(schema).parquet(f"{base}/in")
+        jobs.run_available(jobs.score_requests_writer(arriving, root, base))
+
+    ml.save_models({"linear": line(1.0)}, root)
+    arrive(0)
+    ml.save_models({"linear": line(3.0), "rf": forest}, root)
+    arrive(10)
+    found = {r.house_id: (r.outcome, r.prediction, r.reason) for r in spark.read.parquet(f"{base}/scored").collect()}
+    assert {k: v[:2] for k, v in found.items() if v[0] == "accepted"} == {
+        0: ("accepted", 2.0), 10: ("accepted", 6.0), 11: ("accepted", 20.0)}
+    assert found[1][2] == found[2][2] == found[12][2] == "model not available"
+    assert found[3][2] == "wrong number of features" and found[14][2] == "feature is not a number" and len(found) == 10
 
 
 def test_daily_stream_emits_closed_days(spark, pieces):

@@ -382,6 +382,12 @@ _READINGS_DELTA = """
     FROM (SELECT event_id, user_id AS house_id, value AS kwh,
                  lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_kwh
           FROM events)"""
+# What comes after the watermark follows all closed hours, so it is nobody's previous reading there.
+_CLOSED_READINGS_DELTA = f"""
+    SELECT * FROM ({_READINGS_DELTA}) SEMI JOIN (
+        SELECT event_id FROM events
+        WHERE date_trunc('hour', ts) + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '1 day')
+    USING (event_id)"""
 _RECENT = """
     SELECT event_id, user_id AS house_id, value AS kwh FROM (
         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
@@ -829,6 +835,16 @@ def statements() -> dict[str, str]:
             SELECT house_id, model, {_COMPARED} FROM predicted
             WHERE model = CASE house_id % 4 WHEN 0 THEN 'linear' WHEN 1 THEN 'rf' WHEN 2 THEN 'gbt' END
                 AND house_id % 15 <> 0 AND house_id % 25 <> 0"""),
+        "stream_score_by_model": _scored_by(_MODELS, f"""
+            SELECT house_id, model, CASE WHEN reason = '' THEN {_COMPARED.removesuffix(' AS prediction')} END AS prediction,
+                   CASE WHEN reason = '' THEN 'accepted' ELSE 'rejected' END AS outcome, reason
+            FROM (SELECT k.*, p.prediction FROM (
+                SELECT house_id, model, CASE WHEN model = 'unknown' THEN 'model not available'
+                    WHEN house_id % 25 = 0 AND house_id % 15 <> 0 THEN 'feature is not a number'
+                    WHEN house_id % 15 = 0 THEN 'wrong number of features' ELSE '' END AS reason
+                FROM (SELECT house_id, CASE house_id % 4 WHEN 0 THEN 'linear' WHEN 1 THEN 'rf'
+                             WHEN 2 THEN 'gbt' ELSE 'unknown' END AS model FROM base)) k
+                LEFT JOIN predicted p ON p.house_id = k.house_id AND p.model = k.model)"""),
         "top_feature_importances": _on("training", f"""
             SELECT feature, {r('importance')} AS importance, true AS sums_to_one FROM ({" UNION ALL ".join(
                 f'SELECT {chr(39)}{f}{chr(39)} AS feature, coalesce(nullif(regr_r2("{TARGET}", "{f}"), '
@@ -841,7 +857,7 @@ def statements() -> dict[str, str]:
             SELECT *, CASE WHEN reason = '' THEN 'accepted' ELSE 'rejected' END AS outcome
             FROM stream_records"""),
         "stream_score": _LINE,
-        "stream_delta": _READINGS_DELTA,
+        "stream_delta": _CLOSED_READINGS_DELTA,
         "stream_recent_30": _RECENT,
         "stream_usage_daily": f"""
             SELECT strftime(day, '%Y-%m-%d') AS day, event_type AS appliance,

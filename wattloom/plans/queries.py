@@ -730,22 +730,50 @@ def stream_score(spark, folder):
                     ["prediction"], 1)
 
 
+def _out_of_order(spark, folder):
+    """All events as a stream of several batches, each row up to half a day after its time."""
+    base = scratch_path(spark, "arriving")
+    events = tables.table(spark, folder, "events")
+    arrival = F.unix_timestamp(F.col("ts").cast("timestamp")) + F.col("event_id") * 7919 % 43200
+    first, last = events.agg(F.min(arrival), F.max(arrival)).first()
+    part = F.floor((arrival - first) * STREAM_PARTS / (last - first + 1))
+    for i in range(STREAM_PARTS):
+        events.filter(part == i).coalesce(1).write.mode("append").parquet(f"{base}/events.parquet")
+    return tables.event_stream(spark, base, files_per_batch=1)
+
+
 @query
 def stream_delta(spark, folder):
+    """Rows that arrive out of order, linked in the order of their time once the watermark has passed."""
     base = scratch_path(spark, "stream-delta")
-    rows = views.reading_columns(_arriving(spark, folder))
-    jobs.run_available(jobs.delta_writer(rows, base, "kwh", "ts", "event_id"))
-    return spark.read.parquet(f"{base}/deltas").select(
-        "event_id", "house_id", "kwh", "last_kwh", "delta_kwh", "direction")
+    rows = views.reading_columns(_out_of_order(spark, folder))
+    jobs.run_available(jobs.bucket_writer(rows, base, "kwh", "ts", "event_id"))
+    jobs.run_available(jobs.link_writer(spark, base))
+    return jobs.read_deltas(spark, base).select(
+        F.col("row_id").alias("event_id"), "house_id", "kwh", "last_kwh", "delta_kwh", "direction")
 
 
 @query
 def stream_recent_30(spark, folder):
     base = scratch_path(spark, "stream-recent")
-    rows = views.reading_columns(_arriving(spark, folder))
-    jobs.run_available(jobs.recent_writer(rows, base, "ts", "event_id"))
-    return jobs.read_recent(spark, base).select(
-        "event_id", "house_id", "kwh")
+    rows = views.reading_columns(_out_of_order(spark, folder))
+    jobs.run_available(jobs.newest_writer(rows, base, "ts", "event_id"))
+    jobs.run_available(jobs.recent_writer(spark, rows.schema, base, "ts", "event_id"))
+    return jobs.read_recent(spark, base).select("event_id", "house_id", "kwh")
+
+
+@query
+def stream_score_by_model(spark, folder):
+    """Arriving requests checked and scored by the model that each names, with the rejected ones."""
+    base = scratch_path(spark, "stream-requests")
+    _models(spark, folder)
+    requests = views.vector_requests(spark, folder)
+    requests.write.parquet(f"{base}/requests")
+    arriving = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/requests")
+    root = _model_roots[spark.sparkContext.applicationId, folder]
+    jobs.run_available(jobs.score_requests_writer(arriving, root, base))
+    return _compared(spark.read.parquet(f"{base}/scored")).select(
+        "house_id", "model", "prediction", "outcome", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
 @query
