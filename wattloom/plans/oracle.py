@@ -781,6 +781,13 @@ def statements() -> dict[str, str]:
         "eval_metrics": _on("scored", f"""
             SELECT model, count(*) AS n, {_metrics(_METRICS)} FROM scored GROUP BY model"""),
         "thresholds": _ROUNDED_LIMITS,
+        "maintained_statistics": _on("training", " UNION ALL ".join(f"""
+            SELECT '{c}' AS name, count("{c}") AS count, {r(f'avg("{c}")')} AS mean, {r(f'stddev_samp("{c}")')} AS std,
+                   {r(f'stddev_pop("{c}")')} AS std_pop, min("{c}") AS min, max("{c}") AS max,
+                   quantile_disc("{c}", 0.95) AS p95, quantile_disc("{c}", 0.99) AS p99 FROM training"""
+                                                                for c in [*V12, TARGET])),
+        "maintained_metrics": _on("scored", f"""
+            SELECT model, count(*) AS n, {_metrics(_METRICS)} FROM scored GROUP BY model"""),
         "monthly_trend": _on("predictions", f"""
             SELECT strftime(ts, '%Y-%m') AS month, {r('sum(predicted_value_kwh)')} AS sum_kwh,
                    {r('avg(predicted_value_kwh)')} AS mean_kwh FROM predictions GROUP BY 1"""),

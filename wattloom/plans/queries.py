@@ -10,7 +10,7 @@ from wattloom import schemas
 from wattloom.constants import FEATURE_SPECS, PUBLISHED_THRESHOLDS, TARGET
 from wattloom.functions import dates
 from wattloom.functions.rounding import js_round
-from wattloom.operators import appliances, features, history, metrics, profile, registry, solar
+from wattloom.operators import appliances, features, history, maintained, metrics, profile, registry, solar
 from wattloom.operators import models as ml
 from wattloom.operators import validation
 from wattloom.runtime import scratch_path
@@ -500,6 +500,32 @@ def monthly_trend(spark, folder):
                     ["sum_kwh", "mean_kwh"])
 
 
+@query
+def maintained_statistics(spark, folder):
+    """Statistics of the training columns from three deliveries of months, each read once."""
+    root = scratch_path(spark, "statistics")
+    rows = views.training(spark, folder)
+    for i in range(3):
+        months = rows.filter(F.col("Month_num").between(4 * i + 1, 4 * i + 4))
+        found = maintained.parts(months, F.col("Month_num").cast("int"), {c: F.col(c) for c in [*V12, TARGET]})
+        maintained.deliver(found, root, f"months{i}")
+    kept_up = maintained.merged(maintained.stored_parts(spark, root), [], {"p95": 0.95, "p99": 0.99})
+    return _rounded(kept_up, ["mean", "std", "std_pop"])
+
+
+@query
+def maintained_metrics(spark, folder):
+    """Evaluation metrics by model from three deliveries of scored rows."""
+    root = scratch_path(spark, "metrics")
+    rows = views.scored(spark, folder)
+    for i in range(3):
+        found = maintained.parts(rows.filter(F.col("house_id") % 3 == i), (F.col("house_id") % 12).cast("int"),
+                                 maintained.error_values(F.col("y"), F.col("prediction")), ["model"])
+        maintained.deliver(found, root, f"part{i}")
+    kept_up = maintained.metrics_of(maintained.stored_parts(spark, root), ["model"])
+    return _rounded(kept_up, list(metrics.METRICS))
+
+
 # --- windows and order -------------------------------------------------------------------------
 
 
