@@ -268,3 +268,13 @@ def test_a_notice_after_an_unfinished_sentence_counts_once(spark):
              "a. b\nReleased under the\nMIT License. c", "a. b\nReleased under the MIT License. Licensed under\nCC BY 4.0. d"]
     found = {r.doc_id: (r.notices, r.n_notice_lines) for r in licenses.scan_licenses(documents(spark, texts)).collect()}
     assert found == {0: ("GPL-3.0", 1), 1: ("MIT", 1), 2: ("CC-BY-4.0,MIT", 2)}
+
+
+def test_a_text_is_visited_as_a_part(spark):
+    rows = [(1, 0, "user", "a </s> b"), (1, 1, "assistant", None), (2, 0, "assistant", "")]
+    texts = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    parts = texts.withColumn("parts", chat.text_part(F.col("text")))
+    found = [sorted(chat.format_conversations(*given).collect()) for given in (
+        (texts,), (parts, "conv_id", "turn", "role", None, "parts"))]
+    assert found[0] == found[1] and all(r.attachments == [] for r in found[0])
+    assert parts.schema["parts"].dataType.simpleString() == chat.PART

@@ -71,6 +71,13 @@ def visit_text(part: Column) -> Column:
             .otherwise(F.lit("")))
 
 
+def text_part(text: Column) -> Column:
+    """A list of one part, a text."""
+    fields = [f.split(":") for f in PART.removeprefix("array<struct<").removesuffix(">>").split(",")]
+    given = {"kind": F.lit("text"), "text": text}
+    return F.array(F.struct(*[given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in fields]))
+
+
 def flatten_parts(parts: Column) -> Column:
     """The text of a turn: its parts in order, attachments as placeholders."""
     return F.coalesce(F.array_join(F.transform(parts, visit_text), ""), F.lit(""))
@@ -89,17 +96,15 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
                          template: Template = Template(), trained: str = "assistant") -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_spans (start, length), attachments.
 
-    ``parts`` names a column of type ``PART``; without it ``text`` is the only part. Spans are in code
+    ``parts`` names a column of type ``PART``; without it a turn has one part, its ``text``. Spans are in code
     points from 1, over the texts of turns whose role is ``trained``. A conversation is one output value,
     so its turns meet in one task; nothing else does.
     """
+    content = F.col(parts) if parts else text_part(F.col(text))
     lean = rows.select(
         F.col(conv).alias("conv_id"), F.col(turn).alias("turn"),
         F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
-        (flatten_parts(F.col(parts)) if parts else escape(F.coalesce(F.col(text), F.lit(""))))
-        .alias("content"),
-        (attachments(F.col(parts), template) if parts
-         else F.array().cast("array<struct<kind:string,uri:string,tokens:bigint>>")).alias("files"))
+        flatten_parts(content).alias("content"), attachments(content, template).alias("files"))
     head = F.concat(F.lit(template.turn), escape(F.col("role")), F.lit(template.body))
     piece = F.concat("head", "content", F.lit(template.end + "\n"))
     pieces = lean.withColumn("head", head).withColumn("piece", piece)
