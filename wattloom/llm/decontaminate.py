@@ -3,13 +3,15 @@
 Items are partitioned by the number of their shingles, at powers of two. The sketch of an item is the ``k`` smallest of its
 hashed shingles, with ``k`` fixed by the upper size of its partition: more than a document that contains the
 item to the threshold can miss, so such a document always meets the sketch in a known number of places, however
-long it is. Documents that meet it often enough are candidates; their exact containment, the share of the
-item's shingles that the document has, decides. Tasks drop shingles that no item has by a bitmap of fixed
+long it is. Only the sketches are joined with all documents. Those that meet one often enough are candidates; for
+these alone the item's other shingles are fetched, and the exact containment, the share of the item's shingles that
+the document has, decides. Tasks drop shingles that no item has by a bitmap of fixed
 size; items and documents meet in hash joins, so neither need be small.
 
 Defined results: null texts and texts without words contain nothing, and such items are never found; an item of
-fewer words than a shingle is one shingle, found in a document that is this sequence and nothing else; documents
-that repeat an id count as one; repeated items of one id count as one set; an empty table gives no rows.
+fewer words than a shingle is one shingle, found in a document that is this sequence and nothing else; of
+documents that repeat an id, or have none, each is searched by itself and the one with the most shingles is given; a long text
+is searched in whole; other columns, of whatever name, are ignored; repeated items of one id count as one set; an empty table gives no rows.
 """
 
 from dataclasses import dataclass
@@ -32,14 +34,18 @@ class Search:
     surplus: float = 0.1
 
 
-_FOUND = pa.schema([("id", pa.int64()), ("h", pa.int64())])
+_FOUND = [("row", pa.int64()), ("id", pa.int64()), ("h", pa.int64())]
 
 
 def _shingle_rows(rows: DataFrame, key: str, text: str, search: Search, known=None) -> DataFrame:
-    """(id, h): distinct shingles of each text; with ``known``, those of texts that meet a sketch, if in an item."""
+    """(row, id, h): distinct shingles of each text; with ``known``, those of texts that meet a sketch, if in an item.
+
+    The key is an id, which then stands for the row too, or (row, id).
+    """
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
+            key_of = batch.column(0)
+            row, ids = key_of.flatten() if pa.types.is_struct(key_of.type) else (key_of, key_of)
             for lo, hi, data, offsets in textops.blocks(batch.column(1)):
                 words = textops.find_words(textops.LOWER[data], offsets, textops.IS_BREAK)
                 h, at = textops.shingles(words, search.width)
@@ -55,10 +61,11 @@ def _shingle_rows(rows: DataFrame, key: str, text: str, search: Search, known=No
                     h, at = h[order], at[order]
                     new = np.ones(len(h), bool)
                     new[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1])
+                    of = pa.array(at[new] + lo)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(at[new] + lo)), pa.array(h[new].view(np.int64))], schema=_FOUND)
+                        [row.take(of), ids.take(of), pa.array(h[new].view(np.int64))], schema=pa.schema(_FOUND))
 
-    return rows.select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(run, "id long, h long")
+    return rows.select(key, text).mapInArrow(run, "row long, id long, h long")
 
 
 def _sketched(items: DataFrame, search: Search) -> DataFrame:
@@ -80,17 +87,29 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text
     """(doc_id, item_id, shared, item_shingles, containment) of all pairs that reach the threshold."""
     spark = documents.sparkSession
     path = scratch_path(spark, "item-shingles")
-    distinct = _shingle_rows(items, item, item_text, search).distinct()
+    named = items.select(F.col(item).cast("long").alias("_item"), F.col(item_text).alias("_text"))
+    distinct = _shingle_rows(named, "_item", "_text", search).select("id", "h").distinct()
     _sketched(distinct, search).write.parquet(path)
     known = spark.read.parquet(path)
     bits = spark.sparkContext.broadcast((bitmap.build(known, "h"), bitmap.build(known.filter("in_sketch"), "h")))
     hits_path = scratch_path(spark, "item-hits")
-    _shingle_rows(documents, doc, text, search, bits).distinct().write.parquet(hits_path)
+    # Rows are told apart by a number of their own, as ids may repeat or be missing.
+    numbered = documents.select(F.monotonically_increasing_id().alias("_row"), F.col(doc).cast("long").alias("_id"),
+                                F.col(text).alias("_text"))
+    _shingle_rows(numbered.select(F.struct("_row", "_id").alias("_key"), "_text"), "_key", "_text", search, bits
+                  ).write.parquet(hits_path)
     hits = spark.read.parquet(hits_path)
-    met = hits.join(known, "h").groupBy("id", "item_id").agg(
-        F.count_if("in_sketch").alias("met"), F.count(F.lit(1)).alias("shared"),
-        F.first("n").alias("n"), F.first("least_hits").alias("least_hits"))
+    met = hits.join(known.filter("in_sketch"), "h").groupBy("row", "id", "item_id").agg(
+        F.count(F.lit(1)).alias("met"), F.first("n").alias("n"), F.first("least_hits").alias("least_hits"))
     candidates = met.filter("met >= least_hits")
-    exact = candidates.filter(100 * F.col("shared") >= search.per_cent * F.col("n"))
+    # Only what met enough of the sketch is compared in the item's other shingles.
+    others = candidates.select("row", "item_id").join(
+        known.filter("NOT in_sketch").select("item_id", "h"), "item_id").join(hits.select("row", "h"), ["row", "h"])
+    counted = others.groupBy("row", "item_id").agg(F.count(F.lit(1)).alias("others"))
+    shared = (F.col("met") + F.coalesce("others", F.lit(0))).alias("shared")
+    verified = candidates.join(counted, ["row", "item_id"], "left").select("id", "item_id", "n", shared).filter(
+        100 * F.col("shared") >= search.per_cent * F.col("n"))
+    # Of rows with one id, that with the most.
+    exact = verified.groupBy("id", "item_id", "n").agg(F.max("shared").alias("shared"))
     return exact.select(F.col("id").alias("doc_id"), "item_id", "shared", F.col("n").alias("item_shingles"),
                         (F.col("shared") / F.col("n")).alias("containment"))
