@@ -172,6 +172,23 @@ def test_leaks_of_nothing(spark):
     assert [(r.doc_id, r.shared) for r in decontaminate.find_leaks(again, benchmark).collect()] == [(7, 2)]
 
 
+def test_only_what_meets_the_sketch_is_compared_further(spark):
+    benchmark = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(104)))], "item_id long, text string")
+    found = decontaminate.find_leaks(documents(spark, ["w1 w2 w3 w4 w5"]), benchmark)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "in_sketch" in plan and found.count() == 0
+
+
+def test_halves_of_an_item_in_rows_of_one_id_are_no_leak(spark):
+    words = [f"w{i}" for i in range(40)]
+    benchmark = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    halves = [" ".join(words[:22]), " ".join(words[18:])]
+    for ids in ([7, 7], [None, None]):
+        assert decontaminate.find_leaks(documents(spark, halves, ids), benchmark).count() == 0
+        whole = documents(spark, [*halves, " ".join(words)], [*ids, ids[0]])
+        assert [(r.doc_id, r.shared) for r in decontaminate.find_leaks(whole, benchmark).collect()] == [(ids[0], 36)]
+
+
 # --- language ID -------------------------------------------------------------------------------
 
 
@@ -196,6 +213,43 @@ def brute_bits(text, names, counts, kept, name):
     return total
 
 
+def test_long_texts_are_scored_and_counted_in_blocks(spark, monkeypatch):
+    texts = ["abab abba äöü " * 30, "xyz zyx " * 50]
+    sample = spark.createDataFrame([("x", texts[0]), ("y", texts[1])], "lang string, text string")
+
+    def model_and_bits():
+        counted = language_id.count_contexts(sample).toArrow().sort_by([("lang", "ascending"), ("code", "ascending")])
+        model = language_id.build_model(counted["lang"].to_pylist(), counted["code"].to_numpy(), counted["c"].to_numpy(),
+                                        language_id.Settings())
+        parts = [language_id.code_lengths(data, offsets, model) for t in texts
+                 for _, _, data, offsets in textops.blocks(pa.array([t]))]
+        return counted, np.concatenate(parts)
+
+    whole = model_and_bits()
+    monkeypatch.setattr(textops, "BLOCK", 16)
+    monkeypatch.setattr(language_id.textops, "BLOCK", 16)
+    blocks = model_and_bits()
+    np.testing.assert_allclose(blocks[1], whole[1], rtol=1e-5)
+    data, letters = np.frombuffer(("1 " * 40 + "é").encode(), np.uint8), [True, False]
+    for body, wanted in zip((data, data[:-2]), letters):
+        assert language_id._has_letter(body, np.array([0, len(body)])).tolist() == [wanted]
+
+
+def test_fifty_languages_keep_contexts_of_their_own(spark):
+    rng = random.Random(8)
+    letters = [chr(c) for c in range(0x0400, 0x2000) if chr(c).isalpha()]
+    scripts = {f"l{k:02}": letters[12 * k:12 * k + 12] for k in range(50)}
+    rows = []
+    for k, (name, letters) in enumerate(scripts.items()):
+        words = ["".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(30)]
+        rows += [(100 * k + i, " ".join(rng.choices(words, k=40)), name) for i in range(12)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(table, "doc_id", "text", "lang", F.col("doc_id") % 4 != 0)
+    assert len(model.names) == 50 and np.count_nonzero(model.two >= 0) > 1024
+    found = language_id.predict(table, "text", model).filter("doc_id % 4 = 0").collect()
+    assert sum(r.lang == r.lang_pred for r in found) >= 0.95 * len(found)
+
+
 def test_code_lengths_match_a_direct_search(spark):
     texts = {"x": ["abab abba abab", "baab"], "y": ["xyz zyx xyz abz", "é zz"]}
     sample = spark.createDataFrame([(k, t) for k, ts in texts.items() for t in ts], "lang string, text string")

@@ -7,14 +7,17 @@ pairs are worked out beforehand for all languages, so scoring a text is one tabl
 length under each language is the exact sum. The shortest code wins; the score is its posterior share.
 
 Learning takes at most ``per_language`` texts of every language (by a hash of the id), a bounded sample of the
-labelled documents; every document is scored in whole. Costs are stored only for bytes that some language has seen
+labelled documents; every document is scored in whole, a long one in blocks of bytes. Kept contexts grow with the number of
+languages and are taken from each in turn, so a rare script has its share. Costs are stored only for bytes that some language has seen
 after a context, so the model grows with the languages by what they differ in.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so are all texts if there is
 nothing to learn from; ties go to the language that comes first by name; repeated rows are scored alike; null ids are held
-out; an empty table gives no rows.
+out; an empty table gives no rows. Other columns are passed on; none may have the name of a result.
 """
 
+import codecs
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +35,7 @@ _LETTERS = textops.byte_table(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUV
 @dataclass(frozen=True)
 class Settings:
     per_language: int = 300
-    #: Kept contexts of two and of three bytes, those of the largest shares summed over the languages.
+    #: Kept contexts of two and of three bytes for every four languages; each language has its most frequent ones in turn.
     pairs: int = 1024
     triples: int = 2048
     #: What a text may cost a byte, as a multiple of the median of its language's texts under a model without them.
@@ -87,6 +90,17 @@ def _previous(data: np.ndarray, offsets: np.ndarray, back: int) -> np.ndarray:
     return out
 
 
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(bytes, offsets, known bytes in front) of a block; a single long text comes in parts that begin with its context."""
+    if len(offsets) > 2 or len(data) <= textops.BLOCK:
+        yield data, offsets, 0
+        return
+    for at in range(0, len(data), textops.BLOCK):
+        front = min(at, 3)
+        part = data[at - front:at + textops.BLOCK]
+        yield part, np.array([0, len(part)]), front
+
+
 def count_contexts(sample: DataFrame) -> DataFrame:
     """(lang, code, c): how often four bytes, the last after the first three, occur in the texts of a language."""
     schema = pa.schema([("lang", pa.string()), ("code", pa.int64()), ("c", pa.int64())])
@@ -95,26 +109,33 @@ def count_contexts(sample: DataFrame) -> DataFrame:
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
             for lo, hi, data, offsets in textops.blocks(batch.column(1)):
-                code = data.astype(np.int64)
-                for back in (1, 2, 3):
-                    code |= _previous(data, offsets, back) << (8 * back)
-                lengths = np.diff(offsets)
-                for name in set(langs[lo:hi]):
-                    mine = np.repeat(langs[lo:hi] == name, lengths)
-                    found, c = np.unique(code[mine], return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(found), pa.string()), pa.array(found), pa.array(c.astype(np.int64))],
-                        schema=schema)
+                for part, ends, front in _pieces(data, offsets):
+                    code = part.astype(np.int64)
+                    for back in (1, 2, 3):
+                        code |= _previous(part, ends, back) << (8 * back)
+                    lengths = np.diff(ends)
+                    for name in set(langs[lo:hi]):
+                        mine = np.repeat(langs[lo:hi] == name, lengths)
+                        found, c = np.unique(code[mine][front:], return_counts=True)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([name] * len(found), pa.string()), pa.array(found), pa.array(c.astype(np.int64))],
+                            schema=schema)
 
     return sample.mapInArrow(run, "lang string, code long, c long").groupBy("lang", "code").agg(
         F.sum("c").alias("c"))
 
 
-def _top(keys: np.ndarray, weights: np.ndarray, most: int) -> np.ndarray:
-    """The ``most`` heaviest distinct keys, in order."""
-    values, inverse = np.unique(keys, return_inverse=True)
-    total = np.bincount(inverse, weights, len(values))
-    return np.sort(values[np.lexsort((values, -total))[:most]])
+def _top(keys: np.ndarray, who: np.ndarray, share: np.ndarray, most: int) -> np.ndarray:
+    """The first ``most`` distinct keys, in order: first the most frequent one of each language, then its second, ..."""
+    both, inverse = np.unique(np.stack([who, keys]), axis=1, return_inverse=True)
+    total = np.bincount(inverse.ravel(), share, both.shape[1])
+    order = np.lexsort((both[1], -total, both[0]))
+    own, key, total = both[0][order], both[1][order], total[order]
+    rank = np.arange(len(own)) - np.searchsorted(own, own)
+    values, at = np.unique(key, return_inverse=True)
+    best = np.full(len(values), len(own))
+    np.minimum.at(best, at, rank)
+    return np.sort(values[np.lexsort((values, -np.bincount(at, total, len(values)), best))[:most]])
 
 
 def build_model(langs: list[str], codes: np.ndarray, counts: np.ndarray, settings: Settings) -> Model:
@@ -124,9 +145,10 @@ def build_model(langs: list[str], codes: np.ndarray, counts: np.ndarray, setting
     who = np.array([index[x] for x in langs], np.int64)
     context, byte = codes >> 8, codes & 255
     share = counts / np.bincount(who, counts, len(names))[who]
-    pairs = _top(context & 0xFFFF, share, settings.pairs)
+    times = -(-len(names) // 4)
+    pairs = _top(context & 0xFFFF, who, share, settings.pairs * times)
     inside = np.isin(context & 0xFFFF, pairs)
-    triples = _top(context[inside], share[inside], settings.triples)
+    triples = _top(context[inside], who[inside], share[inside], settings.triples * times)
     two = np.full(65536, -1, np.int32)
     two[pairs] = np.arange(len(pairs))
     three = np.full(max(1, len(pairs)) * 256, -1, np.int32)
@@ -167,7 +189,12 @@ def build_model(langs: list[str], codes: np.ndarray, counts: np.ndarray, setting
 
 
 def code_lengths(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
-    """Bits of each text under each language."""
+    """Bits of each text under each language, with memory for about a block of bytes at a time."""
+    return sum(_code_lengths(*piece, model) for piece in _pieces(data, offsets))
+
+
+def _code_lengths(data: np.ndarray, offsets: np.ndarray, front: int, model: Model) -> np.ndarray:
+    """The same, without the cost of the first ``front`` bytes."""
     out = np.zeros((len(offsets) - 1, len(model.names)))
     filled = np.flatnonzero(np.diff(offsets) > 0)
     if not len(filled):
@@ -188,11 +215,16 @@ def code_lengths(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndar
         cost = bits[row]
         for lost, states in left:
             cost[lost] += escape[states]
-        out[filled, i * _GROUP:(i + 1) * _GROUP] = np.add.reduceat(cost, offsets[:-1][filled], axis=0, dtype=np.float64)
+        out[filled, i * _GROUP:(i + 1) * _GROUP] = np.add.reduceat(
+            cost, offsets[:-1][filled] + front, axis=0, dtype=np.float64)
     return out
 
 
 def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    if len(offsets) == 2 and len(data) > textops.BLOCK:
+        decoder = codecs.getincrementaldecoder("utf-8")()
+        parts = (data[at:at + textops.BLOCK].tobytes() for at in range(0, len(data), textops.BLOCK))
+        return np.array([any(any(map(str.isalpha, decoder.decode(part))) for part in parts)])
     count = np.concatenate([[0], np.cumsum(_LETTERS[data])])
     found = count[offsets[1:]] > count[offsets[:-1]]
     high = np.concatenate([[0], np.cumsum(data >= 128)])
