@@ -462,7 +462,7 @@ def _best_splits(l2: str) -> str:
                            sum(s) OVER every / 65536::DOUBLE AS ga, sum(h) OVER every AS ha FROM cells
                     WINDOW upto AS (PARTITION BY node, f ORDER BY b), every AS (PARTITION BY node, f)),
                 best AS (
-                    SELECT node, arg_min({{'f': f, 'b': b}}, {{'k': -gain, 'f': f, 'b': b}}) AS s FROM (
+                    SELECT node, arg_min({{'f': f, 'b': b, 'gain': gain, 'ha': ha}}, {{'k': -gain, 'f': f, 'b': b}}) AS s FROM (
                         SELECT *, gl * gl / (hl + {l2}) + (ga - gl) * (ga - gl) / (ha - hl + {l2})
                                   - ga * ga / (ha + {l2}) AS gain FROM run WHERE hl < ha)
                     WHERE gain > {LEAST_GAIN!r}::DOUBLE GROUP BY node)"""
@@ -496,27 +496,43 @@ def _boosting(settings) -> list[str]:
             "boosted AS (SELECT house_id, pred AS prediction FROM boosting)"]
 
 
-def _forest(settings) -> list[str]:
-    """``forest``: all trees grow together, a level at a time; rows outside a sample have weight 0."""
+def _growing(settings, gains: bool = False) -> list[str]:
+    """``growing``: all trees grow together, a level at a time; rows outside a sample have weight 0.
+
+    With ``gains``, only rows of the samples go along, and each collects its share of the gains of its splits by feature.
+    """
     u = uniform("t || ':' || house_id", f"bag{settings.seed}")
     weight = " + ".join(f"(u >= {bound!r}::DOUBLE)::INT" for bound in POISSON)
+    n, head, start, step = len(V12), "", "", ""
+    if gains:
+        head, start = ", gains", f", list_value({', '.join(['0.0::DOUBLE'] * n)})"
+        step = (", list_transform(gains, lambda v, i: CASE WHEN i = b.s.f + 1 THEN v + b.s.gain * w / b.s.ha ELSE v END)")
     return [
         f"""bag AS MATERIALIZED (
-            SELECT house_id, t, CASE WHEN is_train THEN {weight} ELSE 0 END AS w
-            FROM (SELECT house_id, is_train, t, {u} AS u FROM binned, range({settings.trees}) AS r(t)))""",
-        f"""growing(house_id, t, w, node, level) USING KEY (house_id, t) AS (
-            SELECT house_id, t, w, t, 0 FROM bag
+            SELECT * FROM (
+                SELECT house_id, t, CASE WHEN is_train THEN {weight} ELSE 0 END AS w
+                FROM (SELECT house_id, is_train, t, {u} AS u FROM binned, range({settings.trees}) AS r(t)))
+            {'WHERE w > 0' if gains else ''})""",
+        f"""growing(house_id, t, w, node, level{head}) USING KEY (house_id, t) AS (
+            SELECT house_id, t, w, t, 0{start} FROM bag
             UNION (
                 WITH here AS (
                     SELECT g.*, bins, y FROM growing g JOIN binned USING (house_id) WHERE level < {settings.tree_depth}),
                 cells AS (
                     SELECT node, f, b, sum(w * y)::BIGINT AS s, sum(w)::BIGINT AS h FROM (
-                        SELECT node, unnest(range({len(V12)})) AS f, unnest(bins) AS b, w, y FROM here WHERE w > 0)
+                        SELECT node, unnest(range({n})) AS f, unnest(bins) AS b, w, y FROM here WHERE w > 0)
                     GROUP BY node, f, b),
                 {_best_splits('0.0::DOUBLE')}
                 SELECT house_id, t, w, h.node + CASE WHEN b.s IS NULL THEN 0 ELSE {settings.trees}
-                       * (1::BIGINT << level) * (1 + (bins[b.s.f + 1] > b.s.b)::BIGINT) END, level + 1
+                       * (1::BIGINT << level) * (1 + (bins[b.s.f + 1] > b.s.b)::BIGINT) END, level + 1{step}
                 FROM here h LEFT JOIN best b ON b.node = h.node))""",
+    ]
+
+
+def _forest(settings) -> list[str]:
+    """``forest``: the mean of the leaves that each row reaches."""
+    return [
+        *_growing(settings),
         """leaves AS (
             SELECT node, sum(w * y)::DOUBLE / 65536::DOUBLE / sum(w) AS value
             FROM growing JOIN binned USING (house_id) WHERE w > 0 GROUP BY node)""",
@@ -524,6 +540,21 @@ def _forest(settings) -> list[str]:
     ]
 
 
+def _forest_importances(limit: int) -> str:
+    """The forest's gains by feature, scaled to 1 in each tree and then over all."""
+    names = ", ".join(f"'{f}'" for f in V12)
+    settings = ml.Settings()
+    steps = [_BASE, *_bins(settings), *_growing(settings, gains=True), """by_tree AS (
+            SELECT t, f, sum(gain) AS gain FROM (
+                SELECT t, unnest(range(len(gains))) AS f, unnest(gains) AS gain FROM growing) GROUP BY t, f)""",
+             """shares AS (
+            SELECT f, sum(share) AS share FROM (
+                SELECT f, gain / nullif(sum(gain) OVER (PARTITION BY t), 0) AS share FROM by_tree) GROUP BY f)"""]
+    return _on("noisy", f"""SELECT * FROM (WITH RECURSIVE {', '.join(steps)}
+            SELECT ([{names}])[f + 1] AS feature, {r('share / sum(share) OVER ()')} AS importance FROM shares
+            ORDER BY importance DESC, feature LIMIT {limit})""")
+
+
 def _fitted(then: str) -> str:
     return _on("noisy", f"SELECT * FROM (WITH {', '.join([_BASE, *_least_squares()])} {then})")
 
@@ -852,11 +883,7 @@ def statements() -> dict[str, str]:
                 FROM (SELECT house_id, CASE house_id % 4 WHEN 0 THEN 'linear' WHEN 1 THEN 'rf'
                              WHEN 2 THEN 'gbt' ELSE 'unknown' END AS model FROM base)) k
                 LEFT JOIN predicted p ON p.house_id = k.house_id AND p.model = k.model)"""),
-        "top_feature_importances": _on("training", f"""
-            SELECT feature, {r('importance')} AS importance, true AS sums_to_one FROM ({" UNION ALL ".join(
-                f'SELECT {chr(39)}{f}{chr(39)} AS feature, coalesce(nullif(regr_r2("{TARGET}", "{f}"), '
-                f"'nan'::DOUBLE), 0.0::DOUBLE) AS importance FROM training" for f in V12)})
-            ORDER BY importance DESC, feature LIMIT 20"""),
+        "top_feature_importances": _forest_importances(20),
         "predict_batch": _LINE,
         "save_load_models": _LINE,
         # streams

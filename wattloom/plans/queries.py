@@ -700,18 +700,8 @@ def train_pipeline(spark, folder):
 
 @query
 def top_feature_importances(spark, folder):
-    """Ranking of a given table (the share of the target that each feature explains alone).
-
-    ``sums_to_one`` tells whether the importances of the forest do.
-    """
-    rows = views.training(spark, folder)
-    given = rows.agg(*[F.regr_r2(F.col(TARGET), F.col(f)).alias(f) for f in V12]).select(F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.coalesce(F.col(f), F.lit(0.0)).alias("importance"))
-        for f in V12])).alias("p")).select("p.*")
-    forest = _model(spark, folder, "rf")
-    total = ml.feature_importances(forest).agg(F.sum("importance")).first()[0]
-    top = _rounded(ml.top_importances(given), ["importance"])
-    return top.withColumn("sums_to_one", F.lit(abs(total - 1) < 1e-6))
+    """The features by their share in the gains of the forest."""
+    return _rounded(ml.top_importances(ml.feature_importances(_model(spark, folder, "rf"))), ["importance"])
 
 
 # --- streams -----------------------------------------------------------------------------------
