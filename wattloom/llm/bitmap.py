@@ -28,5 +28,21 @@ def contains(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
+def may_contain(words: np.ndarray, key: Column) -> Column:
+    """``contains`` as a column, for a column of 64-bit hashes; set words travel as one literal, in their order."""
+    used = np.flatnonzero(words)
+    if not len(used):
+        return F.lit(False)
+    place = np.zeros(len(words), np.int64)
+    place[used] = np.arange(1, len(used) + 1)
+
+    def literal(values) -> Column:
+        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+    bit = F.shiftright(key.bitwiseAND(F.lit(BITS - 1)), 6).cast("int")
+    word = F.get(literal([0, *words[used].view(np.int64).tolist()]), F.get(literal(place.tolist()), bit).cast("int"))
+    return F.call_function("shiftrightunsigned", word, key.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def hashed(column: Column) -> Column:
     return F.xxhash64(column)

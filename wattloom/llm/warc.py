@@ -1,7 +1,9 @@
 """WARC archives with revisit records: equal payloads are stored once.
 
-Headers (payload digest and page id) are shuffled by digest to find the first page of each payload; pages
-join that table, and each is written as a response, or as a revisit that refers to the response. Spark's
+Headers (payload digest and page id) are shuffled by digest to find the payloads that more pages have, and the first page of
+each. A bitmap of those digests, of fixed size, tells each task which of its pages are alone: they are written where they
+are. Of the others, headers join the first pages, and each task sends a repeated payload once; so payloads of
+single pages are never shuffled and those of copies hardly. Each page is a response, or a revisit that refers to one. Spark's
 text writer makes the archives (a record ends with the blank lines that it writes as line separator), so
 they go to any store Spark knows and a lost task writes its part again. Reading parses whole archives
 by Content-Length, hence payloads may hold any text, also that of a WARC header.
@@ -19,6 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattloom.llm import bitmap
+from wattloom.llm.storage import Scratch
+
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = ("page_id long, url string, payload_bytes long, payload_digest string, record_type string, "
@@ -27,23 +32,30 @@ RECORD = ("page_id long, url string, payload_bytes long, payload_digest string,
 
 def resolve_revisits(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html",
                      least: int = 100) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest, refers_to (null for responses)."""
+    """page_id, url, payload (null for revisits), payload_bytes, payload_digest, refers_to (null for responses)."""
     payload = F.coalesce(F.col(html), F.lit(""))
     lean = pages.select(
         F.col(page).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"),
         F.octet_length(payload).cast("long").alias("payload_bytes"),
         F.sha2(payload.cast("binary"), 256).alias("payload_digest"))
     long_enough = F.col("payload_bytes") >= least
-    first = (lean.filter(long_enough).groupBy("payload_digest")
-             .agg(F.min("page_id").alias("first_id"))
-             .select(F.col("payload_digest").alias("key"), "first_id"))
-    # Short payloads get a key of their own that no digest equals, so they spread over all tasks.
-    keyed = lean.withColumn("key", F.when(long_enough, F.col("payload_digest")).otherwise(
-        F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
-    joined = keyed.join(first, "key", "left")
-    is_first = F.col("first_id").isNull() | F.col("page_id").eqNullSafe(F.col("first_id"))
-    return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest",
-                         F.when(~is_first, F.col("first_id")).alias("refers_to"))
+    repeated = Scratch(pages.sparkSession).store("repeated-payloads", lean.filter(long_enough).groupBy(
+        "payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    words = bitmap.build(repeated.select(bitmap.hashed(F.col("payload_digest")).alias("h")), "h")
+    maybe = long_enough & bitmap.may_contain(words, bitmap.hashed(F.col("payload_digest")))
+    nothing = F.lit(None).cast("long")
+    alone = lean.filter(~maybe).withColumn("refers_to", nothing)
+
+    copies = lean.filter(maybe)
+    first = F.col("first_id")
+    # A set bit proves nothing: a page without a repeated digest finds no first page and is a response.
+    resolved = copies.drop("payload").join(repeated.drop("n"), "payload_digest", "left").withColumn(
+        "refers_to", F.when(first.isNotNull() & ~F.col("page_id").eqNullSafe(first), first)).drop("first_id")
+    payloads = copies.groupBy("payload_digest").agg(F.first("payload").alias("payload"))
+    responses = resolved.filter("refers_to IS NULL").join(payloads, "payload_digest")
+    revisits = resolved.filter("refers_to IS NOT NULL").withColumn("payload", F.lit(None).cast("string"))
+    names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to"]
+    return alone.select(*names).unionByName(responses.select(*names)).unionByName(revisits.select(*names))
 
 
 def _uri(page_id: Column) -> Column:
