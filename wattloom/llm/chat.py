@@ -7,7 +7,8 @@ told from markers and restored exactly. All steps are column expressions.
 
 Defined results: a null text or role is empty; a null part list has no parts; parts of unknown kind, or
 null parts, give nothing; rows of one turn number go by role, then content; repeated rows are repeated
-turns; a null conversation id is a conversation of its own; an empty table gives no rows.
+turns; a null conversation id is a conversation of its own; a long text is formatted in whole; other columns, of whatever
+name, are ignored; an empty table gives no rows.
 """
 
 from dataclasses import dataclass

@@ -8,7 +8,8 @@ sentences and sentences over several lines are looked up: as a known notice, as
 of a licence after words like "released under". All steps are column expressions.
 
 Defined results: a null or empty text, or one without any word, has the canonical form "" and no licence;
-repeated rows are judged alike; an empty table gives no rows.
+repeated rows are judged alike; a text that matches several licences has all their names, in order; a long text is scanned in
+whole; other columns, of whatever name, are ignored; an empty table gives no rows.
 """
 
 from itertools import chain

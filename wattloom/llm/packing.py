@@ -10,7 +10,8 @@ several times as fast. The tokenizer file's added tokens, which the rank file la
 get their own ids; without ``added`` their strings are ordinary text.
 
 Defined results: a null text is empty, and an empty text is one piece, the separator; repeated rows are rows of
-their own; an empty table gives no rows.
+their own; a long text is many full pieces and a remainder; pieces of one size and id are ranked by start, then checksum; other
+columns, of whatever name, are ignored; an empty table gives no rows.
 """
 
 import base64

@@ -11,7 +11,8 @@ is scored in whole.
 
 Defined results: a null text is empty; an empty text gets the score of a document without tokens; labels
 that are null or contradict each other are left out; with one class only, its share is every score;
-without labels every score is 0.5; repeated rows are scored alike; an empty table gives no rows.
+without labels every score is 0.5; repeated rows are scored alike; a long text is scored in whole; ids are sampled by hash,
+ties by id; other columns, of whatever name, are ignored; an empty table gives no rows.
 """
 
 from dataclasses import dataclass

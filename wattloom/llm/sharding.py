@@ -8,7 +8,8 @@ range, that range is read again by 8 more bits, until every cut is known between
 reading has at most a few ranges per shard. All steps on rows are column expressions.
 
 Defined results: a null text is empty, so it is grouped with empty texts; repeated rows are rows of their
-own; with fewer groups than shards the last shards stay empty; an empty table gives no rows.
+own; with fewer groups than shards the last shards stay empty; ties of a slot's order go by id, then digest; a long text counts in
+whole and may be a shard of its own; other columns, of whatever name, are ignored; an empty table gives no rows.
 """
 
 from bisect import bisect_left, bisect_right

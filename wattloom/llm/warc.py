@@ -10,7 +10,8 @@ by Content-Length, hence payloads may hold any text, also that of a WARC header.
 
 Defined results: a null payload is empty; payloads under ``least`` bytes are always responses; rows that
 repeat the smallest page id of a payload are responses too; a null page id is written as "null" and is
-never the first of its payload unless all its page ids are null; an empty table gives no archive rows.
+never the first of its payload unless all its page ids are null; a long payload is one record, whole; other columns, of
+whatever name, are ignored; an empty table gives no archive rows.
 """
 
 import gzip
