@@ -134,6 +134,11 @@ def test_odd_tables(spark):
         assert boosted.depth == 0 and boosted.importances().tolist() == [0, 0, 0]
     forest = trees.fit_forest(same, ORDER, "t", "id", 5, 4, 16, 1)
     assert set(predictions(forest, same)) == {4.0}
+    with pytest.raises(ValueError, match="no rows"):
+        trees.fit_forest(same.limit(0), ORDER, "t", "id", 5, 4, 16, 1)
+    nan = spark.createDataFrame([(i, float("nan") if i > 4 else 1.0, 0.0, 0.0, float(i > 4)) for i in range(9)], SCHEMA)
+    above = trees.fit_boosted(nan, ORDER, "t", 1, 1, 1.0, 16, l2=0.0)
+    assert predictions(above, nan).tolist() == pytest.approx([0.0] * 5 + [1.0] * 4, abs=1e-4)
     gap = spark.createDataFrame([(1, None, 1.0, 1.0, 4.0)], SCHEMA)
     with pytest.raises(Exception, match="a feature is missing"):
         forest.predict(gap, "p").collect()

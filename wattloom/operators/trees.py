@@ -150,7 +150,7 @@ def _walked(x: np.ndarray, roots, feature, threshold, left, value) -> np.ndarray
         inner = split >= 0
         if not inner.any():
             break
-        right = x[row, np.maximum(split, 0)] > threshold[at]
+        right = ~(x[row, np.maximum(split, 0)] <= threshold[at])  # NaN is above all, as in its bin
         at = np.where(inner, left[at] + right, at)
     return np.cumsum(value[at], axis=1)[:, -1] if len(roots) else np.zeros(len(x))
 
@@ -188,6 +188,8 @@ def binned(column: Column, cuts: list[float]) -> Column:
 def power_step(rows: DataFrame, target: str) -> float:
     """Steps per unit of the target: 2^16, or fewer if sums over all rows could leave 61 bits."""
     found = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col(target))).alias("m")).first()
+    if not found["n"]:
+        raise ValueError("no rows to fit")
     room = 2.0 ** 61 / max(1.0, found["n"] * 16 * (found["m"] or 0.0))
     return float(2.0 ** min(16, int(np.floor(np.log2(room)))))
 
