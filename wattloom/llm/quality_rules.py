@@ -13,7 +13,7 @@ holdout. All steps are column expressions; the driver sees counts by stratum, ru
 
 Defined results: a null text has no words; it fails the base rules, as does an empty one; labels that are null or that
 contradict each other for one document are left out; repeated documents are rows of their own; without
-labels nothing passes, so only the base rules reject; cutoffs of equal gain go to the stricter test's, the earlier step; a long
+labels nothing passes, so only the base rules reject; of cutoffs with equal gain the earlier step counts; a long
 text is counted in whole, as one row's arrays; other columns are passed on, but none may have the name of a count; an empty
 table gives no rows.
 """
