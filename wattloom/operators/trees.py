@@ -177,7 +177,7 @@ def find_cuts(rows: DataFrame, order: list[str], bins: int) -> list[list[float]]
     shares = [k / bins for k in range(1, bins)]
     found = rows.agg(*[F.percentile_approx(F.col(c).cast("double") + 0.0, shares, ACCURACY).alias(f"c{i}")
                        for i, c in enumerate(order)]).first()
-    return [sorted(set(found[f"c{i}"] or [])) for i in range(len(order))]
+    return [sorted({x for x in found[f"c{i}"] or [] if x == x}) for i in range(len(order))]
 
 
 def binned(column: Column, cuts: list[float]) -> Column:
