@@ -278,3 +278,25 @@ def test_a_text_is_visited_as_a_part(spark):
         (texts,), (parts, "conv_id", "turn", "role", None, "parts"))]
     assert found[0] == found[1] and all(r.attachments == [] for r in found[0])
     assert parts.schema["parts"].dataType.simpleString() == chat.PART
+
+
+@pytest.mark.parametrize("text, notices", [
+    ("// SPDX-License-Identifier: Apache-2.0 OR MIT", "Apache-2.0,MIT"),
+    ("# SPDX-License-Identifier: (GPL-2.0-only OR BSD-3-Clause) AND ISC", "BSD-3-Clause,GPL-2.0,ISC"),
+    ("SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0", "GPL-2.0"),
+    ("SPDX-License-Identifier: AGPL-3.0-or-later", "AGPL-3.0"),
+    ("A heading\n\nThe MIT License\n\nText", "MIT"),
+    ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public "
+     "License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any "
+     "later version.", "GPL-3.0"),
+    (" * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser "
+     "General Public\n * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or "
+     "later.", "LGPL-2.1"),
+    ("It may be redistributed. You can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+     "License version 3.", "AGPL-3.0"),
+    ("No licence is given. The license of a driver is a card.", ""),
+    ("SPDX-License-Identifier: Unknown-1.0 OR MIT", "MIT"),
+])
+def test_notices_in_their_usual_forms(spark, text, notices):
+    row = licenses.scan_licenses(documents(spark, [text])).first()
+    assert (row.notices, row.n_notice_lines) == (notices, 1 if notices else 0)

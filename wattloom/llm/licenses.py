@@ -4,8 +4,8 @@ The canonical form follows the public matching guidelines for licence lists: cas
 space, comment marks, copyright lines and equivalent spellings don't count. A whole text is hash-joined by the
 SHA-256 of its canonical form without replaceable names, list marks and title; known are the short licences below and
 the long ones in ``licence_texts``. For notices inside other texts, lines that mention a licence, their
-sentences and sentences over several lines are looked up: as a known notice, as an SPDX line, or as a name
-of a licence after words like "released under". All steps are column expressions.
+sentences and sentences over several lines are looked up: as a known notice, as an SPDX expression, as the usual head of
+a source file under a GNU licence, as a title, or as a name of a licence after words like "released under". All steps are column expressions.
 
 Defined results: a null or empty text, or one without any word, has the canonical form "" and no licence;
 repeated rows are judged alike; a text that matches several licences has all their names, in order; a long text is scanned in
@@ -91,6 +91,8 @@ NAMES = {
                 "gnu gpl v2", "gplv2", "gpl version 2", "gpl 2 0", "gpl v2"],
     "GPL-3.0": ["gnu general public license version 3", "gnu general public license v3", "gnu gpl version 3",
                 "gnu gpl v3", "gplv3", "gpl version 3", "gpl 3 0", "gpl v3", "gnu general public license v3 0"],
+    "AGPL-3.0": ["gnu affero general public license version 3", "gnu affero general public license v3", "agpl version 3",
+                 "agplv3", "agpl 3 0"],
     "LGPL-2.0": ["gnu library general public license version 2", "lgpl 2 0"],
     "LGPL-2.1": ["gnu lesser general public license version 2 1", "gnu lesser general public license v2 1",
                  "lgpl version 2 1", "lgplv2 1", "lgpl 2 1"],
@@ -112,7 +114,15 @@ _NAMING = (
     r"^(?:(?:this|the|all|our|these) (?:\S+ ){0,3}?(?:is|are) )?(?:(?:hereby|also|free software) )?"
     r"(?:(?:made )?available|released|licensed|distributed|published|provided|covered) (?:under|by|subject to) "
     r"(?:the )?(?:terms (?:and conditions )?of )?(?:the )?(.+?)(?: or \S+ (?:your|its) option.*| or (?:any )?later.*)?$")
-_SPDX = r"^spdx license identifier (.+?)(?: only| or later)?$"
+_SPDX_EXPRESSION = r"^spdx license identifier (.+)$"
+#: The usual head of a source file under one of the GNU licences, in canonical form.
+_HEADER = (r"redistribute it and or modify it under the terms of (?:version (\d+(?: \d)?) of )?the "
+           r"(gnu (?:lesser |library |affero )?general public license)"
+           r"(?: as published by the free software foundation)?(?: either)?(?: version (\d+(?: \d)?))?\b")
+#: Semicolons inside that head, which end no sentence.
+_HEADER_STOP = r"(?i)\b(software|foundation);"
+#: What joins the names of an SPDX expression, in canonical form.
+_SPDX_JOINS = r" (?:or|and|with) "
 #: What differs between copies of one licence: titles, list marks and names, over canonical words.
 REPLACEABLE = [
     (r"^(?:the )?(?:mit|isc|(?:new |simplified )?bsd(?: [23] clause)?|[23] clause bsd) license(?: mit)? ", ""),
@@ -176,10 +186,16 @@ def full_texts() -> list[tuple[str, str]]:
     return rows
 
 
-def named_license(words: Column, names: Column) -> Column:
-    """The licence that a canonical sentence names, or null."""
-    by_name = F.try_element_at(names, F.regexp_extract(words, _NAMING, 1))
-    return F.coalesce(by_name, F.try_element_at(names, F.regexp_extract(words, _SPDX, 1)))
+def named_licenses(words: Column, names: Column) -> Column:
+    """The licences that a canonical sentence names, as an array: by the words around a name, as an SPDX expression, in
+    the usual head of a source file, or as a title that is nothing but the name."""
+    one = lambda pattern, group: F.regexp_extract(words, pattern, group)
+    version = F.concat(one(_HEADER, 1), one(_HEADER, 3))
+    header = F.concat_ws(" version ", one(_HEADER, 2), F.regexp_replace(version, " 0$", ""))
+    given = F.concat(F.array(one(_NAMING, 1), F.regexp_replace(words, "^the ", ""), header),
+                     F.split(one(_SPDX_EXPRESSION, 1), _SPDX_JOINS))
+    found = F.transform(given, lambda x: F.try_element_at(names, F.regexp_replace(x, " (?:only|or later)$", "")))
+    return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
 
 
 def known_digests(spark: SparkSession, texts: dict[str, list[str]]) -> DataFrame:
@@ -214,12 +230,14 @@ def scan_licenses(documents: DataFrame, doc: str = "doc_id", text: str = "text",
 
     def licences_of(passage: Column, parts: Column) -> Column:
         """What a passage or one of its parts names, as a sorted set."""
-        each = F.transform(F.array_distinct(F.concat(F.array(passage), parts)), lambda x: F.coalesce(
-            F.try_element_at(by_line, canonical_digest(x)), named_license(canonical(x), names)))
-        return F.array_sort(F.array_distinct(F.filter(each, lambda x: x.isNotNull())))
+        known = lambda x: F.try_element_at(by_line, canonical_digest(x))
+        each = F.transform(F.array_distinct(F.concat(F.array(passage), parts)), lambda x: F.when(
+            known(x).isNotNull(), F.array(known(x))).otherwise(named_licenses(canonical(x), names)))
+        return F.array_sort(F.array_distinct(F.flatten(each)))
 
     lines = F.filter(F.split("body", "\n"), mentions)
-    wrapped = F.filter(F.split("body", SENTENCE_END), lambda x: x.contains("\n") & mentions(x))
+    joined = F.regexp_replace("body", _HEADER_STOP, "$1,")
+    wrapped = F.filter(F.split(joined, SENTENCE_END), lambda x: x.contains("\n") & mentions(x))
     nothing = F.array().cast("array<array<string>>")
     alone = F.array().cast("array<string>")
 
