@@ -12,7 +12,7 @@ from tools.check import compare
 from wattloom.llm import language_id, oracle, queries
 from wattloom.sources.tables import table
 
-NAMES = ["documents", "labels", "pages", "benchmark", "conversations"]
+NAMES = ["documents", "embeddings", "labels", "pages", "benchmark", "conversations"]
 
 
 @pytest.mark.parametrize("name", sorted(queries.registered()))
@@ -26,7 +26,7 @@ def test_query_equals_its_sql(spark, folder, name):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.registered()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.registered()) == list(range(1, 14))
     assert set(oracle.statements()) <= set(queries.registered())
 
 
