@@ -80,3 +80,33 @@ def test_language_stage_drops_gibberish_and_unlearnt_languages(spark, folder, tm
     rates = {r.doc_id: (r.lang_pred, r.bits_per_byte) for r in language_id.predict(docs, "text", model).collect()}
     assert kept == {d for d in texts if rates[d][1] <= bounds[rates[d][0]]}
     assert kept & {r[0] for r in rows} == set() and len(wanted - kept) == 0
+
+
+def test_language_stage_learns_from_every_labelled_document(spark):
+    rng = random.Random(5)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randint(3, 7)))
+    rows = [(i, " ".join(word("abcdefgh") for _ in range(4)), "a") for i in range(500)]
+    rows += [(None if i % 7 == 0 else 1000 + i, " ".join(word("stuvwxyz") for _ in range(4)), "b") for i in range(350)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model, bounds = language_id.learn_with_bounds(docs, "doc_id", "text", "lang", F.lit(True))
+    assert set(bounds) == {"a", "b"} and all(2 < b < 16 for b in bounds.values())
+    table = language_id.count_contexts(docs.select("lang", "text")).toArrow()
+    whole = language_id.build_model(table.column("lang").to_pylist(), table.column("code").to_numpy(),
+                                    table.column("c").to_numpy(), language_id.Settings())
+    for name in ("two", "three", "lower", "rows"):
+        assert (getattr(model, name) == getattr(whole, name)).all()
+    for mine, theirs in zip([*model.bits, *model.escape], [*whole.bits, *whole.escape]):
+        assert (mine == theirs).all()
+    # One model in two languages with few kept contexts, so that most codes are merged.
+    few = language_id.Settings(pairs=5, triples=4)
+    one, _ = language_id.learn_with_bounds(docs, "doc_id", "text", "lang", F.lit(True), few)
+    other = language_id.build_model(table.column("lang").to_pylist(), table.column("code").to_numpy(),
+                                    table.column("c").to_numpy(), few)
+    assert all((getattr(one, n) == getattr(other, n)).all() for n in ("two", "three", "lower", "rows"))
+    assert all((x == y).all() for x, y in zip([*one.bits, *one.escape], [*other.bits, *other.escape]))
+
+
+def test_language_bounds_are_the_medians(spark):
+    rates = [("a", x) for x in (1.0, 5.0, 2.0)] + [("b", x) for x in (4.0, 1.0, 2.0, 3.0)] + [("c", 0.5)]
+    found = language_id._medians(spark.createDataFrame(rates, "lang string, rate double"))
+    assert found == {"a": 2.0, "b": 2.5, "c": 0.5}

@@ -6,8 +6,8 @@ the next shorter context is asked, down to equal chances for all bytes. Costs of
 pairs are worked out beforehand for all languages, so scoring a text is one table lookup per byte, and its code
 length under each language is the exact sum. The shortest code wins; the score is its posterior share.
 
-Learning takes at most ``per_language`` texts of every language (by a hash of the id), a bounded sample of the
-labelled documents; every document is scored in whole, a long one in blocks of bytes. Kept contexts grow with the number of
+``learn`` takes at most ``per_language`` texts of every language (by a hash of the id), a bounded sample of the
+labelled documents, ``learn_with_bounds`` takes all of them; every document is scored in whole, a long one in blocks of bytes. Kept contexts grow with the number of
 languages and are taken from each in turn, so a rare script has its share. Costs are stored only for bytes that some language has seen
 after a context, so the model grows with the languages by what they differ in.
 
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.llm import textops
+from wattloom.llm.storage import Scratch
 
 UNKNOWN = "und"
 _BEFORE = 10  # what stands before the first byte of a text
@@ -138,17 +139,21 @@ def _top(keys: np.ndarray, who: np.ndarray, share: np.ndarray, most: int) -> np.
     return np.sort(values[np.lexsort((values, -np.bincount(at, total, len(values)), best))[:most]])
 
 
-def build_model(langs: list[str], codes: np.ndarray, counts: np.ndarray, settings: Settings) -> Model:
-    """The cost tables from four-byte counts."""
+def build_model(langs: list[str], codes: np.ndarray, counts: np.ndarray, settings: Settings,
+                kept: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
+    """The cost tables from four-byte counts; ``kept`` are the pairs and triples if they were found before."""
     names = sorted(set(langs))
     index = {n: i for i, n in enumerate(names)}
     who = np.array([index[x] for x in langs], np.int64)
     context, byte = codes >> 8, codes & 255
-    share = counts / np.bincount(who, counts, len(names))[who]
-    times = -(-len(names) // 4)
-    pairs = _top(context & 0xFFFF, who, share, settings.pairs * times)
-    inside = np.isin(context & 0xFFFF, pairs)
-    triples = _top(context[inside], who[inside], share[inside], settings.triples * times)
+    if kept is None:
+        share = counts / np.bincount(who, counts, len(names))[who]
+        times = -(-len(names) // 4)
+        pairs = _top(context & 0xFFFF, who, share, settings.pairs * times)
+        inside = np.isin(context & 0xFFFF, pairs)
+        triples = _top(context[inside], who[inside], share[inside], settings.triples * times)
+    else:
+        pairs, triples = kept
     two = np.full(65536, -1, np.int32)
     two[pairs] = np.arange(len(pairs))
     three = np.full(max(1, len(pairs)) * 256, -1, np.int32)
@@ -234,66 +239,126 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _sample(documents: DataFrame, doc: str, text: str, lang: str, which: Column, settings: Settings) -> DataFrame:
-    """(lang, text, half): the rows to learn from, each id in one of two halves."""
-    ids = sample_ids(documents, doc, text, lang, which, settings).withColumn(
-        "half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("string"))
+    """(lang, text): the rows to learn from."""
+    ids = sample_ids(documents, doc, text, lang, which, settings)
     # At most per_language rows of two short columns for each language.
     texts = documents.select(F.col(doc).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    return texts.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text", "half")
+    return texts.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")
 
 
 def learn(documents: DataFrame, doc: str, text: str, lang: str, which: Column,
           settings: Settings = Settings()) -> Model | None:
     """The model of a bounded sample of the rows that ``which`` allows; None without any."""
     counted = count_contexts(
-        _sample(documents, doc, text, lang, which, settings).select("lang", "text")).toArrow()
+        _sample(documents, doc, text, lang, which, settings)).toArrow()
     if not counted.num_rows:
         return None
     return build_model(counted.column("lang").to_pylist(), counted.column("code").to_numpy(),
                        counted.column("c").to_numpy(), settings)
 
 
+def _arrays(counted: DataFrame, *names: str) -> list[np.ndarray]:
+    table = counted.toArrow()
+    return [np.array(table.column(n).to_pylist(), object) if n == "lang" else table.column(n).to_numpy() for n in names]
+
+
+def _model_of(counts: DataFrame, settings: Settings) -> Model | None:
+    """The model of (lang, code, c); what reaches the driver is bounded by the languages and the kept contexts."""
+    spark = counts.sparkSession
+    context = F.shiftright("code", 8)
+    pair = context.bitwiseAND(0xFFFF)
+    langs, keys, c = _arrays(counts.groupBy("lang", pair.alias("pair")).agg(F.sum("c").alias("c")), "lang", "pair", "c")
+    if not len(langs):
+        return None
+    names = sorted(set(langs))
+    index = {n: i for i, n in enumerate(names)}
+    times = -(-len(names) // 4)
+    who = np.array([index[x] for x in langs], np.int64)
+    total = np.bincount(who, c, len(names))
+    pairs = _top(keys.astype(np.int64), who, c / total[who], settings.pairs * times)
+
+    def broadcast(values: np.ndarray, name: str) -> DataFrame:
+        return F.broadcast(spark.createDataFrame(pa.table({name: pa.array(values, pa.int64())})))
+
+    inside = counts.join(broadcast(pairs, "_pair"), pair == F.col("_pair")).groupBy(
+        "lang", context.alias("context")).agg(F.sum("c").alias("c"))
+    first = Window.partitionBy("lang").orderBy(F.desc("c"), "context")
+    most = settings.triples * times
+    leading = inside.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= most).select("context").distinct()
+    langs, keys, c = _arrays(inside.join(leading, "context", "left_semi"), "lang", "context", "c")
+    who = np.array([index[x] for x in langs], np.int64)
+    triples = _top(keys.astype(np.int64), who, c / total[who], most)
+    # Bytes after the same kept context are one row; any of its codes stands for it.
+    marked = counts.join(broadcast(pairs, "_pair"), pair == F.col("_pair"), "left").join(
+        broadcast(triples, "_triple"), context == F.col("_triple"), "left")
+    place = F.when(F.col("_triple").isNotNull(), F.col("code")).when(
+        F.col("_pair").isNotNull(), -1 - F.col("code").bitwiseAND(0xFFFFFF)).otherwise(
+        -(1 << 32) - F.col("code").bitwiseAND(0xFFFF))
+    merged = marked.groupBy("lang", place.alias("place")).agg(F.min("code").alias("code"), F.sum("c").alias("c"))
+    langs, codes, c = _arrays(merged, "lang", "code", "c")
+    return build_model(list(langs), codes.astype(np.int64), c, settings, (pairs, triples))
+
+
+#: Bits a byte are counted in steps of one over so many.
+_STEPS = 1 << 12
+
+
+def _medians(rates: DataFrame) -> dict[str, float]:
+    """The median of each language from counts of its rates, exact to a step."""
+    steps: dict[str, list[tuple[int, int]]] = {}
+    counted = rates.groupBy("lang", F.floor(F.col("rate") * _STEPS).alias("step")).count()
+    for r in counted.collect():  # at most as many as there are steps
+        steps.setdefault(r["lang"], []).append((r["step"], r["count"]))
+    out = {}
+    for lang, found in steps.items():
+        at, n = map(np.array, zip(*sorted(found)))
+        ends = n.cumsum()
+        out[lang] = float(at[np.searchsorted(ends, [(ends[-1] - 1) // 2, ends[-1] // 2], "right")].mean()) / _STEPS
+    return out
+
+
 def learn_with_bounds(documents: DataFrame, doc: str, text: str, lang: str, which: Column,
                       settings: Settings = Settings()) -> tuple[Model | None, dict[str, float]]:
-    """The model of ``learn`` and the most bits a byte that a text of each language may cost.
+    """A model of all rows with a text and a language that ``which`` allows, and the most bits a byte that a text of each
+    language may cost.
 
-    Each half of the sample is scored under a model of the other half, as a text that was not learnt from. The bound is
+    Each half of the rows is scored under a model of the other half, as a text that was not learnt from. The bound is
     a multiple of the median, so a few bad texts among the labelled ones don't move it. A language with
-    texts in one half only has no bound.
+    texts in one half only has no bound. Rows without an id are halved by their text.
     """
-    sample = _sample(documents, doc, text, lang, which, settings)
-    counted = count_contexts(sample.select(F.concat("half", "lang").alias("lang"), "text")).toArrow()
-    if not counted.num_rows:
+    key = F.xxhash64(F.lit("half"), doc, F.when(F.col(doc).isNull(), F.col(text)))
+    labelled = documents.filter(which & F.col(lang).isNotNull() & (F.col(text) != "")).select(
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(key, F.lit(2)).cast("string").alias("half"))
+    scratch = Scratch(documents.sparkSession)
+    counts = scratch.store("contexts", count_contexts(labelled.select(F.concat("half", "lang").alias("lang"), "text")).select(
+        F.substring("lang", 1, 1).alias("half"), F.expr("substring(lang, 2)").alias("lang"), "code", "c"))
+    model = _model_of(counts.groupBy("lang", "code").agg(F.sum("c").alias("c")), settings)
+    others = [_model_of(counts.filter(F.col("half") == h), settings) for h in ("1", "0")]
+    scratch.drop("contexts")
+    if model is None:
         return None, {}
-    labels = counted.column("lang").to_pylist()
-    langs = [x[1:] for x in labels]
-    half = np.array([x[0] == "1" for x in labels])
-    codes, counts = counted.column("code").to_numpy(), counted.column("c").to_numpy()
-    others = [build_model([x for x, m in zip(langs, mine) if m], codes[mine], counts[mine], settings)
-              if mine.any() else None for mine in (half, ~half)]
     shared = documents.sparkSession.sparkContext.broadcast(others)
 
     def run(batches):
         for batch in batches:
-            names, halves = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            names, halves = np.array(batch.column(0).to_pylist(), object), np.array(batch.column(2).to_pylist(), object)
             for lo, hi, data, offsets in textops.blocks(batch.column(1)):
                 rates = np.full(hi - lo, np.nan)
                 for h, model in enumerate(shared.value):
-                    if model is None:
+                    index = {n: i for i, n in enumerate(model.names)} if model else {}
+                    mine = [i for i in range(hi - lo) if halves[lo + i] == str(h) and names[lo + i] in index]
+                    if not mine:
                         continue
-                    bits = code_lengths(data, offsets, model) / np.maximum(np.diff(offsets), 1)[:, None]
-                    index = {n: i for i, n in enumerate(model.names)}
-                    for i in range(hi - lo):
-                        if halves[lo + i] == str(h) and names[lo + i] in index and offsets[i + 1] > offsets[i]:
-                            rates[i] = bits[i, index[names[lo + i]]]
+                    ends = np.concatenate([[0], np.cumsum(np.diff(offsets)[mine])])
+                    own = np.concatenate([data[offsets[i]:offsets[i + 1]] for i in mine])
+                    bits = code_lengths(own, ends, model) / np.diff(ends)[:, None]
+                    rates[mine] = bits[np.arange(len(mine)), [index[names[lo + i]] for i in mine]]
                 fine = ~np.isnan(rates)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo).filter(pa.array(fine)), pa.array(rates[fine])],
-                    names=["lang", "rate"])
+                    [pa.array(names[lo:hi][fine], pa.string()), pa.array(rates[fine])], names=["lang", "rate"])
 
-    rates = sample.mapInArrow(run, "lang string, rate double")
-    bounds = rates.groupBy("lang").agg(F.median("rate").alias("m")).collect()
-    return build_model(langs, codes, counts, settings), {r["lang"]: settings.times_median * r["m"] for r in bounds}
+    medians = _medians(labelled.mapInArrow(run, "lang string, rate double"))
+    return model, {name: settings.times_median * m for name, m in medians.items()}
 
 
 def predict(rows: DataFrame, text: str, model: Model | None) -> DataFrame:
