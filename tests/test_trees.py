@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wattloom.functions.hashing import hash52
+from wattloom.functions.hashing import hash52, uniform
 from wattloom.operators import linear, trees
 from wattloom.runtime import scratch_path
 
@@ -196,3 +196,42 @@ def test_the_line_is_that_of_least_norm(spark, collinear):
     np.testing.assert_allclose(np.array(model.coefficients) * deviation, wanted, atol=1e-6)
     np.testing.assert_allclose([r.p for r in model.predict(table, "p").select("p", "t").orderBy("t").collect()],
                                (scaled @ wanted + y.mean())[np.argsort(y)], rtol=1e-8)
+
+
+def test_draws_are_those_of_the_columns(spark):
+    keys = ["1", "22", "-3", "", "ä", None]
+    table = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "id int, k string").coalesce(1)
+    found = trees.draws(keys, 3, 7)
+    for t in range(3):
+        u = uniform(F.concat(F.lit(f"{t}:"), "k"), "bag7").alias("u")
+        wanted = [0 if r.u is None else np.searchsorted(trees.POISSON, r.u, "right")
+                  for r in table.orderBy("id").select(u).collect()]
+        assert found[t].tolist() == wanted
+
+
+def jobs_of(spark, fit):
+    group = scratch_path(spark, "group")
+    spark.sparkContext.setJobGroup(group, "a fit")
+    try:
+        fit()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_boosting_takes_a_job_a_level(spark, table):
+    assert jobs_of(spark, lambda: trees.fit_boosted(table, ORDER, "t", 8, 4, 0.05, 16, task_rows=0)) <= 8 * 4 + 20
+    assert jobs_of(spark, lambda: trees.fit_boosted(table, ORDER, "t", 8, 4, 0.05, 16)) <= 8 + 20
+
+
+def test_a_forest_takes_few_jobs(spark, table):
+    assert jobs_of(spark, lambda: trees.fit_forest(table, ORDER, "t", "id", 30, 8, 16, 1)) <= 20
+
+
+def test_missing_features_are_below_all_cuts(spark):
+    rows = [(i, None if i % 3 == 0 else float(i % 7), float("nan") if i % 5 == 0 else 1.0, 2.0, 50.0 * (i % 3 == 0) + i % 5)
+            for i in range(60)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    found = [trees.fit_boosted(table, ORDER, "t", 3, 3, 0.3, 16, task_rows=n).nodes for n in (0, 1 << 17)]
+    assert sorted(zip(found[0].tree, found[0].feature, found[0].cut, found[0].value)) == sorted(
+        zip(found[1].tree, found[1].feature, found[1].cut, found[1].value))
