@@ -235,3 +235,40 @@ def test_missing_features_are_below_all_cuts(spark):
     found = [trees.fit_boosted(table, ORDER, "t", 3, 3, 0.3, 16, task_rows=n).nodes for n in (0, 1 << 17)]
     assert sorted(zip(found[0].tree, found[0].feature, found[0].cut, found[0].value)) == sorted(
         zip(found[1].tree, found[1].feature, found[1].cut, found[1].value))
+
+
+def test_small_boosting_takes_the_same_few_jobs_for_any_rounds(spark, table):
+    assert jobs_of(spark, lambda: trees.fit_boosted(table, ORDER, "t", 40, 2, 0.05, 16)) <= 20
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_features_counted_together_give_the_sums_of_each(monkeypatch, weighted):
+    rng = np.random.default_rng(5)
+    growth = trees.Growth(1.0, 0.05, 65536.0, [list(range(n)) for n in (9, 0, 40, 3, 1)])
+    bins = np.array([rng.integers(0, n, 50_000) for n in growth.sizes], np.uint8)
+    node, weight = rng.integers(0, 3, 50_000), rng.integers(1, 4, 50_000) if weighted else None
+    residual = rng.integers(-2 ** 24, 2 ** 24, 50_000)
+    rows = np.flatnonzero(node < 2)
+    some = (node[rows], 2, residual[rows], weight[rows] if weighted else None, growth)
+    assert len(growth.groups) < len(bins)
+    pairs = growth.paired(bins)
+    found = trees.cell_sums(bins, pairs, rows, *some)
+    assert (found == trees.cell_sums(bins, None, rows, *some)).all()
+    for f, first in enumerate(growth.starts[:-1]):
+        for b in range(growth.sizes[f]):
+            own = (bins[f] == b) & (node == 1)
+            assert found[0, 1, first + b] == residual[own].sum()
+            assert found[1, 1, first + b] == (weight[own].sum() if weighted else own.sum())
+    # So many rows that doubles wouldn't hold their sums.
+    large = residual[rows] * 2 ** 20
+    exact = trees.cell_sums(bins, pairs, rows, node[rows], 2, large, some[3], growth)
+    assert (exact[0] == found[0] * 2 ** 20).all()
+
+
+def test_boosting_by_one_task_keeps_leaves_of_any_depth(spark, table):
+    """A constant feature, early leaves and a round without splits."""
+    rows = [(i, float(i % 2), 0.0, 7.0, 10.0 * (i % 2)) for i in range(64)]
+    small = spark.createDataFrame(rows, SCHEMA)
+    for t, least in ((small, 0), (table, 2)):
+        found = [trees.fit_boosted(t, ORDER, "t", 5, 4, 1.0, 16, task_rows=n) for n in (0, 1 << 17)]
+        assert found[0] == found[1] and found[0].depth > least
