@@ -1,5 +1,7 @@
 """Tree learners and the line against direct versions in numpy."""
 
+import hashlib
+
 import duckdb
 import numpy as np
 import pytest
@@ -272,3 +274,29 @@ def test_boosting_by_one_task_keeps_leaves_of_any_depth(spark, table):
     for t, least in ((small, 0), (table, 2)):
         found = [trees.fit_boosted(t, ORDER, "t", 5, 4, 1.0, 16, task_rows=n) for n in (0, 1 << 17)]
         assert found[0] == found[1] and found[0].depth > least
+
+
+@pytest.mark.parametrize("keys", [["7", "", None, "ä|1", "x" * 44], ["x" * 45, "1"], ["y\0", "y"], ["z" * 300], [None], []])
+def test_draws_of_all_rows_at_once_are_those_of_the_library(monkeypatch, keys):
+    bounds = [int(np.ceil(p * 2.0 ** 52)) for p in trees.POISSON]
+
+    def wanted(t, key):
+        x = int.from_bytes(hashlib.md5(f"bag42:{t}:{key}".encode()).digest()[:8], "big") >> 12
+        return 0 if key is None else sum(x >= b for b in bounds)
+
+    each = []
+    monkeypatch.setattr(trees.hashlib, "md5", lambda x, *a, md5=hashlib.md5, **k: each.append(x) or md5(x, *a, **k))
+    found = trees.draws(keys, 120, 42)
+    assert all(len(x) > 55 or max(map(len, keys)) > 44 for x in each)
+    monkeypatch.undo()
+    assert found.shape == (120, len(keys)) and found.tolist() == [[wanted(t, k) for k in keys] for t in range(120)]
+
+
+def test_rows_are_walked_a_tree_at_a_time():
+    """NaN goes to the right; leaves at several depths; no rows."""
+    feature, threshold = np.array([0, -1, 1, -1, -1, -1], np.int16), np.array([1.0, 0.0, 2.0, 0.0, 0.0, 0.0])
+    left, value = np.array([1, 0, 3, 0, 0, 0], np.int32), np.array([0.0, 10.0, 0.0, 20.0, 30.0, 0.5])
+    x = np.array([[1.0, 9.0], [1.5, 2.0], [np.nan, 2.5], [np.nan, np.nan], [-np.inf, 0.0], [np.inf, 2.0]])
+    args = (np.array([0, 5, 0]), feature, threshold, left, value)
+    assert trees._walked(x, *args).tolist() == [20.5, 40.5, 60.5, 60.5, 20.5, 40.5]
+    assert trees._walked(x[:0], *args).tolist() == []

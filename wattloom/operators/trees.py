@@ -164,16 +164,17 @@ class TreeModel:
 
 def _walked(x: np.ndarray, roots, feature, threshold, left, value) -> np.ndarray:
     """Sum of the leaf values that each row reaches, tree after tree in order."""
-    at = np.broadcast_to(roots, (len(x), len(roots))).copy()
-    row = np.arange(len(x))[:, None]
-    while True:
+    rows, flat, total = np.arange(len(x)), np.ascontiguousarray(x.T).ravel(), np.zeros(len(x))
+    for root in roots:
+        at = np.full(len(x), root, np.int64)
         split = feature[at]
-        inner = split >= 0
-        if not inner.any():
-            break
-        right = ~(x[row, np.maximum(split, 0)] <= threshold[at])  # NaN is above all, as in its bin
-        at = np.where(inner, left[at] + right, at)
-    return np.cumsum(value[at], axis=1)[:, -1] if len(roots) else np.zeros(len(x))
+        while (inner := split >= 0).any():
+            # NaN is above all, as in its bin.
+            right = ~(flat[np.maximum(split, 0).astype(np.int64) * len(x) + rows] <= threshold[at])
+            at = np.where(inner, left[at] + right, at)
+            split = feature[at]
+        total += value[at]
+    return total
 
 
 def walked(bins: np.ndarray, start: int, steps: int, feature: np.ndarray, cut: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -211,15 +212,63 @@ def in_steps(x: Column, steps: float) -> Column:
     return F.floor(x * steps + 0.5).cast("long")
 
 
+def md5_starts(words: list) -> np.ndarray:
+    """The first 64 bits of the MD5 digest of many texts of one block each; its 16 words are numbers or arrays (all rows at once)."""
+    state = [np.full(max(map(np.size, words)), x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = state
+    for i in range(64):
+        if i < 16:
+            mixed, k = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            mixed, k = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            mixed, k = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            mixed, k = c ^ (b | ~d), 7 * i % 16
+        mixed += a
+        mixed += np.uint32(int(abs(math.sin(i + 1)) * 2.0 ** 32))
+        mixed += words[k]
+        turn = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))[i // 16][i % 4]
+        high = mixed << np.uint32(turn)
+        mixed >>= np.uint32(32 - turn)
+        mixed |= high
+        mixed += b
+        a, b, c, d = d, mixed, b, c
+    return (a + state[0]).byteswap().astype(np.uint64) << np.uint64(32) | (b + state[1]).byteswap()
+
+
+def _blocks_of_words(keys: list[bytes], start: int) -> list:
+    """MD5's words of one block for texts of ``start`` bytes (0 here) and a key; a word that is 0 everywhere is a number."""
+    size = np.array([start + len(k) for k in keys])
+    block = np.zeros((len(keys), 64), np.uint8)
+    own = np.array(keys, "S")
+    block[:, start:start + own.itemsize] = own.view(np.uint8).reshape(len(keys), -1)
+    block[np.arange(len(keys)), size] = 0x80
+    block[:, 56:58] = (8 * size).astype("<u2").view(np.uint8).reshape(-1, 2)
+    words = np.ascontiguousarray(block.view("<u4").T)
+    return [w if w.any() else np.uint32(0) for w in words]
+
+
 def draws(keys: list[str | None], trees: int, seed: int) -> np.ndarray:
     """How often each tree's bootstrap sample takes each row: ``uniform(tree:key, bag)`` among ``POISSON``; never without a key."""
     bounds = np.ceil(np.array(POISSON) * 2.0 ** 52).astype(np.uint64)
     ends, known = [(k or "").encode() for k in keys], np.array([k is not None for k in keys], bool)
     out = np.empty((trees, len(keys)), np.uint8)
+    short, words = False, {}
     for t in range(trees):
         start = f"bag{seed}:{t}:".encode()
-        found = b"".join([hashlib.md5(start + k, usedforsecurity=False).digest()[:8] for k in ends])
-        out[t] = np.searchsorted(bounds, np.frombuffer(found, ">u8").astype(np.uint64) >> np.uint64(12), "right")
+        if len(start) not in words:
+            # What is longer than one block of MD5 goes to the library.
+            short = len(start) + max(map(len, ends), default=64) < 56
+            words[len(start)] = _blocks_of_words(ends, len(start)) if short else []
+        if short:
+            first = np.frombuffer(start + bytes(-len(start) % 4), "<u4")
+            whole = words[len(start)]
+            found = md5_starts([w | x for w, x in zip(whole, first)] + whole[len(first):])
+        else:
+            found = np.frombuffer(
+                b"".join([hashlib.md5(start + k, usedforsecurity=False).digest()[:8] for k in ends]), ">u8").astype(np.uint64)
+        out[t] = np.searchsorted(bounds, found >> np.uint64(12), "right")
     return out * known
 
 
