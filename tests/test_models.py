@@ -199,3 +199,35 @@ def test_forests_do_not_depend_on_the_layout_of_the_rows(spark, folder):
     other = ml.fit(rows.repartition(11).orderBy(F.rand(3)), "rf", settings=settings)
     found = [{r["house_id"]: r["prediction"] for r in ml.predict(rows, m).collect()} for m in (one, other)]
     assert found[0] == found[1]
+
+
+def test_requests_are_read_once_for_all_models(spark, folder, trained):
+    """Also those with missing values, which validation would refuse, and those that name no model."""
+    models, path = trained[1].models, scratch_path(spark, "requests")
+    views.vector_requests(spark, folder).withColumn("model", F.when(F.col("house_id") % 8 != 0, F.col("model"))).write.parquet(path)
+    requests = spark.read.parquet(path)
+    found = ml.score_by_model(requests, models)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert found.columns == [*requests.columns, "prediction"]
+    wanted = {r["house_id"]: r["prediction"] for key, model in models.items()
+              for r in ml.predict_vectors(requests.filter(F.col("model") == key), model).collect()}
+    assert {r["house_id"]: r["prediction"] for r in found.collect()} == wanted
+    assert ml.score_by_model(requests.filter("model = 'unknown'"), models).count() == 0
+    only = ml.score_by_model(requests, {"gbt": models["gbt"]})
+    assert {r["model"] for r in only.collect()} == {"gbt"}
+
+
+def test_models_fitted_together_are_those_fitted_alone(spark, folder):
+    rows = ml.prepare_training(views.training(spark, folder)).repartition(3)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    together = ml.fit_all(rows.mapInArrow(counted, rows.schema), ["linear", "rf", "gbt"], settings=TINY)
+    assert read.value == rows.count()
+    for key in ("rf", "gbt"):
+        assert vars(together[key].nodes) == vars(ml.fit(rows, key, settings=TINY).nodes)
+    np.testing.assert_allclose(together["linear"].coefficients, ml.fit(rows, "linear").coefficients, rtol=1e-9, atol=1e-9)

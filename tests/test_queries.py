@@ -74,3 +74,10 @@ def test_the_last_row_of_an_appliance_is_found_by_hash(spark, folder):
 def test_data_rows_are_not_counted_in_one_task(spark, folder, name):
     text = queries.registered()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "GlobalLimit" not in text and "SinglePartition" not in text
+
+
+def test_training_rows_are_made_once_for_all_models(spark, folder, monkeypatch):
+    made, parts = [], queries._parts
+    monkeypatch.setattr(queries, "_parts", lambda *a: made.append(a) or parts(*a))
+    assert set(queries._models(spark, f"{folder}/")) == {"linear", "rf", "gbt"}
+    assert len(made) == 1

@@ -300,3 +300,61 @@ def test_rows_are_walked_a_tree_at_a_time():
     args = (np.array([0, 5, 0]), feature, threshold, left, value)
     assert trees._walked(x, *args).tolist() == [20.5, 40.5, 60.5, 60.5, 20.5, 40.5]
     assert trees._walked(x[:0], *args).tolist() == []
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_rows_by_node_and_rows_of_each_node_give_the_same_splits(monkeypatch, weighted):
+    rng = np.random.default_rng(8)
+    bins = rng.integers(0, 9, (3, 3000)).astype(np.uint8)
+    growth = trees.Growth(1.0, 0.1, 65536.0, [[float(x) for x in range(8)]] * 3, 5)
+    weight = rng.integers(1, 4, 3000) if weighted else None
+    residual = rng.integers(-2**20, 2**20, 3000) * (1 if weight is None else weight)
+    found, reached = [], []
+    for apart in (0, 2, 1 << 6):
+        monkeypatch.setattr(trees, "APART", apart)
+        reached.append(np.full(3000, -1))
+        found.append(trees.subtree(bins, growth.paired(bins), residual, weight, 9, growth, reached[-1]))
+    assert len(found[0]["node"]) > 100 and reached[0].min() >= 0
+    for other, last in zip(found[1:], reached[1:]):
+        assert last.tolist() == reached[0].tolist()
+        assert all(other[c].tolist() == found[0][c].tolist() for c in found[0])
+
+
+def test_moments_are_those_of_each_pair_of_columns(spark):
+    """Over any layout, also with missing values, a column without any and parts without rows."""
+    rng = np.random.default_rng(4)
+    x = rng.normal([1e6, 0, 5, 0], [1, 3, 1e-3, 1], (500, 4))
+    rows = [[None if rng.random() < 0.2 or i == 3 else float(v) for i, v in enumerate(r)] for r in x]
+    table = spark.createDataFrame(rows, "c0 double, c1 double, c2 double, c3 double")
+    wanted = table.agg(*[F.covar_pop(f"c{i}", f"c{j}") for i in range(4) for j in range(4)]).first()
+    for layout in (table.coalesce(1), table.repartition(7), table.repartition(700)):
+        parts = [[np.frombuffer(m).reshape(4, 4) for m in part] for part in layout.mapInArrow(
+            linear._moments, "n binary, mean binary, product binary").collect()]
+        n, mean, product = linear.reduce(linear._merged, parts)
+        for i in range(4):
+            for j in range(4):
+                both = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
+                assert n[i, j] == len(both)
+                if both:
+                    assert mean[i, j] == pytest.approx(np.mean([b[0] for b in both]), rel=1e-9, abs=1e-9)
+                    assert product[i, j] / n[i, j] == pytest.approx(wanted[4 * i + j], rel=1e-7, abs=1e-9)
+
+
+def test_the_line_leaves_the_summing_to_few_columns(spark, table):
+    """Not an aggregate function for every pair of features."""
+    wide = table.select("t", *[(F.col("a") * i).alias(f"f{i}") for i in range(30)])
+    found = linear.fit_linear(wide, [f"f{i}" for i in range(30)], "t")
+    assert len(found.coefficients) == 30
+    nothing = table.filter("id < 0")
+    with pytest.raises(ValueError, match="no rows"):
+        linear.fit_linear(nothing, ORDER, "t")
+
+
+def test_nodes_are_stored_in_one_write(spark, table, tmp_path, monkeypatch):
+    model = trees.fit_boosted(table, ORDER, "t", 4, 3, 0.3, 16)
+    monkeypatch.setattr(trees, "STORED", 3, raising=False)
+    path = str(tmp_path / "model")
+    assert jobs_of(spark, lambda: model.save(spark, path)) <= 2
+    assert vars(trees.TreeModel.load(spark, path).nodes) == vars(model.nodes)
+    part = model.table(spark, 2, 5).orderBy("id").collect()
+    assert [r.id for r in part] == [2, 3, 4] and [r.value for r in part] == list(model.nodes.value[2:5])
