@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattloom.constants import FEATURE_SPECS, TARGET
-from wattloom.operators import metrics, registry
+from wattloom.operators import metrics, registry, trees
 from wattloom.operators import models as ml
 from wattloom.operators.features import assemble_vector, vector_to_columns
 from wattloom.runtime import scratch_path
@@ -231,3 +231,15 @@ def test_models_fitted_together_are_those_fitted_alone(spark, folder):
     for key in ("rf", "gbt"):
         assert vars(together[key].nodes) == vars(ml.fit(rows, key, settings=TINY).nodes)
     np.testing.assert_allclose(together["linear"].coefficients, ml.fit(rows, "linear").coefficients, rtol=1e-9, atol=1e-9)
+
+
+def test_trees_fitted_together_share_their_cuts_and_are_stored(spark, folder, monkeypatch):
+    rows, cut, find = ml.prepare_training(views.training(spark, folder)), [], trees.find_cuts
+    monkeypatch.setattr(trees, "find_cuts", lambda *a: cut.append(a) or find(*a))
+    root = scratch_path(spark, "models")
+    fitted = ml.fit_all(rows, ["linear", "rf", "gbt"], settings=TINY, root=root)
+    assert list(fitted) == ["linear", "rf", "gbt"]
+    assert len(cut) == 1
+    loaded = ml.load_models(spark, root, list(fitted))
+    assert all(vars(loaded[key].nodes) == vars(fitted[key].nodes) for key in ("rf", "gbt"))
+    assert loaded["linear"] == fitted["linear"]

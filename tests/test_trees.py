@@ -358,3 +358,53 @@ def test_nodes_are_stored_in_one_write(spark, table, tmp_path, monkeypatch):
     assert vars(trees.TreeModel.load(spark, path).nodes) == vars(model.nodes)
     part = model.table(spark, 2, 5).orderBy("id").collect()
     assert [r.id for r in part] == [2, 3, 4] and [r.value for r in part] == list(model.nodes.value[2:5])
+
+
+def test_cuts_of_each_feature_come_from_its_own_group(spark, table, rows):
+    nan = float("nan")
+    more = table.unionByName(spark.createDataFrame([(1000 + i, None, nan, None, 0.0) for i in range(5)], SCHEMA))
+    wanted = [brute_cuts(np.array([r[k] for r in rows] + [nan] * 5 * (k == 2)), 16) for k in (1, 2)]
+    found = trees.find_cuts(more.withColumn("none", F.lit(None).cast("double")), [*ORDER[:2], "none"], 16)
+    assert found == [wanted[0], [x for x in wanted[1] if x == x], []]
+    assert trees.find_cuts(more.limit(0), ORDER, 16) == [[], [], []]
+
+
+def test_lines_of_picked_rows_lie_in_one_piece(spark, table, monkeypatch):
+    """Else each step copies whole lines for the rows of a node."""
+    grown, seen = trees.subtree, []
+    bins = np.arange(24, dtype=np.uint8).reshape(3, 8)
+    picked = trees.columns(bins, np.array([1, 5, 6]))
+    np.testing.assert_array_equal(picked, bins[:, [1, 5, 6]])
+    assert picked.flags.c_contiguous
+
+    def watched(bins, pairs, *rest):
+        seen.append(bins.flags.c_contiguous and pairs.flags.c_contiguous)
+        return grown(bins, pairs, *rest)
+
+    monkeypatch.setattr(trees, "subtree", watched)
+    sample = spark.sparkContext.parallelize([0], 1).map(lambda _: (bins, np.arange(8), np.ones((2, 8), np.uint8)))
+    growth, nodes = trees.Growth(0.0, 1.0, 1.0, [[x + 0.5 for x in range(23)]] * 3), trees.Nodes()
+    for t in range(2):
+        nodes.add(t, 0.0, 8)
+
+    class Here:
+        """What the tasks would do, in this process."""
+
+        context = spark.sparkContext
+
+        def flatMap(self, f):
+            self.rows = [x for block in sample.collect() for x in f(block)]
+            return self
+
+        def partitionBy(self, n, by):
+            return self
+
+        def mapPartitions(self, f):
+            self.rows = list(f(iter(self.rows)))
+            return self
+
+        def collect(self):
+            return self.rows
+
+    trees._grow_small(Here(), {0: 3, 1: 3}, 8, nodes, growth, 3)
+    assert seen == [True, True]

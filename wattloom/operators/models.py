@@ -1,7 +1,8 @@
 """Training, storing and applying the regression models."""
 
 import math
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
@@ -26,11 +27,13 @@ from wattloom.operators.linear import LinearModel, fit_linear
 from wattloom.operators.metrics import eval_metrics
 from wattloom.operators.quantiles import order_statistics, summaries
 from wattloom.operators.registry import stored_artifacts
-from wattloom.operators.trees import TreeModel, fit_boosted, fit_forest
+from wattloom.operators.trees import Prepared, TreeModel, fit_boosted, fit_forest, prepare
 from wattloom.operators.validation import split_valid, validate_vector
 from wattloom.runtime import ensure_checkpoint_dir, kept
 
 Model = LinearModel | TreeModel
+#: Model keys of trees, first that whose fit may be one long task.
+TREES = ("gbt", "rf")
 
 
 @dataclass
@@ -87,17 +90,22 @@ def fit(
     settings: Settings | None = None,
     target: str = TARGET,
     key: str | None = None,
+    ready: Prepared | None = None,
 ) -> Model:
-    """The regressor of a model key, fitted on ``train``; the same rows in any layout give the same trees."""
+    """The regressor of a model key, fitted on ``train``; the same rows in any layout give the same trees.
+
+    ``ready``: the rows of ``train`` as ``prepare`` gives them, for trees.
+    """
     order = FEATURE_SPECS[spec] if isinstance(spec, str) else spec
     settings = settings or Settings()
     if model == "linear":
         return fit_linear(train, order, target)
     if model == "rf":
         return fit_forest(train, order, target, _row_key(train, key), settings.trees, settings.tree_depth,
-                          settings.bins, settings.seed)
+                          settings.bins, settings.seed, ready=ready)
     if model == "gbt":
-        return fit_boosted(train, order, target, settings.rounds, settings.boost_depth, BOOST_RATE, settings.bins)
+        return fit_boosted(train, order, target, settings.rounds, settings.boost_depth, BOOST_RATE, settings.bins,
+                           ready=ready)
     raise KeyError(f"unknown model key: {model}")
 
 
@@ -108,16 +116,34 @@ def fit_all(
     settings: Settings | None = None,
     target: str = TARGET,
     key: str | None = None,
+    root: str | None = None,
 ) -> dict[str, Model]:
-    """Every model of ``models``, from rows that are read once; the fits share the cores, as one may be a single task."""
+    """Every model of ``models``, from rows that are read once; the fits share the cores, as one may be a single task.
+
+    The trees share the rows' cuts as well. With ``root`` each model is stored there as soon as it is fitted.
+    """
+
+    def fitted(m: str, rows: DataFrame, ready: Prepared | None = None) -> Model:
+        model = fit(rows, m, spec, settings, target, key, ready)
+        if root:
+            save_models({m: model}, root)
+        return model
+
     if len(models) == 1:
-        return {m: fit(train, m, spec, settings, target, key) for m in models}
+        return {m: fitted(m, train) for m in models}
+    order = FEATURE_SPECS[spec] if isinstance(spec, str) else spec
     with kept(train) as rows, ThreadPoolExecutor(max(1, len(models))) as pool:
         rows.count()
         ensure_checkpoint_dir(rows.sparkSession)
-        running = {m: pool.submit(inheritable_thread_target(rows.sparkSession)(fit), rows, m, spec, settings, target, key)
-                   for m in models}
-        return {m: fitted.result() for m, fitted in running.items()}
+
+        def start(m: str, ready: Prepared | None = None) -> Future:
+            return pool.submit(inheritable_thread_target(rows.sparkSession)(fitted), m, rows, ready)
+
+        running = {m: start(m) for m in models if m not in TREES}
+        if trees := [m for m in TREES if m in models]:
+            ready = prepare(rows, order, target, (settings or Settings()).bins, _row_key(rows, key))
+            running |= {m: start(m, ready) for m in trees}
+        return {m: running[m].result() for m in models}
 
 
 def predict(df: DataFrame, model: Model, name: str = "prediction") -> DataFrame:
@@ -227,6 +253,13 @@ def load_model(spark, root: str, key: str) -> Model:
     return (LinearModel if key == "linear" else TreeModel).load(spark, f"{root}/{path}")
 
 
+def load_models(spark, root: str, keys: Sequence[str]) -> dict[str, Model]:
+    """``load_model`` of each key, all at the same time."""
+    with ThreadPoolExecutor(max(1, len(keys))) as pool:
+        running = {key: pool.submit(inheritable_thread_target(spark)(load_model), spark, root, key) for key in keys}
+        return {key: loaded.result() for key, loaded in running.items()}
+
+
 @dataclass
 class Training:
     """What a training run leaves behind."""
@@ -264,8 +297,6 @@ def train_models(
     settings = settings or Settings()
     rows = prepare_training(table, spec, key, seed=settings.seed)
     train, test = train_test_split(rows, key, seed=settings.seed)
-    fitted = fit_all(train, models or list(MODEL_REGISTRY), spec, settings, key=key)
+    fitted = fit_all(train, models or list(MODEL_REGISTRY), spec, settings, key=key, root=root)
     scored = score_all_models(test, fitted)
-    if root:
-        save_models(fitted, root)
     return Training(fitted, eval_metrics(scored), scored)

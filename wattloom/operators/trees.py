@@ -206,11 +206,16 @@ def walked(bins: np.ndarray, start: int, steps: int, feature: np.ndarray, cut: n
 
 
 def find_cuts(rows: DataFrame, order: list[str], bins: int) -> list[list[float]]:
-    """Ascending cuts of each feature: the values at ``bins`` - 1 evenly spaced ranks, from one pass of sketches."""
+    """Ascending cuts of each feature: the values at ``bins`` - 1 evenly spaced ranks, from one pass of sketches.
+
+    A feature is a group, so the sketches of different features are merged by different tasks.
+    """
     shares = [k / bins for k in range(1, bins)]
-    found = rows.agg(*[F.percentile_approx(F.col(c).cast("double") + 0.0, shares, ACCURACY).alias(f"c{i}")
-                       for i, c in enumerate(order)]).first()
-    return [sorted({x for x in found[f"c{i}"] or [] if x == x}) for i in range(len(order))]
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), (F.col(c).cast("double") + 0.0).alias("x")) for i, c in enumerate(order)])
+    sketches = rows.select(F.explode(cells).alias("cell")).groupBy("cell.i").agg(
+        F.percentile_approx("cell.x", shares, ACCURACY).alias("cuts"))
+    found = {r["i"]: r["cuts"] or [] for r in sketches.collect()}
+    return [sorted({x for x in found.get(i, []) if x == x}) for i in range(len(order))]
 
 
 def power_step(rows: DataFrame, target: str) -> float:
@@ -385,6 +390,11 @@ def _gain(gl, hl, ga, ha, l2: float):
     return gl * gl / (hl + l2) + (ga - gl) * (ga - gl) / (ha - hl + l2) - ga * ga / (ha + l2)
 
 
+def columns(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """``table[:, rows]`` with each line in one piece; an index gives it column by column, and each ``take`` from a line copies it all."""
+    return table.take(rows, axis=1)
+
+
 def _sums(at: np.ndarray, values: np.ndarray, size: int, small: bool) -> np.ndarray:
     """Exact sums of whole numbers by position; ``small``: doubles hold all of them."""
     if small:
@@ -499,16 +509,16 @@ def subtree(bins: np.ndarray, pairs: np.ndarray | None, residual: np.ndarray, we
 
     def only(rows: np.ndarray) -> None:
         nonlocal bins, pairs, residual, weight, node, held
-        bins, residual, node = bins[:, rows], residual[rows], node[rows]
-        pairs, weight = None if pairs is None else pairs[:, rows], None if weight is None else weight[rows]
+        bins, residual, node = columns(bins, rows), residual[rows], node[rows]
+        pairs, weight = None if pairs is None else columns(pairs, rows), None if weight is None else weight[rows]
         held = None if held is None else held[rows]
 
     for step in range(depth):
         sums = None
         if apart is not None and level.size > APART:
             rows, node = np.concatenate(apart), np.repeat(np.arange(level.size), [len(r) for r in apart])
-            bins, residual, held, apart = bins[:, rows], residual[rows], None if reached is None else rows, None
-            pairs, weight = None if pairs is None else pairs[:, rows], None if weight is None else weight[rows]
+            bins, residual, held, apart = columns(bins, rows), residual[rows], None if reached is None else rows, None
+            pairs, weight = None if pairs is None else columns(pairs, rows), None if weight is None else weight[rows]
         if apart is None and level.counted * PAIRED > len(node):
             pairs = None
         if apart is not None:
@@ -588,8 +598,20 @@ def _added(sums: RDD) -> np.ndarray:
 # --- boosting ----------------------------------------------------------------------------------
 
 
-def _prepared(train: DataFrame, order: list[str], target: str, bins: int, more: dict[str, Column]):
-    """(rows with features, y in steps and more columns; cuts; steps; number of rows; sum of y)."""
+@dataclass
+class Prepared:
+    """What a fit of trees begins with: rows with features, target in steps and key; cuts; steps; number of rows; sum of targets."""
+
+    rows: DataFrame
+    cuts: list[list[float]]
+    steps: float
+    n: int
+    total: int
+
+
+def prepare(train: DataFrame, order: list[str], target: str, bins: int, key: str | Column | None = None) -> Prepared:
+    """Rows written once and cut; several fits may begin with the same. Forests need a key."""
+    more = {} if key is None else {"_key": (F.col(key) if isinstance(key, str) else key).cast("string")}
     clean = train.select(*[(F.col(c).cast("double") + 0.0).alias(f"x{i}") for i, c in enumerate(order)],
                          F.col(target).cast("double").alias("target"), *[c.alias(name) for name, c in more.items()])
     clean = pinned(clean)
@@ -597,17 +619,18 @@ def _prepared(train: DataFrame, order: list[str], target: str, bins: int, more:
     cuts, steps = find_cuts(clean, names, bins), power_step(clean, "target")
     rows = clean.select(*names, in_steps(F.col("target"), steps).alias("y"), *more)
     total = rows.agg(F.sum("y").alias("s"), F.count(F.lit(1)).alias("n")).first()
-    return rows, cuts, steps, total["n"], total["s"]
+    return Prepared(rows, cuts, steps, total["n"], total["s"])
 
 
 def fit_boosted(train: DataFrame, order: list[str], target: str, rounds: int, depth: int, rate: float, bins: int,
-                l2: float = 1.0, task_rows: int = TASK_ROWS) -> TreeModel:
+                l2: float = 1.0, task_rows: int = TASK_ROWS, ready: Prepared | None = None) -> TreeModel:
     """Trees one after the other, each on the residuals of those before it (the gradients of squared errors)."""
-    rows, cuts, steps, n, s = _prepared(train, order, target, bins, {})
+    ready = ready or prepare(train, order, target, bins)
+    cuts, steps, n = ready.cuts, ready.steps, ready.n
     growth = Growth(l2, rate, steps, cuts)
-    nodes, roots, base = Nodes(), [], s / steps / n
+    nodes, roots, base = Nodes(), [], ready.total / steps / n
     whole = n <= task_rows
-    blocks = in_blocks(rows, order, target, cuts, steps, n, whole)
+    blocks = in_blocks(ready.rows.drop("_key"), order, target, cuts, steps, n, whole)
     if whole:
         roots, columns = blocks.map(lambda b: _boosted_by_one_task(b, base, rounds, depth, growth)).first()
         return TreeModel(order, base, False, roots, Nodes(*columns))
@@ -702,10 +725,10 @@ def _grow_by_levels(now: RDD, nodes: Nodes, root: int, depth: int, growth: Growt
 
 
 def fit_forest(train: DataFrame, order: list[str], target: str, key: str | Column, trees: int, depth: int, bins: int,
-               seed: int, least_weight: int = 1, task_rows: int = SUBTREE_ROWS) -> TreeModel:
+               seed: int, least_weight: int = 1, task_rows: int = SUBTREE_ROWS, ready: Prepared | None = None) -> TreeModel:
     """Trees on bootstrap samples: a row's weight in a tree is a Poisson draw from a hash of its key."""
-    who = F.col(key) if isinstance(key, str) else key
-    rows, cuts, steps, n, _ = _prepared(train, order, target, bins, {"_key": who.cast("string")})
+    ready = ready or prepare(train, order, target, bins, key)
+    rows, cuts, steps, n = ready.rows, ready.cuts, ready.steps, ready.n
     growth = Growth(0.0, 1.0, steps, cuts, least_weight)
     nodes = Nodes()
     sample = in_blocks(rows, order, target, cuts, steps, n, False, trees, seed).persist(StorageLevel.MEMORY_AND_DISK_DESER)
@@ -764,9 +787,10 @@ def _grow_small(sample: RDD, small: dict[int, int], n: int, nodes: Nodes, growth
     """Finish the nodes ``small`` (node: levels that are left), each in one task; trees that are one node share its rows."""
     context = sample.context
     roots = [i for i, levels in small.items() if levels == depth]
-    groups = min(len(roots), 2 * context.defaultParallelism)
+    most, table, cores = max(8 * n, SENT_ROWS), _trees(nodes), context.defaultParallelism
+    # Small tasks end at about the same time; up to four a core, if they are sent at once.
+    groups = min(len(roots), max(2 * cores, min(4 * cores, most // n)))
     units = [(roots[k::groups], n) for k in range(groups)] + [([i], nodes.weight[i]) for i in small if small[i] < depth]
-    most, table = max(8 * n, SENT_ROWS), _trees(nodes)
     while units:
         batch, size = [], 0
         while units and (not batch or size + units[-1][1] <= most):
@@ -788,7 +812,7 @@ def _grow_small(sample: RDD, small: dict[int, int], n: int, nodes: Nodes, growth
                     last, at = t, walked(bins, t, depth, *table)
                 rows = np.flatnonzero((at == own[0]) & (drawn[t] > 0))
                 if len(rows):
-                    yield k, (bins[:, rows], y[rows], drawn[[t]][:, rows])
+                    yield k, (columns(bins, rows), y[rows], columns(drawn[[t]], rows))
 
         def finish(received, batch=batch):
             held: dict[int, list] = {}
@@ -802,7 +826,7 @@ def _grow_small(sample: RDD, small: dict[int, int], n: int, nodes: Nodes, growth
                 for i, weight in zip(batch[k], drawn):
                     rows = np.flatnonzero(weight)
                     w = weight[rows].astype(np.int64)
-                    yield i, subtree(bins[:, rows], pairs[:, rows], y[rows] * w, w, small[i], growth)
+                    yield i, subtree(columns(bins, rows), columns(pairs, rows), y[rows] * w, w, small[i], growth)
 
         done = sample.flatMap(send).partitionBy(len(batch), lambda k: k).mapPartitions(finish).collect()
         for i, splits in sorted(done, key=lambda x: x[0]):

@@ -590,9 +590,9 @@ def _stored_models(spark, folder, *keys):
     root = _model_roots.setdefault(at, scratch_path(spark, "models"))
     if wanted := [key for key in keys if (root, key) not in _stored]:
         train, _ = _parts(spark, folder)
-        ml.save_models(ml.fit_all(train, wanted, "v12"), root)
+        ml.fit_all(train, wanted, "v12", root=root)
         _stored.update((root, key) for key in wanted)
-    return {key: ml.load_model(spark, root, key) for key in keys}
+    return ml.load_models(spark, root, keys)
 
 
 def _model(spark, folder, key):
