@@ -145,7 +145,7 @@ class TreeModel:
         return self._rows(spark, self._sent(spark), first, last)
 
     def _sent(self, spark: SparkSession) -> Broadcast:
-        return spark.sparkContext.broadcast([np.array(column) for column in vars(self.nodes).values()])
+        return spark.sparkContext.broadcast([np.asarray(column) for column in vars(self.nodes).values()])
 
     def _rows(self, spark: SparkSession, sent: Broadcast, first: int, last: int | None) -> DataFrame:
         kinds = {f.name: "double" if f.name in ("threshold", "value", "gain") else "long" for f in fields(Nodes)}
@@ -829,8 +829,10 @@ def _grow_small(sample: RDD, small: dict[int, int], n: int, nodes: Nodes, growth
                     yield i, subtree(columns(bins, rows), columns(pairs, rows), y[rows] * w, w, small[i], growth)
 
         done = sample.flatMap(send).partitionBy(len(batch), lambda k: k).mapPartitions(finish).collect()
-        for i, splits in sorted(done, key=lambda x: x[0]):
-            add_subtree(nodes, growth, i, splits)
+        done.sort(key=lambda x: -x[0])
+        while done:
+            # What is added is no longer held.
+            add_subtree(nodes, growth, *done.pop())
         if units:
             # Shuffle files stay until the driver collects its garbage.
             gc.collect()
