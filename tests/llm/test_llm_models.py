@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from wattloom.llm import (
-    components, cutting_stock, decontaminate, language_id, ngram_join, packing, quality_model, queries, textops,
+    bitmap, components, cutting_stock, decontaminate, language_id, ngram_join, packing, quality_model, queries, textops,
 )
 from wattloom.llm.queries import byte_bpe_50k
 from wattloom.runtime import scratch_path
@@ -119,6 +119,47 @@ def test_join_of_nothing_and_repeated_rows(spark):
         (2, 2, 2), (4, 2, 2), (4, 2, 2), (9, 0, 9)]
 
 
+def test_more_shared_shingles_than_a_bitmap_takes_are_tested_in_parts(spark, monkeypatch):
+    """A full bitmap would let every shingle pass."""
+    texts = near_texts(20)
+    monkeypatch.setattr(bitmap, "bits_for", lambda keys: max(64, 1 << (2 * keys).bit_length() - 1))
+    stored, store = [], ngram_join.Scratch.store
+    monkeypatch.setattr(ngram_join.Scratch, "store", lambda self, name, df: stored.append(name) or store(self, name, df))
+    found = ngram_join.ngram_components(documents(spark, texts), join=ngram_join.Join(width=4, rare=3, block=4)).collect()
+    assert sorted(map(tuple, found)) == sorted(brute_components(texts, range(len(texts)), 4, 80))
+    assert len([x for x in stored if x.startswith("usual")]) > 1
+
+
+def test_repeated_texts_alone_share_no_shingles(spark, monkeypatch):
+    """One row stands for equal sets, also where ids are null or repeat."""
+    rows, store = {}, ngram_join.Scratch.store
+
+    def watched(self, name, df):
+        out = store(self, name, df)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "store", watched)
+    texts = [f"{i} " + " ".join(f"w{i}x{k}" for k in range(20)) for i in range(3)] * 4
+    found = ngram_join.ngram_components(documents(spark, texts, [0, None, None, *range(3, 11), 3])).collect()
+    assert rows["counts"] == 0 and len(found) == 12
+    by_text = {}
+    for i, t in zip([0, None, None, *range(3, 11), 3], texts):
+        by_text.setdefault(t, []).append(i)
+    lowest = {i: min(x for x in ids if x is not None) for ids in by_text.values() for i in ids if i not in (None, 3)}
+    assert all(r.component_id == lowest[r.doc_id] for r in found if r.doc_id in lowest)
+
+
+def test_a_bitmap_grows_with_its_keys(spark):
+    assert bitmap.bits_for(0) == bitmap.bits_for(1000) == bitmap.BITS < bitmap.bits_for(1 << 23) < bitmap.bits_for(1 << 40)
+    assert bitmap.bits_for(1 << 40) == bitmap.MOST_BITS
+    keys = np.random.default_rng(2).integers(-2 ** 63, 2 ** 63, 400)
+    for bits in (1 << 12, 1 << 26):
+        words = bitmap.build(spark.createDataFrame([(int(k),) for k in keys], "h long"), "h", bits)
+        others = bitmap.contains(words, np.random.default_rng(3).integers(0, 2 ** 63, 1000).astype(np.uint64))
+        assert 64 * len(words) == bits and bitmap.contains(words, keys.view(np.uint64)).all() and others.mean() < 0.2
+
+
 def test_components_of_long_paths(spark):
     edges = [(f"{i:03}", f"{i + 1:03}") for i in range(40)] + [("x", "y"), ("y", "x"), ("z", "z")]
     found = components.connected_components(spark.createDataFrame(edges, "a string, b string")).collect()
